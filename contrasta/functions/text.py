@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WORD = r"\p{L}\p{N}_"
-WS = r"\s\p{Z}\x{1C}-\x{1F}\x{85}"
+WS = r"\s\x{0B}\p{Z}\x{1C}-\x{1F}\x{85}"
 
 ESCAPE_RE = r"<[uU]\+([0-9a-fA-F]{4,6})>"
 RETWEET_RE = rf"^RT[{WS}]+@[{WORD}]+:[{WS}]+"

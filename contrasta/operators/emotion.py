@@ -31,10 +31,10 @@ def emotion_scores(df: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     lex = lookup_table(df.sparkSession, sorted(set(default_lexicon() if lexicon is None else lexicon)),
                        "t string, emotion string")
     head = model_input(text_col, max_chars)
-    per_doc = df.select(id_col, (strip_ws(head) == "").alias("blank"))
-    hits = (df.select(id_col, F.explode(word_tokens(head)).alias("t")).join(lex, "t")
-            .groupBy(id_col).agg(*[F.count_if(F.col("emotion") == e).alias(f"_n_{e}") for e in CUE_EMOTIONS]))
-    j = per_doc.join(hits, id_col, "left")
+    d = df.select(id_col, (strip_ws(head) == "").alias("blank"), F.explode_outer(word_tokens(head)).alias("t"))
+    j = (d.join(lex, "t", "left").groupBy(id_col)
+         .agg(F.first("blank").alias("blank"),
+              *[F.count_if(F.col("emotion") == e).alias(f"_n_{e}") for e in CUE_EMOTIONS]))
     total = sum((F.coalesce(F.col(f"_n_{e}"), F.lit(0)) for e in CUE_EMOTIONS), F.lit(0))
     cols = []
     for e in EMOTION_COLUMNS:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from contrasta import lexicons
 from contrasta.operators._util import lookup_table
-from contrasta.operators.tokens import word_tokens
+from contrasta.operators.tokens import computed_once, word_tokens
 
 STRATEGIES = ["urgency", "authority", "doubt"]
 RATIO_EPS = 1e-6
@@ -37,11 +37,11 @@ def rhetoric_scores(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
     """``(doc_id, urgency, authority, doubt, *_presence, authority_to_doubt_ratio)``."""
     lex = lookup_table(df.sparkSession, sorted(set(default_cues() if cues is None else cues)),
                        "t string, strategy string")
-    toks = word_tokens(text_col)
-    per_doc = df.select(id_col, F.size(toks).alias("_n"))
-    hits = (df.select(id_col, F.explode(toks).alias("t")).join(lex, "t")
-            .groupBy(id_col).agg(*[F.count_if(F.col("strategy") == s).alias(f"_h_{s}") for s in STRATEGIES]))
-    j = per_doc.join(hits, id_col, "left")
+    d = computed_once(df.select(id_col, text_col), word_tokens(text_col), "_toks")
+    d = d.select(id_col, F.size("_toks").alias("_size"), F.explode_outer("_toks").alias("t"))
+    j = (d.join(lex, "t", "left").groupBy(id_col)
+         .agg(F.first("_size").alias("_n"),
+              *[F.count_if(F.col("strategy") == s).alias(f"_h_{s}") for s in STRATEGIES]))
     cols = [F.when(F.col("_n") > 0, F.least(F.lit(1.0), F.coalesce(F.col(f"_h_{s}"), F.lit(0)) * weight / F.col("_n")))
             .otherwise(0.0).alias(s) for s in STRATEGIES]
     return finish(j.select(id_col, *cols))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from contrasta import lexicons
 from contrasta.operators._util import lookup_table
-from contrasta.operators.tokens import word_tokens
+from contrasta.operators.tokens import computed_once, word_tokens
 
 VADER_COLUMNS = ["vader_neg", "vader_neu", "vader_pos", "vader_compound"]
 NEGATION_SCALAR = -0.74
@@ -57,19 +57,21 @@ def sentiment_scores(df: DataFrame, text_col: str = "text", id_col: str = "doc_i
     boost = dboost if boosters is None else boosters
     lex_df = lookup_table(spark, sorted(lex.items()), "t string, v double")
 
-    toks = sentiment_tokens(text_col)
     txt = F.coalesce(F.col(text_col), F.lit(""))
     n_excl = F.least(F.length(txt) - F.length(F.replace(txt, F.lit("!"), F.lit(""))), F.lit(4))
     n_q = F.length(txt) - F.length(F.replace(txt, F.lit("?"), F.lit("")))
     ep = n_excl * 0.292 + F.when(n_q > 1, F.when(n_q <= 3, n_q * 0.18).otherwise(0.96)).otherwise(0.0)
-    per_doc = df.select(id_col, F.size(toks).alias("n_words"), ep.alias("ep"))
-
+    d = computed_once(df.select(id_col, ep.alias("ep"), text_col), sentiment_tokens(text_col), "_toks")
+    toks = F.col("_toks")
     ctx = F.transform(toks, lambda t, i: F.struct(
         (i + 1).alias("pos"), t.alias("t"), F.get(toks, i - 1).alias("p1"),
         F.get(toks, i - 2).alias("p2"), F.get(toks, i - 3).alias("p3")))
-    exploded = df.select(id_col, F.array_position(toks, "but").alias("but_pos"),
-                         F.explode(ctx).alias("c")).select(id_col, "but_pos", "c.*")
-    hit = exploded.join(lex_df, "t")
+    # one pass: every token (explode_outer keeps token-less documents) probes the
+    # broadcast lexicon; per-document scalars ride along and are combined map-side
+    exploded = d.select(id_col, "ep", F.size(toks).alias("n_words"),
+                        F.array_position(toks, "but").alias("but_pos"),
+                        F.explode_outer(ctx).alias("c")).select(id_col, "ep", "n_words", "but_pos", "c.*")
+    hit = exploded.join(lex_df, "t", "left")
 
     bmap = F.create_map(*[F.lit(x) for kv in sorted(boost.items()) for x in kv]) if boost else None
     neg_arr = F.array(*[F.lit(w) for w in negs]) if negs else None
@@ -89,14 +91,14 @@ def sentiment_scores(df: DataFrame, text_col: str = "text", id_col: str = "doc_i
     but = F.col("but_pos")
     v = (F.when((but > 0) & (F.col("pos") < but), v * 0.5)
          .when((but > 0) & (F.col("pos") > but), v * 1.5).otherwise(v))
-    s = hit.select(id_col, v.alias("s"))
-    agg = s.groupBy(id_col).agg(
+    s = hit.select(id_col, "ep", "n_words", v.alias("s"))
+    j = s.groupBy(id_col).agg(
+        F.first("ep").alias("ep"), F.first("n_words").alias("n_words"),
         F.sum("s").alias("sum_s"),
         F.sum(F.when(F.col("s") > 0, F.col("s") + 1.0).otherwise(0.0)).alias("pos_sum"),
         F.sum(F.when(F.col("s") < 0, F.col("s") - 1.0).otherwise(0.0)).alias("neg_sum"),
         F.count_if(F.col("s") != 0).alias("n_sent"))
 
-    j = per_doc.join(agg, id_col, "left")
     sum_s = F.coalesce("sum_s", F.lit(0.0))
     ep_c = F.col("ep")
     adj = F.when(sum_s > 0, sum_s + ep_c).when(sum_s < 0, sum_s - ep_c).otherwise(sum_s)

@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from contrasta.functions.mathx import chi2_sf, normal_two_sided_p
 
-NULL_D = F.lit(None).cast("double")
+def _null_d():
+    return F.lit(None).cast("double")
 
 
 def clean_values(long_df: DataFrame, value_col: str = "value") -> DataFrame:
@@ -85,7 +86,7 @@ def mann_whitney(long_df: DataFrame, a: str, b: str, keys=("feature",),
     sigma = F.sqrt(n_a * n_b / 12.0 * ((n + 1) - F.col("ties") / (n * (n - 1))))
     z = (F.greatest(u, n_a * n_b - u) - mu - 0.5) / sigma
     ok = (F.col("n_a") > 0) & (F.col("n_b") > 0)
-    p = F.when(~ok, NULL_D).when(sigma.isNull() | (sigma <= 0), 1.0).otherwise(normal_two_sided_p(z))
+    p = F.when(~ok, _null_d()).when(sigma.isNull() | (sigma <= 0), 1.0).otherwise(normal_two_sided_p(z))
     return out.select(
         *keys,
         F.coalesce("n_a", F.lit(0)).cast("long").alias("n_a"),

@@ -26,10 +26,13 @@ def with_lemmas(corpus: DataFrame) -> DataFrame:
 
 
 def feature_table(corpus: DataFrame, lemmas: bool = True) -> DataFrame:
+    """Scorers read the (materialised) corpus directly; their per-document rows and
+    the lemma table are joined on ``doc_id``."""
     d = with_lemmas(corpus) if lemmas else corpus
-    f = (d.join(emotion_scores(d), "doc_id")
-         .join(sentiment_scores(d), "doc_id")
-         .join(rhetoric_scores(d), "doc_id"))
+    texts = corpus.select("doc_id", "text")
+    f = (d.join(emotion_scores(texts), "doc_id")
+         .join(sentiment_scores(texts), "doc_id")
+         .join(rhetoric_scores(texts), "doc_id"))
     f = add_alias_scores(f)
     return (f.withColumn("char_count", char_count("text"))
              .withColumn("word_count", word_count("text"))

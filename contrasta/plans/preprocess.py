@@ -18,18 +18,23 @@ UNIFIED = ["doc_id", "text", "label", "domain", "source", "dataset"]
 
 def prepare_corpus(docs: DataFrame, rules: dict[str, str] | None = None,
                    english_domain: str | None = "covid", assign: bool = True,
-                   num_partitions: int | None = None) -> DataFrame:
+                   num_partitions: int | None = None, materialize=None) -> DataFrame:
     """Unified documents, cleaned and de-duplicated, hash-partitioned by ``doc_id``.
 
     The documents are shuffled once, by ``doc_id``, before cleaning; the dedupe
     semi join, the language join and every later per-document join reuse that
-    partitioning (only small id/score rows move after it).
+    partitioning (only small id/score rows move after it). ``materialize`` (e.g. a
+    checkpoint into the shared checkpoint folder) is applied to the de-duplicated
+    table so the language branch and the main branch read it instead of
+    re-running the cleaning.
     """
     d = docs.repartition(num_partitions, "doc_id") if num_partitions else docs.repartition("doc_id")
     d = assign_domain(d, rules) if assign else d
     d = computed_once(d, clean_text("text"), "text").where(F.col("text") != "")
     d = dedupe_keep_first(d, "text", within=("domain",))
     d = d.na.drop(subset=["text"])
+    if materialize is not None:
+        d = materialize(d)
     if english_domain is not None:
         is_target = F.col("domain") == english_domain
         lang = detect_language(d.where(is_target), "text")
