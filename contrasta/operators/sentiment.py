@@ -111,12 +111,13 @@ def sentiment_scores(df: DataFrame, text_col: str = "text", id_col: str = "doc_i
     total = pos2 + F.abs(neg2) + neu
     has = F.col("n_words") > 0
     z = F.lit(0.0)
+    # shares are reported to 3 decimals and compound to 4, as the lexicon method does
     return j.select(
         id_col,
-        F.when(has, F.abs(neg2 / total)).otherwise(z).alias("vader_neg"),
-        F.when(has, F.abs(neu / total)).otherwise(z).alias("vader_neu"),
-        F.when(has, F.abs(pos2 / total)).otherwise(z).alias("vader_pos"),
-        F.when(has, compound).otherwise(z).alias("vader_compound"))
+        F.round(F.when(has, F.abs(neg2 / total)).otherwise(z), 3).alias("vader_neg"),
+        F.round(F.when(has, F.abs(neu / total)).otherwise(z), 3).alias("vader_neu"),
+        F.round(F.when(has, F.abs(pos2 / total)).otherwise(z), 3).alias("vader_pos"),
+        F.round(F.when(has, compound).otherwise(z), 4).alias("vader_compound"))
 
 
 def polarity_class(compound) -> Column:

@@ -270,10 +270,17 @@ def poisson1_thresholds(max_k: int = 20) -> list[float]:
     return out
 
 
-def uniform_from(seed, rep: Column, row_id: Column) -> Column:
-    """Deterministic U(0,1) from md5 of ``seed:rep:row_id`` (52 bits)."""
-    h = F.md5(F.concat_ws(":", F.lit(str(seed)), rep.cast("string"), row_id.cast("string")))
-    return F.conv(F.substring(h, 1, 13), 16, 10).cast("double") / float(16 ** 13)
+def uniform_from(seed: Column, rep: Column, row_id: Column) -> Column:
+    """Deterministic U(0,1) per (seed, replicate, row): a 31-bit integer mixer
+    (multiply / xor-shift rounds; every product stays below 2^62)."""
+    m = 0x7FFFFFFF
+    x = ((seed.cast("long") * 7919 + rep) * 1000003 + row_id.cast("long")).bitwiseAND(F.lit(m))
+    x = x.bitwiseXOR(F.shiftright(x, 15))
+    x = (x * 739982445).bitwiseAND(F.lit(m))
+    x = x.bitwiseXOR(F.shiftright(x, 12))
+    x = (x * 695872825).bitwiseAND(F.lit(m))
+    x = x.bitwiseXOR(F.shiftright(x, 15))
+    return x / 2147483648.0
 
 
 def poisson1_weight(u: Column) -> Column:
@@ -295,10 +302,7 @@ def bootstrap_mean_ci(long_df: DataFrame, keys, id_col: str = "row_id", value_co
     reps = F.explode(F.sequence(F.lit(1), F.lit(n_boot))).alias("_b")
     sd = F.col(seed_col) if seed_col else F.lit(seed)
     ex = d.select(*keys, id_col, value_col, sd.alias("_seed"), reps)
-    u = F.md5(F.concat_ws(":", F.col("_seed").cast("string"), F.col("_b").cast("string"),
-                          F.col(id_col).cast("string")))
-    u = F.conv(F.substring(u, 1, 13), 16, 10).cast("double") / float(16 ** 13)
-    ex = ex.withColumn("_w", poisson1_weight(u))
+    ex = ex.withColumn("_w", poisson1_weight(uniform_from(F.col("_seed"), F.col("_b"), F.col(id_col))))
     rep = (ex.groupBy(*keys, "_b")
            .agg(F.sum(F.col("_w") * F.col(value_col)).alias("_sx"), F.sum("_w").alias("_sw"))
            .where(F.col("_sw") > 0)

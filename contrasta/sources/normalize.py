@@ -167,10 +167,10 @@ def model_answers(spark, sf) -> DataFrame:
     """Free-text model answers derived from ``events`` (well-formed, partial,
     non-numeric, multi-line with trailing braces, and no JSON at all)."""
     ev = table(spark, sf, "events")
-    v = F.format_string("%.2f", F.col("value") / 100.0)
+    v = F.concat(F.lit("0."), F.lpad((F.col("event_id") % 100).cast("string"), 2, "0"))
     k = F.col("event_id") % 5
     ans = (F.when(k == 0, F.concat(F.lit('Sure! {"urgency": '), v, F.lit(', "authority": 0.1, "doubt": '),
-                                   F.format_string("%.2f", (F.col("user_id") % 10) / 10.0), F.lit("} hope it helps")))
+                                   F.concat(F.lit("0."), (F.col("user_id") % 10).cast("string")), F.lit("} hope it helps")))
            .when(k == 1, F.concat(F.lit('{"urgency": '), v, F.lit("}")))
            .when(k == 2, F.concat(F.lit('Here:\n{"urgency": "high",\n "doubt": '), v, F.lit('}\n{"doubt": 1}')))
            .when(k == 3, F.concat(F.lit("no idea "), F.col("event_type")))
