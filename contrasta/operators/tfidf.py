@@ -75,7 +75,7 @@ def mean_scores(weights: DataFrame, sizes: DataFrame) -> DataFrame:
 def top_n_per_domain(means: DataFrame, top_n: int = 25) -> DataFrame:
     """``(domain, rank, term, mean_tfidf)``: best ``top_n`` terms per domain."""
     w = Window.partitionBy("domain").orderBy(F.desc(F.round("mean_tfidf", SCORE_DIGITS)), F.asc("term"))
-    return (means.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_n)
+    return (means.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= top_n)
             .select("domain", "rank", "term", "mean_tfidf"))
 
 

@@ -140,7 +140,7 @@ def term_context(weights: DataFrame, features: DataFrame, top: DataFrame,
     rec = rec.join(F.broadcast(sizes), "domain").withColumn(
         "share_of_domain_docs", F.col("document_frequency") / F.col("document_count"))
     w = Window.partitionBy("domain", "term").orderBy(F.desc("score"), F.asc("doc_id"))
-    ex = (j.withColumn("example_rank", F.row_number().over(w)).where(F.col("example_rank") <= examples_per_term)
+    ex = (j.withColumn("example_rank", F.row_number().over(w).cast("long")).where(F.col("example_rank") <= examples_per_term)
           .select("domain", "term", "rank", "example_rank", "doc_id", truncate_text("text").alias("text"),
                   F.coalesce(F.col("dataset").cast("string"), F.lit("")).alias("dataset"),
                   F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"),
