@@ -31,7 +31,8 @@ def emotion_scores(df: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     lex = lookup_table(df.sparkSession, sorted(set(default_lexicon() if lexicon is None else lexicon)),
                        "t string, emotion string")
     head = model_input(text_col, max_chars)
-    d = df.select(id_col, (strip_ws(head) == "").alias("blank"), F.explode_outer(word_tokens(head)).alias("t"))
+    per_doc = df.select(id_col, (strip_ws(head) == "").alias("blank"), word_tokens(head).alias("_toks"))
+    d = per_doc.select(id_col, "blank", F.explode_outer("_toks").alias("t"))
     j = (d.join(lex, "t", "left").groupBy(id_col)
          .agg(F.first("blank").alias("blank"),
               *[F.count_if(F.col("emotion") == e).alias(f"_n_{e}") for e in CUE_EMOTIONS]))

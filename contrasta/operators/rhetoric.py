@@ -38,7 +38,8 @@ def rhetoric_scores(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
     lex = lookup_table(df.sparkSession, sorted(set(default_cues() if cues is None else cues)),
                        "t string, strategy string")
     d = computed_once(df.select(id_col, text_col), word_tokens(text_col), "_toks")
-    d = d.select(id_col, F.size("_toks").alias("_size"), F.explode_outer("_toks").alias("t"))
+    d = d.select(id_col, F.size("_toks").alias("_size"), "_toks") \
+         .select(id_col, "_size", F.explode_outer("_toks").alias("t"))
     j = (d.join(lex, "t", "left").groupBy(id_col)
          .agg(F.first("_size").alias("_n"),
               *[F.count_if(F.col("strategy") == s).alias(f"_h_{s}") for s in STRATEGIES]))

@@ -68,9 +68,12 @@ def sentiment_scores(df: DataFrame, text_col: str = "text", id_col: str = "doc_i
         F.get(toks, i - 2).alias("p2"), F.get(toks, i - 3).alias("p3")))
     # one pass: every token (explode_outer keeps token-less documents) probes the
     # broadcast lexicon; per-document scalars ride along and are combined map-side
-    exploded = d.select(id_col, "ep", F.size(toks).alias("n_words"),
-                        F.array_position(toks, "but").alias("but_pos"),
-                        F.explode_outer(ctx).alias("c")).select(id_col, "ep", "n_words", "but_pos", "c.*")
+    # per-document scalars are computed before the explode (a projection above a
+    # generator would re-evaluate them for every token)
+    per_doc = d.select(id_col, "ep", F.size(toks).alias("n_words"),
+                       F.array_position(toks, "but").alias("but_pos"), ctx.alias("_ctx"))
+    exploded = per_doc.select(id_col, "ep", "n_words", "but_pos", F.explode_outer("_ctx").alias("c")) \
+        .select(id_col, "ep", "n_words", "but_pos", "c.*")
     hit = exploded.join(lex_df, "t", "left")
 
     bmap = F.create_map(*[F.lit(x) for kv in sorted(boost.items()) for x in kv]) if boost else None
