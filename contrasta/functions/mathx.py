@@ -72,3 +72,17 @@ def chi2_sf(x, dof) -> Column:
     p = F.when(k % 2 == 0, even).otherwise(odd)
     return (F.when(x.isNull() | F.isnan(x) | k.isNull(), F.lit(None).cast("double"))
             .when((k <= 0) | (x <= 0), 1.0).otherwise(F.least(F.lit(1.0), p)))
+
+
+EXACT_DECIMAL = "decimal(28,12)"
+
+
+def exact_sum(x) -> Column:
+    """Order-independent sum: values are summed as decimals (12 fractional digits),
+    so the result does not depend on partitioning or task order."""
+    return F.sum(_c(x).cast(EXACT_DECIMAL)).cast("double")
+
+
+def exact_mean(x) -> Column:
+    """Partition-independent mean (see ``exact_sum``); null for an empty group."""
+    return exact_sum(x) / F.count(_c(x))

@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from contrasta.functions.mathx import chi2_sf, normal_two_sided_p
+from contrasta.functions.mathx import chi2_sf, exact_mean, normal_two_sided_p
 
 def _null_d():
     return F.lit(None).cast("double")
@@ -61,7 +61,8 @@ def mann_whitney(long_df: DataFrame, a: str, b: str, keys=("feature",),
     effect_size``. Samples are cleaned of null/NaN first.
     """
     keys = list(keys)
-    hist = _histogram(clean_values(long_df), keys, group_col, a, b)
+    clean = clean_values(long_df)
+    hist = _histogram(clean, keys, group_col, a, b)
     hist = hist.withColumn("cb", F.col("t") - F.col("ca"))
     w = Window.partitionBy(*keys).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     ranked = (hist.withColumn("cum", F.sum("t").over(w))
@@ -73,12 +74,16 @@ def mann_whitney(long_df: DataFrame, a: str, b: str, keys=("feature",),
               .withColumn("nb_all", F.sum("cb").over(tot)))
     out = ranked.groupBy(*keys).agg(
         F.sum("ca").alias("n_a"), F.sum("cb").alias("n_b"),
-        F.sum(F.col("ca") * F.col("value")).alias("sum_a"),
-        F.sum(F.col("cb") * F.col("value")).alias("sum_b"),
         F.sum(F.col("ca") * F.col("midrank")).alias("r_a"),
         F.sum(F.col("t").cast("double") ** 3 - F.col("t")).alias("ties"),
         _median("cum_a", "ca", "na_all").alias("median_a"),
         _median("cum_b", "cb", "nb_all").alias("median_b"))
+    # means from a second map-side-combined aggregate (partition-independent sums)
+    d = F.col(group_col)
+    means = clean.where(d.isin(a, b)).groupBy(*keys).agg(
+        exact_mean(F.when(d == a, F.col("value"))).alias("mean_a"),
+        exact_mean(F.when(d == b, F.col("value"))).alias("mean_b"))
+    out = out.join(means, keys, "left")
     n_a, n_b = F.col("n_a").cast("double"), F.col("n_b").cast("double")
     n = n_a + n_b
     u = F.col("r_a") - n_a * (n_a + 1) / 2.0
@@ -91,8 +96,7 @@ def mann_whitney(long_df: DataFrame, a: str, b: str, keys=("feature",),
         *keys,
         F.coalesce("n_a", F.lit(0)).cast("long").alias("n_a"),
         F.coalesce("n_b", F.lit(0)).cast("long").alias("n_b"),
-        F.when(F.col("n_a") > 0, F.col("sum_a") / n_a).alias("mean_a"),
-        F.when(F.col("n_b") > 0, F.col("sum_b") / n_b).alias("mean_b"),
+        "mean_a", "mean_b",
         "median_a", "median_b",
         F.when(ok, u).alias("u"),
         p.alias("p_value"),

@@ -10,6 +10,7 @@ from contrasta.operators import stats as st
 from contrasta.operators.emotion import EMOTION_COLUMNS
 from contrasta.operators.rhetoric import STRATEGIES
 from contrasta.operators.summaries import category_counts, shares
+from contrasta.functions.mathx import exact_mean
 from contrasta.functions.text import truncate_text
 from contrasta.plans.featurize import FEATURE_GROUPS
 
@@ -136,7 +137,7 @@ def term_context(weights: DataFrame, features: DataFrame, top: DataFrame,
     vader = ["vader_neg", "vader_neu", "vader_pos", "vader_compound"]
     rec = j.groupBy("domain", "term", "rank", "mean_tfidf").agg(
         F.count(F.lit(1)).alias("document_frequency"),
-        *[F.avg(c).alias(f"avg_{c}") for c in vader + EMOTION_COLUMNS])
+        *[exact_mean(c).alias(f"avg_{c}") for c in vader + EMOTION_COLUMNS])
     rec = rec.join(F.broadcast(sizes), "domain").withColumn(
         "share_of_domain_docs", F.col("document_frequency") / F.col("document_count"))
     w = Window.partitionBy("domain", "term").orderBy(F.desc("score"), F.asc("doc_id"))

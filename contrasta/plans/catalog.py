@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
 from contrasta.functions.text import (char_count, clean_text, model_input, truncate_text, word_count)
+from contrasta.functions.mathx import exact_mean
 from contrasta.functions.parse import extract_scores
 from contrasta.operators import stats as st
 from contrasta.operators import summaries as sm
@@ -272,7 +273,7 @@ def q_box_summary(spark, sf):
 
 def q_sentiment_means(spark, sf):
     f = features(spark, sf)
-    g = f.groupBy("domain").agg(*[F.avg(c).alias(c.replace("vader_", "")) for c in
+    g = f.groupBy("domain").agg(*[exact_mean(c).alias(c.replace("vader_", "")) for c in
                                   ["vader_neg", "vader_neu", "vader_pos", "vader_compound"]])
     return finalize(g)
 
@@ -282,8 +283,8 @@ def q_emotion_means(spark, sf):
     res = an.run_stats(f, A, B).where(F.col("feature_group") == "emotion").select("feature", "adjusted_p_value")
     long_df = st.to_long(f, EMOTION_COLUMNS)
     means = long_df.groupBy("feature").agg(
-        F.avg(F.when(F.col("domain") == A, F.col("value"))).alias(f"{A}_mean"),
-        F.avg(F.when(F.col("domain") == B, F.col("value"))).alias(f"{B}_mean"))
+        exact_mean(F.when(F.col("domain") == A, F.col("value"))).alias(f"{A}_mean"),
+        exact_mean(F.when(F.col("domain") == B, F.col("value"))).alias(f"{B}_mean"))
     out = means.join(res, "feature", "left").select(
         "feature", f"{A}_mean", f"{B}_mean", "adjusted_p_value",
         sm.significance_label("adjusted_p_value").alias("stars"))

@@ -22,6 +22,11 @@ from contrasta.operators.tokens import TFIDF_TOKEN_RE, WORD_TOKEN_RE, english_st
 from contrasta.sources.driver import DRIVER_DOMAIN_RULES
 
 D = 6  # rounding digits, as on the Spark side
+
+
+def xmean(x: str) -> str:
+    """Partition-independent mean: decimal sum with 12 fractional digits."""
+    return f"(sum(({x})::DECIMAL(28, 12))::DOUBLE / count({x}))"
 A, B = "covid", "climate"
 
 
@@ -307,12 +312,15 @@ def mwu_ctes(long_view: str, keys: list[str], a: str, b: str, name: str = "mwu")
           FROM {long_view} WHERE domain IN ({q(a)}, {q(b)}) AND value IS NOT NULL AND NOT isnan(value) GROUP BY ALL),
 {name}_r AS (SELECT *, t - ca AS cb, sum(t) OVER ({w}) AS cum, sum(ca) OVER ({w}) AS cum_a, sum(t - ca) OVER ({w}) AS cum_b,
           sum(ca) OVER (PARTITION BY {k}) AS na_all, sum(t - ca) OVER (PARTITION BY {k}) AS nb_all FROM {name}_h),
-{name}_g AS (SELECT {k}, sum(ca)::DOUBLE AS n_a, sum(cb)::DOUBLE AS n_b, sum(ca * value) AS sum_a, sum(cb * value) AS sum_b,
+{name}_m AS (SELECT {k}, {xmean(f"CASE WHEN domain = {q(a)} THEN value END")} AS mean_a, {xmean(f"CASE WHEN domain = {q(b)} THEN value END")} AS mean_b
+          FROM {long_view} WHERE domain IN ({q(a)}, {q(b)}) AND value IS NOT NULL AND NOT isnan(value) GROUP BY ALL),
+{name}_g0 AS (SELECT {k}, sum(ca)::DOUBLE AS n_a, sum(cb)::DOUBLE AS n_b,
           sum(ca * (cum - (t - 1) / 2.0)) AS r_a, sum(power(t::DOUBLE, 3) - t) AS ties,
           {med('cum_a', 'ca', 'na_all')} AS median_a, {med('cum_b', 'cb', 'nb_all')} AS median_b FROM {name}_r GROUP BY {k}),
+{name}_g AS (SELECT g.*, m.mean_a, m.mean_b FROM {name}_g0 g LEFT JOIN {name}_m m USING ({k})),
 {name}_u AS (SELECT *, r_a - n_a * (n_a + 1) / 2.0 AS u FROM {name}_g),
 {name} AS (SELECT {k}, n_a::BIGINT AS n_a, n_b::BIGINT AS n_b,
-          CASE WHEN n_a > 0 THEN sum_a / n_a END AS mean_a, CASE WHEN n_b > 0 THEN sum_b / n_b END AS mean_b,
+          mean_a, mean_b,
           median_a, median_b, CASE WHEN n_a > 0 AND n_b > 0 THEN u END AS u,
           CASE WHEN NOT (n_a > 0 AND n_b > 0) THEN NULL WHEN {sigma} IS NULL OR {sigma} <= 0 THEN 1.0
                ELSE least(1.0, {erfc_sql(f'({z}) / sqrt(2.0)')}) END AS p_value,
@@ -528,7 +536,7 @@ sizes AS (SELECT domain, count(*) AS document_count FROM features GROUP BY domai
 
 def sql_term_context() -> str:
     cols = ["vader_neg", "vader_neu", "vader_pos", "vader_compound"] + EMOTION_COLUMNS
-    avgs = ", ".join(f"{r(f'avg({c})')} AS avg_{c}" for c in cols)
+    avgs = ", ".join(f"{r(xmean(c))} AS avg_{c}" for c in cols)
     return f"""{_context_prefix()}
 SELECT j.domain, j.term, {r('first(mean_tfidf)')} AS mean_tfidf, count(*) AS document_frequency, {avgs},
        first(s.document_count) AS document_count, {r('count(*) / first(s.document_count)')} AS share_of_domain_docs
@@ -767,7 +775,7 @@ FROM j GROUP BY domain, feature"""
 
 def sql_sentiment_means() -> str:
     return f"""WITH {feature_ctes()}
-SELECT domain, {r('avg(vader_neg)')} AS neg, {r('avg(vader_neu)')} AS neu, {r('avg(vader_pos)')} AS pos, {r('avg(vader_compound)')} AS compound
+SELECT domain, {r(xmean('vader_neg'))} AS neg, {r(xmean('vader_neu'))} AS neu, {r(xmean('vader_pos'))} AS pos, {r(xmean('vader_compound'))} AS compound
 FROM features GROUP BY domain"""
 
 
@@ -780,7 +788,7 @@ def sql_emotion_means() -> str:
     long_e = " UNION ALL ".join(f"SELECT domain, {q(e)} AS feature, {e}::DOUBLE AS value FROM features" for e in EMOTION_COLUMNS)
     return f"""WITH {_run_stats_ctes()},
 el AS ({long_e}),
-mm AS (SELECT feature, avg(CASE WHEN domain = {q(A)} THEN value END) AS ma, avg(CASE WHEN domain = {q(B)} THEN value END) AS mb FROM el GROUP BY feature),
+mm AS (SELECT feature, {xmean(f"CASE WHEN domain = {q(A)} THEN value END")} AS ma, {xmean(f"CASE WHEN domain = {q(B)} THEN value END")} AS mb FROM el GROUP BY feature),
 res AS (SELECT feature, adjusted_p_value FROM stats WHERE feature_group = 'emotion')
 SELECT feature, {r('ma')} AS {A}_mean, {r('mb')} AS {B}_mean, {r('adjusted_p_value')} AS adjusted_p_value, {_stars('adjusted_p_value')} AS stars
 FROM mm LEFT JOIN res USING (feature)"""
