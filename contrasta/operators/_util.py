@@ -32,3 +32,10 @@ def require_columns(df: DataFrame, required, what: str = "input") -> None:
     missing = [c for c in required if c not in df.columns]
     if missing:
         raise ValueError(f"{what} is missing expected columns: {', '.join(missing)}")
+
+
+def check_alignment(left: DataFrame, right: DataFrame, key: str = "doc_id") -> None:
+    """Raise when the two tables do not hold the same keys (anti joins both ways)."""
+    if not left.select(key).join(right.select(key), key, "left_anti").isEmpty() or \
+            not right.select(key).join(left.select(key), key, "left_anti").isEmpty():
+        raise ValueError("TF-IDF rows do not match the documents of the domain tables.")

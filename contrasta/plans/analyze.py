@@ -162,3 +162,37 @@ def term_context_nested(records: DataFrame, examples: DataFrame) -> DataFrame:
         F.struct(*[F.col(f"avg_{c}").alias(c) for c in vader]).alias("average_vader"),
         F.struct(*[F.col(f"avg_{c}").alias(c) for c in EMOTION_COLUMNS]).alias("average_emotions"),
         F.transform(F.coalesce("ex", F.array()), lambda e: e.dropFields("example_rank")).alias("representative_examples"))
+
+
+def summary_payload(features: DataFrame, stats: DataFrame, a: str = "covid", b: str = "climate",
+                    top: int = 10) -> DataFrame:
+    """One-row nested summary: test names, per-domain summaries with source and
+    dataset counts, dominant-emotion counts/percentages/expected counts, trust-cue
+    column availability and the first ``top`` findings."""
+    from contrasta.operators.summaries import domain_summary, value_counts
+    from contrasta.plans.featurize import TRUST_CUE_COLUMNS
+    spark = features.sparkSession
+    ds = domain_summary(features)
+    def counts(col):
+        c = value_counts(features, col, ["domain"])
+        return c.groupBy("domain").agg(F.map_from_entries(F.collect_list(F.struct(F.col(col).cast("string"), "count"))).alias(f"{col}_counts"))
+    doms = ds.join(counts("source"), "domain", "left").join(counts("dataset"), "domain", "left")
+    dom = doms.agg(F.map_from_entries(F.collect_list(F.struct("domain", F.struct(*[c for c in doms.columns if c != "domain"])))).alias("domains"))
+    dc = dominant_emotion_counts(features, a, b)
+    emo = dc.groupBy("domain").agg(F.map_from_entries(F.collect_list(F.struct("dominant_emotion", "count"))).alias("counts"),
+                                   F.map_from_entries(F.collect_list(F.struct("dominant_emotion", "share"))).alias("percentages"))
+    emo = emo.agg(F.map_from_entries(F.collect_list(F.struct("domain", F.struct("counts", "percentages")))).alias("dominant_emotions"))
+    exp = st.expected_counts(dc.withColumn("test", F.lit("d")), "test", "dominant_emotion", "domain", "count")
+    exp = exp.groupBy("domain").agg(F.map_from_entries(F.collect_list(F.struct("dominant_emotion", "expected"))).alias("m")) \
+             .agg(F.map_from_entries(F.collect_list(F.struct("domain", "m"))).alias("expected_counts"))
+    avail = [c for c in TRUST_CUE_COLUMNS if c in features.columns]
+    findings = stats.limit(top).agg(F.collect_list(F.struct(*stats.columns)).alias("top_findings"))
+    head = spark.range(1).select(
+        F.lit("mann_whitney_u").alias("numeric_test"), F.lit("rank_biserial_correlation").alias("numeric_effect_size"),
+        F.array(*[F.lit(c) for c in avail]).cast("array<string>").alias("available_trust_cue_columns"),
+        F.array(*[F.lit(c) for c in TRUST_CUE_COLUMNS if c not in avail]).cast("array<string>").alias("missing_trust_cue_columns"))
+    from contrasta.operators._util import with_scalar
+    out = head
+    for part in (dom, emo, exp, findings):
+        out = with_scalar(out, part)
+    return out.drop("id")

@@ -15,6 +15,7 @@ from contrasta.functions.text import (char_count, clean_text, model_input, trunc
 from contrasta.functions.mathx import exact_mean
 from contrasta.functions.parse import extract_scores
 from contrasta.operators import stats as st
+from contrasta.operators import reports as rp
 from contrasta.operators import summaries as sm
 from contrasta.operators import tfidf
 from contrasta.operators.dedupe import dedupe_keep_first
@@ -302,6 +303,30 @@ def q_report_formats(spark, sf):
                     sm.numeric_test_label(F.col("test")).alias("test_label"))
 
 
+def q_sentiment_frame(spark, sf):
+    f = features(spark, sf)
+    return finalize(rp.sentiment_frame(f, an.run_stats(f, A, B), A, B))
+
+
+def q_top15_frame(spark, sf):
+    _, (tf, sizes, vocab, w) = tfidf_fit(spark, sf)
+    return finalize(tfidf.top_n_per_domain(tfidf.mean_scores(w, sizes), 25).where(F.col("rank") <= 15))
+
+
+def q_context_frame(spark, sf):
+    rec, ex = _context(spark, sf)
+    return finalize(rp.context_frame(rec, ex, 6))
+
+
+def q_rhetoric_frame(spark, sf):
+    return finalize(rp.rhetoric_frame(an.rhetoric_tests(features(spark, sf), A, B), A, B))
+
+
+def q_direction_summary(spark, sf):
+    fr = rp.rhetoric_frame(an.rhetoric_tests(features(spark, sf), A, B), A, B)
+    return rp.direction_summary(fr, A, B)
+
+
 QUERIES = {
     "clean_text": q_clean_text,
     "text_metrics": q_text_metrics,
@@ -340,4 +365,9 @@ QUERIES = {
     "sentiment_means": q_sentiment_means,
     "emotion_means": q_emotion_means,
     "report_formats": q_report_formats,
+    "sentiment_frame": q_sentiment_frame,
+    "top15_frame": q_top15_frame,
+    "context_frame": q_context_frame,
+    "rhetoric_frame": q_rhetoric_frame,
+    "direction_summary": q_direction_summary,
 }

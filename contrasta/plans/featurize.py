@@ -41,3 +41,17 @@ def feature_table(corpus: DataFrame, lemmas: bool = True) -> DataFrame:
 
 def feature_group_map() -> dict[str, str]:
     return {c: g for g, cols in FEATURE_GROUPS for c in cols}
+
+
+def prepare_domain_frame(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """A feature table read back from storage: requires ``text`` and the seven
+    emotion columns (error names the missing ones), null text -> '', adds counts
+    and the dominant emotion, and completes the sentiment columns."""
+    from contrasta.operators._util import require_columns
+    from contrasta.operators.sentiment import ensure_sentiment
+    require_columns(df, ["text"], "domain frame")
+    require_columns(df, EMOTION_COLUMNS, "domain frame (emotion columns)")
+    d = df.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
+    d = (d.withColumn("char_count", char_count("text")).withColumn("word_count", word_count("text"))
+          .withColumn("dominant_emotion", dominant_emotion()))
+    return ensure_sentiment(d, "text", id_col)

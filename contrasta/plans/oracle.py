@@ -671,25 +671,90 @@ SELECT feature_group, feature, {r('p_value')} AS p_value,
 FROM rk"""
 
 
-def sql_rhetoric_tests() -> str:
+def _rhetoric_ctes() -> str:
     flags = [f"{s}_presence" for s in STRATEGIES]
     cont = STRATEGIES + ["authority_to_doubt_ratio"]
     long_c = " UNION ALL ".join(f"SELECT domain, {q(c)} AS feature, {c}::DOUBLE AS value FROM features" for c in cont)
     long_f = " UNION ALL ".join(f"SELECT domain, {q(c)} AS feature, {c}::INTEGER AS flag FROM features WHERE domain IN ({q(A)}, {q(B)})"
                                 for c in flags)
-    return f"""WITH {feature_ctes()},
+    return f"""{feature_ctes()},
 rl AS ({long_c}),
 {mwu_ctes('rl', ['feature'], A, B)},
 fl AS ({long_f}),
 fc AS (SELECT feature, domain, flag, count(*) AS n FROM fl GROUP BY ALL),
 {chi_ctes('fc', 'feature', 'domain', 'flag', 'n')},
 rates AS (SELECT feature, sum(CASE WHEN domain = {q(A)} THEN flag END) / count(*) FILTER (WHERE domain = {q(A)}) AS ra,
-                 sum(CASE WHEN domain = {q(B)} THEN flag END) / count(*) FILTER (WHERE domain = {q(B)}) AS rb FROM fl GROUP BY feature)
-SELECT feature, {r('mean_a')} AS {A}_mean, {r('mean_b')} AS {B}_mean, {r('p_value')} AS p_value, 'mann-whitney' AS test,
+                 sum(CASE WHEN domain = {q(B)} THEN flag END) / count(*) FILTER (WHERE domain = {q(B)}) AS rb FROM fl GROUP BY feature),
+rt AS (SELECT feature, mean_a AS {A}_mean, mean_b AS {B}_mean, p_value, 'mann-whitney' AS test,
        NULL::DOUBLE AS {A}_rate, NULL::DOUBLE AS {B}_rate FROM mwu
-UNION ALL
-SELECT c.feature, NULL::DOUBLE, NULL::DOUBLE, {r('c.p_value')}, 'chi-squared', {r('coalesce(ra, 0.0)')}, {r('coalesce(rb, 0.0)')}
-FROM chi c JOIN rates USING (feature)"""
+       UNION ALL
+       SELECT c.feature, NULL::DOUBLE, NULL::DOUBLE, c.p_value, 'chi-squared', coalesce(ra, 0.0), coalesce(rb, 0.0)
+       FROM chi c JOIN rates USING (feature))"""
+
+
+def sql_rhetoric_tests() -> str:
+    return f"""WITH {_rhetoric_ctes()}
+SELECT feature, {r(A + '_mean')} AS {A}_mean, {r(B + '_mean')} AS {B}_mean, {r('p_value')} AS p_value, test,
+       {r(A + '_rate')} AS {A}_rate, {r(B + '_rate')} AS {B}_rate FROM rt"""
+
+
+def _rhetoric_frame_ctes() -> str:
+    order = ["urgency", "authority", "doubt", "urgency_presence", "authority_presence", "doubt_presence"]
+    dims = " UNION ALL ".join(f"SELECT {q(f)} AS feature, {i} AS ordinal" for i, f in enumerate(order))
+    return f"""{_rhetoric_ctes()},
+rdim AS ({dims}),
+rframe AS (SELECT d.ordinal, rt.feature, CASE WHEN rt.feature IN ('urgency', 'authority', 'doubt') THEN 'score' ELSE 'rate' END AS kind,
+   CASE WHEN rt.feature IN ('urgency', 'authority', 'doubt') THEN {A}_mean ELSE {A}_rate END AS {A}_value,
+   CASE WHEN rt.feature IN ('urgency', 'authority', 'doubt') THEN {B}_mean ELSE {B}_rate END AS {B}_value,
+   p_value, {_stars('p_value')} AS stars FROM rt JOIN rdim d USING (feature))"""
+
+
+def sql_rhetoric_frame() -> str:
+    return f"""WITH {_rhetoric_frame_ctes()}
+SELECT ordinal::INTEGER AS ordinal, feature, kind, {r(A + '_value')} AS {A}_value, {r(B + '_value')} AS {B}_value,
+       {r('p_value')} AS p_value, stars FROM rframe"""
+
+
+def sql_direction_summary() -> str:
+    bit = (f"CASE WHEN {B}_value > {A}_value THEN 'higher climate ' || feature "
+           f"WHEN {A}_value > {B}_value THEN 'higher COVID ' || feature END")
+    return f"""WITH {_rhetoric_frame_ctes()},
+bits AS (SELECT ordinal, {bit} AS bit FROM rframe WHERE kind = 'score'),
+j AS (SELECT array_to_string(list_slice(coalesce(list(bit ORDER BY ordinal) FILTER (WHERE bit IS NOT NULL), []), 1, 3), '; ') AS s FROM bits)
+SELECT upper(substring(s, 1, 1)) || lower(substring(s, 2)) || '.' AS summary FROM j"""
+
+
+def sql_sentiment_frame() -> str:
+    dims = " UNION ALL ".join(f"SELECT {q(c)} AS category, {q(f)} AS feature, {i} AS ordinal"
+                             for i, (c, f) in enumerate([("neg", "vader_neg"), ("neu", "vader_neu"), ("pos", "vader_pos"), ("compound", "vader_compound")]))
+    long_v = " UNION ALL ".join(f"SELECT domain, {q(c)} AS feature, {c}::DOUBLE AS value FROM features"
+                                for c in ["vader_neg", "vader_neu", "vader_pos", "vader_compound"])
+    return f"""WITH {_run_stats_ctes()},
+sdim AS ({dims}),
+vl AS ({long_v}),
+mm AS (SELECT feature, {xmean(f"CASE WHEN domain = {q(A)} THEN value END")} AS ma, {xmean(f"CASE WHEN domain = {q(B)} THEN value END")} AS mb FROM vl GROUP BY feature),
+res AS (SELECT feature, adjusted_p_value FROM stats WHERE feature_group = 'vader')
+SELECT d.ordinal::INTEGER AS ordinal, d.category, d.feature, {r('ma')} AS {A}_mean, {r('mb')} AS {B}_mean,
+       {r('adjusted_p_value')} AS adjusted_p_value, {_stars('adjusted_p_value')} AS stars
+FROM sdim d LEFT JOIN mm USING (feature) LEFT JOIN res USING (feature)"""
+
+
+def sql_top15_frame() -> str:
+    return f"{_tfidf_prefix()} SELECT domain, rank, term, {r('mean_tfidf')} AS mean_tfidf FROM top WHERE rank <= 15"
+
+
+def sql_context_frame() -> str:
+    emos = ["anger", "disgust", "fear", "sadness", "neutral", "joy"]
+    return f"""{_context_prefix()},
+rec AS (SELECT j.domain, j.term, first(rank) AS rank, count(*) AS document_frequency,
+        count(*) / first(s.document_count) AS share_of_domain_docs, {xmean('vader_compound')} AS vader_compound,
+        {', '.join(f"{xmean(e)} AS {e}" for e in emos)} FROM j JOIN sizes s USING (domain) GROUP BY j.domain, j.term),
+pos AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY rank) AS position FROM rec QUALIFY position <= 6),
+ex AS (SELECT domain, term, term || ': "' || {truncate('text')} || '"' AS example_line FROM j
+       QUALIFY row_number() OVER (PARTITION BY domain, term ORDER BY score DESC, doc_id) = 1)
+SELECT domain, position, term, document_frequency, {r('share_of_domain_docs')} AS share_of_domain_docs,
+       {r('vader_compound')} AS vader_compound, {', '.join(f"{r(e)} AS {e}" for e in emos)}, example_line
+FROM pos LEFT JOIN ex USING (domain, term)"""
 
 
 def _poisson_case(u: str) -> str:
@@ -845,6 +910,11 @@ ORACLE = {
     "sentiment_means": sql_sentiment_means,
     "emotion_means": sql_emotion_means,
     "report_formats": sql_report_formats,
+    "sentiment_frame": sql_sentiment_frame,
+    "top15_frame": sql_top15_frame,
+    "context_frame": sql_context_frame,
+    "rhetoric_frame": sql_rhetoric_frame,
+    "direction_summary": sql_direction_summary,
 }
 
 
