@@ -74,7 +74,7 @@ def chi2_sf(x, dof) -> Column:
             .when((k <= 0) | (x <= 0), 1.0).otherwise(F.least(F.lit(1.0), p)))
 
 
-EXACT_DECIMAL = "decimal(28,12)"
+EXACT_DECIMAL = "decimal(24,12)"  # |value| < 1e12; sums keep all 12 fractional digits
 
 
 def exact_sum(x) -> Column:
@@ -86,3 +86,8 @@ def exact_sum(x) -> Column:
 def exact_mean(x) -> Column:
     """Partition-independent mean (see ``exact_sum``); null for an empty group."""
     return exact_sum(x) / F.count(_c(x))
+
+
+def exact_weighted_sum(x, w) -> Column:
+    """``sum(x * w)`` for an integer weight (a count), exact in decimal arithmetic."""
+    return F.sum(_c(x).cast(EXACT_DECIMAL) * _c(w).cast("decimal(10,0)")).cast("double")

@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from contrasta.functions.mathx import chi2_sf, exact_mean, normal_two_sided_p
+from contrasta.functions.mathx import chi2_sf, exact_weighted_sum, normal_two_sided_p
 
 def _null_d():
     return F.lit(None).cast("double")
@@ -52,6 +52,34 @@ def _pos_value(cum: Column, prev: Column, k: Column) -> Column:
     return F.min(F.when((prev < k) & (cum >= k), F.col("value")))
 
 
+def cumulative(hist: DataFrame, keys, cols, value_col: str = "value",
+               num_partitions: int | None = None) -> DataFrame:
+    """Inclusive running sums of ``cols`` over ``value_col`` within each key, plus
+    per-key totals (``cum_<c>``, ``total_<c>``), without putting a key in one task.
+
+    The histogram is range-partitioned on ``(keys, value)``, so one key's values
+    spread over many contiguous partitions; running sums are taken inside each
+    (key, partition) run and shifted by the totals of the earlier partitions of
+    that key (a table of ``keys x partitions`` rows).
+    """
+    keys = list(keys)
+    order = [*keys, value_col]
+    r = hist.repartitionByRange(num_partitions, *order) if num_partitions else hist.repartitionByRange(*order)
+    r = r.withColumn("_pid", F.spark_partition_id())
+    w_local = Window.partitionBy(*keys, "_pid").orderBy(value_col).rowsBetween(Window.unboundedPreceding, 0)
+    local = r.select("*", *[F.sum(c).over(w_local).alias(f"_lc_{c}") for c in cols])
+    # run totals read off the windowed rows (same partitioning: no new shuffle, one scan)
+    tot = local.groupBy(*keys, "_pid").agg(*[F.max(f"_lc_{c}").alias(f"_pt_{c}") for c in cols])
+    before = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*keys)
+    off = tot.select(*keys, "_pid",
+                     *[F.coalesce(F.sum(f"_pt_{c}").over(before), F.lit(0)).alias(f"_off_{c}") for c in cols],
+                     *[F.sum(f"_pt_{c}").over(whole).alias(f"total_{c}") for c in cols])
+    j = local.join(off, [*keys, "_pid"])
+    return j.select(*hist.columns, *[(F.col(f"_lc_{c}") + F.col(f"_off_{c}")).alias(f"cum_{c}") for c in cols],
+                    *[F.col(f"total_{c}") for c in cols])
+
+
 def mann_whitney(long_df: DataFrame, a: str, b: str, keys=("feature",),
                  group_col: str = "domain") -> DataFrame:
     """Per key: n, mean, median of both samples, U of sample ``a``, two-sided
@@ -61,29 +89,22 @@ def mann_whitney(long_df: DataFrame, a: str, b: str, keys=("feature",),
     effect_size``. Samples are cleaned of null/NaN first.
     """
     keys = list(keys)
-    clean = clean_values(long_df)
-    hist = _histogram(clean, keys, group_col, a, b)
+    hist = _histogram(clean_values(long_df), keys, group_col, a, b)
     hist = hist.withColumn("cb", F.col("t") - F.col("ca"))
-    w = Window.partitionBy(*keys).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = (hist.withColumn("cum", F.sum("t").over(w))
-              .withColumn("cum_a", F.sum("ca").over(w))
-              .withColumn("cum_b", F.sum("cb").over(w)))
-    tot = Window.partitionBy(*keys)
-    ranked = (ranked.withColumn("midrank", F.col("cum") - (F.col("t") - 1) / 2.0)
-              .withColumn("na_all", F.sum("ca").over(tot))
-              .withColumn("nb_all", F.sum("cb").over(tot)))
+    ranked = cumulative(hist, keys, ["t", "ca", "cb"])
+    ranked = (ranked.withColumnsRenamed({"cum_t": "cum", "cum_ca": "cum_a", "cum_cb": "cum_b",
+                                         "total_ca": "na_all", "total_cb": "nb_all"})
+              .withColumn("midrank", F.col("cum") - (F.col("t") - 1) / 2.0))
     out = ranked.groupBy(*keys).agg(
         F.sum("ca").alias("n_a"), F.sum("cb").alias("n_b"),
         F.sum(F.col("ca") * F.col("midrank")).alias("r_a"),
+        # partition-independent sums: decimal value x count products are exact
+        exact_weighted_sum("value", "ca").alias("sum_a"), exact_weighted_sum("value", "cb").alias("sum_b"),
         F.sum(F.col("t").cast("double") ** 3 - F.col("t")).alias("ties"),
         _median("cum_a", "ca", "na_all").alias("median_a"),
         _median("cum_b", "cb", "nb_all").alias("median_b"))
-    # means from a second map-side-combined aggregate (partition-independent sums)
-    d = F.col(group_col)
-    means = clean.where(d.isin(a, b)).groupBy(*keys).agg(
-        exact_mean(F.when(d == a, F.col("value"))).alias("mean_a"),
-        exact_mean(F.when(d == b, F.col("value"))).alias("mean_b"))
-    out = out.join(means, keys, "left")
+    out = out.withColumn("mean_a", F.when(F.col("n_a") > 0, F.col("sum_a") / F.col("n_a"))) \
+             .withColumn("mean_b", F.when(F.col("n_b") > 0, F.col("sum_b") / F.col("n_b")))
     n_a, n_b = F.col("n_a").cast("double"), F.col("n_b").cast("double")
     n = n_a + n_b
     u = F.col("r_a") - n_a * (n_a + 1) / 2.0
@@ -118,9 +139,7 @@ def exact_quantiles(long_df: DataFrame, keys, probs, value_col: str = "value") -
     keys = list(keys)
     hist = (clean_values(long_df, value_col).groupBy(*keys, value_col)
             .agg(F.count(F.lit(1)).alias("t")))
-    w = Window.partitionBy(*keys).orderBy(value_col).rowsBetween(Window.unboundedPreceding, 0)
-    h = (hist.withColumn("cum", F.sum("t").over(w))
-         .withColumn("n", F.sum("t").over(Window.partitionBy(*keys))))
+    h = cumulative(hist, keys, ["t"], value_col).withColumnsRenamed({"cum_t": "cum", "total_t": "n"})
     aggs = []
     v = F.col(value_col)
     prev = F.col("cum") - F.col("t")
