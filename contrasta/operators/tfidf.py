@@ -5,9 +5,9 @@ then L2 normalisation per document; N counts every document of both domains.
 Vocabulary: terms with ``df >= min_df`` and ``df <= max_df * N`` (fractions) and the
 ``max_features`` terms with the largest corpus frequency among them.
 
-Plan shape: documents arrive hash-partitioned by ``doc_id`` (``prepare_corpus``), so
-term counts, the per-document norm and the weights run inside that partitioning
-without a shuffle (``num_partitions`` forces one for arbitrary input). The
+Plan shape: the stop-filtered token arrays are hash-partitioned by ``doc_id`` once;
+term counts, the per-document norm and the weights then run inside that
+partitioning. The
 document-frequency aggregate is combined map-side before its shuffle, the
 vocabulary is a bounded top-k (broadcast only when ``max_features`` bounds it),
 and per-domain means aggregate at most ``partitions x vocabulary`` rows.
@@ -29,8 +29,8 @@ def term_frequencies(docs: DataFrame, text_col: str = "text_lemma", stop_words=N
     """``(doc_id, domain, term, tf)`` for every n-gram of every document."""
     base = docs.select("doc_id", "domain", tk.tfidf_tokens(text_col).alias("_toks"))
     kept = tk.remove_stop_words(base, "_toks", "_kept", stop_words).select("doc_id", "domain", "_kept")
-    if num_partitions:
-        kept = kept.repartition(num_partitions, "doc_id")
+    # one shuffle of the compact token arrays by doc_id; counts and norms then stay local
+    kept = kept.repartition(num_partitions, "doc_id") if num_partitions else kept.repartition("doc_id")
     grams = kept.select("doc_id", "domain",
                         F.explode(tk.ngrams("_kept", ngram_range[0], ngram_range[1])).alias("term"))
     return grams.groupBy("doc_id", "domain", "term").agg(F.count(F.lit(1)).alias("tf"))
