@@ -80,9 +80,14 @@ def top_n_per_domain(means: DataFrame, top_n: int = 25) -> DataFrame:
 
 
 def fit(docs: DataFrame, text_col: str = "text_lemma", max_features: int | None = 5000,
-        ngram_range=(1, 2), min_df=5, max_df=0.95, stop_words=None):
-    """Vectoriser fit over both domains: returns ``(tf, sizes, vocab, weights)``."""
+        ngram_range=(1, 2), min_df=5, max_df=0.95, stop_words=None, materialize=None):
+    """Vectoriser fit over both domains: returns ``(tf, sizes, vocab, weights)``.
+
+    ``materialize`` (e.g. a checkpoint) is applied to the term-frequency table,
+    which both the vocabulary and the weights read."""
     tf = term_frequencies(docs, text_col, stop_words, ngram_range)
+    if materialize is not None:
+        tf = materialize(tf)
     sizes = domain_sizes(docs)
     vocab = vocabulary(tf, sizes, min_df, max_df, max_features)
     bounded = max_features is not None and max_features <= MAX_BROADCAST_ROWS

@@ -68,7 +68,7 @@ def features(spark, sf) -> DataFrame:
 
 def tfidf_fit(spark, sf):
     docs = materialize(with_lemmas(two_domain_corpus(spark, sf)))
-    return docs, tfidf.fit(docs)
+    return docs, tfidf.fit(docs, materialize=materialize)
 
 
 # ---------------------------------------------------------------- text surface

@@ -32,7 +32,7 @@ def compare_corpora(raw_docs: DataFrame, rules: dict[str, str], a: str = "covid"
     corpus = prepare_corpus(raw_docs, rules, english_domain=a, materialize=_materialize)
     docs = _materialize(with_lemmas(corpus.where(F.col("domain").isin(a, b))))
     feats = _materialize(feature_table(docs, lemmas=False))
-    _, sizes, _, weights = tfidf.fit(docs)
+    _, sizes, _, weights = tfidf.fit(docs, materialize=_materialize)
     weights = _materialize(weights)
     top = _materialize(tfidf.top_n_per_domain(tfidf.mean_scores(weights, sizes), top_n))
     records, examples = an.term_context(weights, feats, top, examples_per_term)
