@@ -313,22 +313,76 @@ def poisson1_weight(u: Column) -> Column:
     return w
 
 
+MIX_M = 0x7FFFFFFF
+MIX_A, MIX_B = 739982445, 695872825
+
+
+def _replicate_sums_fn(keys, id_col, value_col, seed_col, n_boot, thresholds, chunk=256):
+    """Per-partition replicate sums ``(keys, _b, _sx, _sw)`` with numpy: the same
+    integer mixer as ``uniform_from`` and the same Poisson(1) inverse CDF."""
+    import numpy as np
+    import pandas as pd
+
+    cuts = np.asarray(thresholds, dtype=np.float64)
+    reps = np.arange(1, n_boot + 1, dtype=np.int64)
+
+    def run(batches):
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            for kv, g in pdf.groupby(keys, sort=False, dropna=False):
+                kv = kv if isinstance(kv, tuple) else (kv,)
+                sx = np.zeros(n_boot)
+                sw = np.zeros(n_boot, dtype=np.int64)
+                ids = g[id_col].to_numpy(np.int64)
+                xs = g[value_col].to_numpy(np.float64)
+                seeds = g[seed_col].to_numpy(np.int64)
+                for start in range(0, len(g), chunk):
+                    i, x, sd = ids[start:start + chunk, None], xs[start:start + chunk, None], seeds[start:start + chunk, None]
+                    h = ((sd * 7919 + reps[None, :]) * 1000003 + i) & MIX_M
+                    h ^= h >> 15
+                    h = (h * MIX_A) & MIX_M
+                    h ^= h >> 12
+                    h = (h * MIX_B) & MIX_M
+                    h ^= h >> 15
+                    w = np.searchsorted(cuts, h / 2147483648.0, side="right")
+                    sw += w.sum(axis=0)
+                    sx += (w * x).sum(axis=0)
+                out = pd.DataFrame({"_b": reps, "_sx": sx, "_sw": sw})
+                for k, v in zip(keys, kv):
+                    out.insert(len(out.columns) - 3, k, v)
+                yield out[[*keys, "_b", "_sx", "_sw"]]
+    return run
+
+
 def bootstrap_mean_ci(long_df: DataFrame, keys, id_col: str = "row_id", value_col: str = "value",
                       n_boot: int = 2000, seed: int = 42, ci: float = 95.0,
-                      seed_col: str | None = None) -> DataFrame:
+                      seed_col: str | None = None, method: str = "partition") -> DataFrame:
     """Percentile interval of the mean by the Poisson(1) replicate-weight bootstrap
     (Chamandy et al. 2012): each row gets a weight per replicate from a hash, so
     replicate sums are combined map-side and only ``keys x n_boot`` rows shuffle.
-    Returns ``keys, ci_lower, ci_upper``; empty samples give nulls."""
+    Returns ``keys, ci_lower, ci_upper``; empty samples give nulls.
+
+    ``method="partition"`` (default) sums the replicate weights of each task's
+    rows with numpy inside ``mapInPandas`` and emits ``groups x n_boot`` partial
+    sums per task; ``method="explode"`` does the same with one generated row per
+    (row, replicate) in native expressions. Both use identical weights."""
     keys = list(keys)
     d = clean_values(long_df, value_col)
-    reps = F.explode(F.sequence(F.lit(1), F.lit(n_boot))).alias("_b")
     sd = F.col(seed_col) if seed_col else F.lit(seed)
-    ex = d.select(*keys, id_col, value_col, sd.alias("_seed"), reps)
-    ex = ex.withColumn("_w", poisson1_weight(uniform_from(F.col("_seed"), F.col("_b"), F.col(id_col))))
-    rep = (ex.groupBy(*keys, "_b")
-           .agg(F.sum(F.col("_w") * F.col(value_col)).alias("_sx"), F.sum("_w").alias("_sw"))
-           .where(F.col("_sw") > 0)
+    if method == "partition":
+        src = d.select(*keys, F.col(id_col).cast("long").alias(id_col), F.col(value_col).cast("double").alias(value_col),
+                       sd.cast("long").alias("_seed"))
+        schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields if f.name in keys]
+                           + ["_b long", "_sx double", "_sw long"])
+        part = src.mapInPandas(_replicate_sums_fn(keys, id_col, value_col, "_seed", n_boot, poisson1_thresholds()), schema)
+        sums = part.groupBy(*keys, "_b").agg(F.sum("_sx").alias("_sx"), F.sum("_sw").alias("_sw"))
+    else:
+        reps = F.explode(F.sequence(F.lit(1), F.lit(n_boot))).alias("_b")
+        ex = d.select(*keys, id_col, value_col, sd.alias("_seed"), reps)
+        ex = ex.withColumn("_w", poisson1_weight(uniform_from(F.col("_seed"), F.col("_b"), F.col(id_col))))
+        sums = ex.groupBy(*keys, "_b").agg(F.sum(F.col("_w") * F.col(value_col)).alias("_sx"), F.sum("_w").alias("_sw"))
+    rep = (sums.where(F.col("_sw") > 0)
            .select(*keys, "_b", (F.col("_sx") / F.col("_sw")).alias("value")))
     alpha = (100.0 - ci) / 2.0 / 100.0
     q = exact_quantiles(rep, keys, [alpha, 1 - alpha])
