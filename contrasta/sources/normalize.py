@@ -18,7 +18,14 @@ TEXT_CANDIDATES = ["tweet_text", "claim", "social_media_text", "article_headline
 LABEL_CANDIDATES = ["binary_label", "veracity", "tweet_label", "claim_label", "label", "label_2",
                     "three_label"]
 UNIFIED = ["doc_id", "text", "label", "source", "dataset"]
-LABEL_SOURCES = ["cdl", "princeton", "quotaclimat", "climate_fever_direct", "climatecheck"]
+# Source tags and default dataset names written by the adapters.
+SOURCE_GENERAL, DATASET_GENERAL = "cdl", "complexdatalab"
+SOURCE_HEADLINES, DATASET_HEADLINES = "princeton", "jns-covid_misinfo"
+DATASET_CLAIMS = "climate_fever"
+SOURCE_QUOTES = DATASET_QUOTES = "quotaclimat"
+SOURCE_DIRECT = DATASET_DIRECT = "climate_fever_direct"
+SOURCE_CHECK = DATASET_CHECK = "climatecheck"
+LABEL_SOURCES = [SOURCE_GENERAL, SOURCE_HEADLINES, SOURCE_QUOTES, SOURCE_DIRECT, SOURCE_CHECK]
 
 
 def _first_present(df: DataFrame, candidates):
@@ -30,44 +37,44 @@ def _default(df: DataFrame, col: str, value: str):
     return F.col(col) if col in df.columns else F.lit(value)
 
 
-def normalize_cdl(df: DataFrame, dataset: str = "complexdatalab") -> DataFrame:
+def normalize_cdl(df: DataFrame, dataset: str = DATASET_GENERAL) -> DataFrame:
     """First non-null (after NA tokens) of the candidate text and label columns."""
     return df.select("doc_id", _first_present(df, TEXT_CANDIDATES).alias("text"),
-                     _first_present(df, LABEL_CANDIDATES).alias("label"), F.lit("cdl").alias("source"),
+                     _first_present(df, LABEL_CANDIDATES).alias("label"), F.lit(SOURCE_GENERAL).alias("source"),
                      _default(df, "dataset", dataset).alias("dataset"))
 
 
 def normalize_princeton(df: DataFrame) -> DataFrame:
     return df.select("doc_id", F.col("Title").alias("text"), F.lit("misinformation").alias("label"),
-                     F.lit("covid").alias("domain"), F.lit("princeton").alias("source"),
-                     F.lit("jns-covid_misinfo").alias("dataset"))
+                     F.lit("covid").alias("domain"), F.lit(SOURCE_HEADLINES).alias("source"),
+                     F.lit(DATASET_HEADLINES).alias("dataset"))
 
 
 def normalize_climate_fever(df: DataFrame) -> DataFrame:
     d = df.drop("label") if "label" in df.columns else df
     d = d.withColumnsRenamed({"claim": "text", "veracity": "label"})
-    return d.select("doc_id", "text", F.col("label").cast("string").alias("label"), F.lit("cdl").alias("source"),
-                    _default(d, "dataset", "climate_fever").alias("dataset"))
+    return d.select("doc_id", "text", F.col("label").cast("string").alias("label"), F.lit(SOURCE_GENERAL).alias("source"),
+                    _default(d, "dataset", DATASET_CLAIMS).alias("dataset"))
 
 
 def normalize_quotaclimat(df: DataFrame) -> DataFrame:
     d = df.where(F.col("language") == "en").withColumnRenamed("quote", "text")
     return d.select("doc_id", "text", F.col("label").cast("string").alias("label"),
-                    F.lit("quotaclimat").alias("source"), _default(d, "dataset", "quotaclimat").alias("dataset"))
+                    F.lit(SOURCE_QUOTES).alias("source"), _default(d, "dataset", DATASET_QUOTES).alias("dataset"))
 
 
 def normalize_climate_fever_direct(df: DataFrame) -> DataFrame:
     d = df.withColumnsRenamed({"claim": "text", "claim_label": "label"})
     return d.select("doc_id", "text", F.col("label").cast("string").alias("label"),
-                    F.lit("climate_fever_direct").alias("source"),
-                    _default(d, "dataset", "climate_fever_direct").alias("dataset"))
+                    F.lit(SOURCE_DIRECT).alias("source"),
+                    _default(d, "dataset", DATASET_DIRECT).alias("dataset"))
 
 
 def normalize_climatecheck(df: DataFrame) -> DataFrame:
     """Rename, then keep-first dedupe on the raw text (before labels)."""
     d = df.withColumnsRenamed({"claim": "text", "annotation": "label"})
     d = d.select("doc_id", "text", F.col("label").cast("string").alias("label"),
-                 F.lit("climatecheck").alias("source"), F.lit("climatecheck").alias("dataset"))
+                 F.lit(SOURCE_CHECK).alias("source"), F.lit(DATASET_CHECK).alias("dataset"))
     return dedupe_keep_first(d, "text")
 
 
@@ -149,13 +156,13 @@ def raw_label_sources(spark, sf) -> DataFrame:
            .when(k == 4, F.lit("TRUE"))
            .when(k == 5, F.lit(None).cast("string"))
            .otherwise(F.lit("unknown")))
-    parts = [lab.select(F.lit("cdl").alias("source"), "doc_id", cdl.alias("label"))]
-    parts.append(princeton_raw(spark, sf).select(F.lit("princeton").alias("source"), "doc_id",
+    parts = [lab.select(F.lit(SOURCE_GENERAL).alias("source"), "doc_id", cdl.alias("label"))]
+    parts.append(princeton_raw(spark, sf).select(F.lit(SOURCE_HEADLINES).alias("source"), "doc_id",
                                                  F.lit("misinformation").alias("label")))
-    parts.append(quotaclimat_raw(spark, sf).select(F.lit("quotaclimat").alias("source"), "doc_id", "label"))
+    parts.append(quotaclimat_raw(spark, sf).select(F.lit(SOURCE_QUOTES).alias("source"), "doc_id", "label"))
     parts.append(climate_fever_direct_raw(spark, sf).select(
-        F.lit("climate_fever_direct").alias("source"), "doc_id", F.col("claim_label").cast("string").alias("label")))
-    parts.append(climatecheck_raw(spark, sf).select(F.lit("climatecheck").alias("source"), "doc_id",
+        F.lit(SOURCE_DIRECT).alias("source"), "doc_id", F.col("claim_label").cast("string").alias("label")))
+    parts.append(climatecheck_raw(spark, sf).select(F.lit(SOURCE_CHECK).alias("source"), "doc_id",
                                                     F.col("annotation").alias("label")))
     out = parts[0]
     for p in parts[1:]:
