@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from contrasta.functions.mathx import chi2_sf, exact_weighted_sum, normal_two_sided_p
+from contrasta.session import ensure_checkpoint_dir
 
 def _null_d():
     return F.lit(None).cast("double")
@@ -66,6 +67,11 @@ def cumulative(hist: DataFrame, keys, cols, value_col: str = "value",
     order = [*keys, value_col]
     r = hist.repartitionByRange(num_partitions, *order) if num_partitions else hist.repartitionByRange(*order)
     r = r.withColumn("_pid", F.spark_partition_id())
+    # both consumers below must see the same range split: a (lazy, reliable) checkpoint
+    # makes them read one RDD over one shuffle instead of planning two range shuffles
+    # whose sampled bounds could differ
+    ensure_checkpoint_dir(hist.sparkSession)
+    r = r.checkpoint(eager=False)
     w_local = Window.partitionBy(*keys, "_pid").orderBy(value_col).rowsBetween(Window.unboundedPreceding, 0)
     local = r.select("*", *[F.sum(c).over(w_local).alias(f"_lc_{c}") for c in cols])
     # run totals read off the windowed rows (same partitioning: no new shuffle, one scan)
