@@ -22,8 +22,20 @@ def test_u_test_is_range_partitioned(spark):
     df = spark.range(200).select(F.lit("f").alias("feature"), F.when(F.col("id") % 2 == 0, "covid").otherwise("climate").alias("domain"),
                                  (F.col("id") % 37).cast("double").alias("value"))
     p = _plan(st.mann_whitney(df, "covid", "climate"))
-    assert "rangepartitioning(" in p
-    assert "partial_count" in p  # histogram combined map-side
+    # the range-partitioned histogram is read as one checkpointed split by both branches
+    assert "_pid" in p and "ExistingRDD" in p
+
+
+def test_cumulative_over_many_range_partitions(spark):
+    vals = [(k, float(v), 1 + (v % 3)) for k in ("a", "b") for v in range(60)]
+    hist = spark.createDataFrame(vals, "k string, value double, t long")
+    got = {(r.k, r.value): (r.cum_t, r.total_t) for r in st.cumulative(hist, ["k"], ["t"], num_partitions=7).collect()}
+    for k in ("a", "b"):
+        run = 0
+        tot = sum(1 + (v % 3) for v in range(60))
+        for v in range(60):
+            run += 1 + (v % 3)
+            assert got[(k, float(v))] == (run, tot)
 
 
 def test_lexicon_is_broadcast_and_no_python(spark):
