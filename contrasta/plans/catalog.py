@@ -138,6 +138,18 @@ def q_lang_detect(spark, sf):
     return d.select("doc_id", "lang").join(det, "doc_id", "left")
 
 
+def q_lang_accuracy(spark, sf):
+    """Detector accuracy against the ``lang`` column, per true language."""
+    d = table(spark, sf, "documents")
+    det = detect_language(d.select("doc_id", "text"))
+    j = d.select("doc_id", "lang").join(det, "doc_id", "left")
+    return finalize(j.groupBy("lang").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(F.col("lang_detected") == F.col("lang")).alias("n_correct"),
+        F.count_if(F.col("lang_detected").isNull()).alias("n_undecided"),
+        (F.count_if(F.col("lang_detected") == F.col("lang")) / F.count(F.lit(1))).alias("accuracy")))
+
+
 # ---------------------------------------------------------------- scoring
 
 def q_lemmatize(spark, sf):
@@ -339,6 +351,7 @@ QUERIES = {
     "preprocess_corpus": q_preprocess_corpus,
     "value_counts": q_value_counts,
     "lang_detect": q_lang_detect,
+    "lang_accuracy": q_lang_accuracy,
     "lemmatize": q_lemmatize,
     "sentiment": q_sentiment,
     "emotion": q_emotion,

@@ -489,6 +489,18 @@ best AS (SELECT doc_id, lang AS lang_detected FROM hits QUALIFY row_number() OVE
 SELECT d.doc_id, d.lang, b.lang_detected FROM documents d LEFT JOIN best b USING (doc_id)"""
 
 
+def sql_lang_accuracy() -> str:
+    return f"""WITH {lang_profile()},
+tok AS (SELECT doc_id, unnest({word_tokens(decode('text'))}) AS word FROM documents),
+hits AS (SELECT t.doc_id, p.lang, count(*) AS n FROM tok t JOIN lang_profile p USING (word) GROUP BY ALL),
+best AS (SELECT doc_id, lang AS lang_detected FROM hits QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, lang) = 1),
+j AS (SELECT d.lang, b.lang_detected FROM documents d LEFT JOIN best b USING (doc_id))
+SELECT lang, count(*) AS n, count(*) FILTER (WHERE lang_detected = lang) AS n_correct,
+       count(*) FILTER (WHERE lang_detected IS NULL) AS n_undecided,
+       {r('count(*) FILTER (WHERE lang_detected = lang) / count(*)')} AS accuracy
+FROM j GROUP BY lang"""
+
+
 def sql_lemmatize() -> str:
     return f"WITH {corpus_ctes()}, {lemma_ctes()} SELECT doc_id, text_lemma FROM lem"
 
@@ -884,6 +896,7 @@ ORACLE = {
     "preprocess_corpus": sql_preprocess_corpus,
     "value_counts": sql_value_counts,
     "lang_detect": sql_lang_detect,
+    "lang_accuracy": sql_lang_accuracy,
     "lemmatize": sql_lemmatize,
     "sentiment": sql_sentiment,
     "emotion": sql_emotion,
