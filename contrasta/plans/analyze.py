@@ -131,21 +131,25 @@ def term_context(weights: DataFrame, features: DataFrame, top: DataFrame,
     sizes = features.groupBy("domain").agg(F.count(F.lit(1)).alias("document_count"))
     t = F.broadcast(top.select("domain", "term", "rank", "mean_tfidf"))
     m = weights.join(t, ["domain", "term"]).where(F.col("score") > 0)
-    feats = features.select("doc_id", "text", "dataset", "source", "dominant_emotion",
-                            "vader_neg", "vader_neu", "vader_pos", "vader_compound", *EMOTION_COLUMNS)
-    j = m.join(feats, "doc_id")
     vader = ["vader_neg", "vader_neu", "vader_pos", "vader_compound"]
-    rec = j.groupBy("domain", "term", "rank", "mean_tfidf").agg(
+    # aggregates need only the numeric columns: no document text travels with the
+    # (document, term) matches
+    nums = features.select("doc_id", *vader, *EMOTION_COLUMNS)
+    rec = m.join(nums, "doc_id").groupBy("domain", "term", "rank", "mean_tfidf").agg(
         F.count(F.lit(1)).alias("document_frequency"),
         *[exact_mean(c).alias(f"avg_{c}") for c in vader + EMOTION_COLUMNS])
     rec = rec.join(F.broadcast(sizes), "domain").withColumn(
         "share_of_domain_docs", F.col("document_frequency") / F.col("document_count"))
+    # examples: top-k per term first (limited map-side), then fetch text for those rows only
     w = Window.partitionBy("domain", "term").orderBy(F.desc("score"), F.asc("doc_id"))
-    ex = (j.withColumn("example_rank", F.row_number().over(w).cast("long")).where(F.col("example_rank") <= examples_per_term)
-          .select("domain", "term", "rank", "example_rank", "doc_id", truncate_text("text").alias("text"),
-                  F.coalesce(F.col("dataset").cast("string"), F.lit("")).alias("dataset"),
-                  F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"),
-                  F.col("score").alias("term_tfidf_score"), "vader_compound", "dominant_emotion"))
+    best = (m.withColumn("example_rank", F.row_number().over(w).cast("long"))
+            .where(F.col("example_rank") <= examples_per_term))
+    info = features.select("doc_id", "text", "dataset", "source", "vader_compound", "dominant_emotion")
+    ex = best.join(info, "doc_id").select(
+        "domain", "term", "rank", "example_rank", "doc_id", truncate_text("text").alias("text"),
+        F.coalesce(F.col("dataset").cast("string"), F.lit("")).alias("dataset"),
+        F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"),
+        F.col("score").alias("term_tfidf_score"), "vader_compound", "dominant_emotion")
     return rec, ex
 
 
