@@ -24,19 +24,23 @@ def prepare_corpus(docs: DataFrame, rules: dict[str, str] | None = None,
     The documents are shuffled once, by ``doc_id``, before cleaning; the dedupe
     semi join, the language join and every later per-document join reuse that
     partitioning (only small id/score rows move after it). ``materialize`` (e.g. a
-    checkpoint into the shared checkpoint folder) is applied to the de-duplicated
-    table so the language branch and the main branch read it instead of
-    re-running the cleaning.
+    checkpoint into the shared checkpoint folder) is applied to the result.
     """
+    # rows without an id never survive the keep-first semi join; filtering them first
+    # also keeps every branch on the same (reused) doc_id exchange
+    docs = docs.where(F.col("doc_id").isNotNull())
     d = docs.repartition(num_partitions, "doc_id") if num_partitions else docs.repartition("doc_id")
     d = assign_domain(d, rules) if assign else d
     d = computed_once(d, clean_text("text"), "text").where(F.col("text") != "")
     d = dedupe_keep_first(d, "text", within=("domain",))
     d = d.na.drop(subset=["text"])
-    if materialize is not None:
-        d = materialize(d)
     if english_domain is not None:
         is_target = F.col("domain") == english_domain
-        lang = detect_language(d.where(is_target), "text")
+        # only the target domain's texts are tokenised (others become null), without a
+        # filter: both branches keep one plan, the doc_id exchange is shared and the
+        # per-document language rows join co-partitioned (no second text shuffle)
+        probe = d.select("doc_id", F.when(is_target, F.col("text")).alias("_lt"))
+        lang = detect_language(probe, "_lt")
         d = d.join(lang, "doc_id", "left").where(~is_target | (F.col("lang_detected") == "en"))
-    return d.select(*[c for c in UNIFIED if c in d.columns])
+    d = d.select(*[c for c in UNIFIED if c in d.columns])
+    return materialize(d) if materialize is not None else d
