@@ -82,3 +82,12 @@ def test_label_map_is_broadcast(spark):
     df = spark.createDataFrame([(1, "1")], "doc_id int, label string")
     plan = harmonize_labels(df, "cdl")._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" in plan
+
+
+def test_check_alignment_raises_on_mismatch(spark):
+    from contrasta.operators._util import check_alignment
+    a = spark.createDataFrame([(1,), (2,)], "doc_id long")
+    b = spark.createDataFrame([(1,), (3,)], "doc_id long")
+    check_alignment(a, a)
+    with pytest.raises(ValueError):
+        check_alignment(a, b)
