@@ -49,7 +49,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
-    if not sc.master.startswith("local"):
+    if not (sc.master == "local" or sc.master.startswith("local[")):
         raise ValueError("set spark.checkpoint.dir to a shared folder on a cluster")
     path = tempfile.mkdtemp(prefix="contrasta-ckpt-", dir="/tmp")
     sc.setCheckpointDir(path)
