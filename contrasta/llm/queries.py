@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing
+from . import mixing, ngram_join, packing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,4 +19,9 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_mixing": op2_mixing, "op9_packing": op9_packing}
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicate_groups(table(spark, sf_dir, "documents"), n=3, percent=90).select(
+        "doc_id", "n_shingles", "component_id", "class_id")
+
+
+QUERIES = {"op2_mixing": op2_mixing, "op10_ngram_join": op10_ngram_join, "op9_packing": op9_packing}
