@@ -16,7 +16,8 @@ def brute(rows, n=3, percent=90):
 
     def root(i):
         while up[i] != i:
-            i = up[i] = up[up[i]]
+            up[i] = up[up[i]]
+            i = up[i]
         return i
     for i in sets:
         for j in range(i):
