@@ -3,9 +3,13 @@
 A document's set holds the 64-bit hashes of its distinct ``n``-word shingles. For a threshold ``t``
 two sets of Jaccard similarity ``t`` or more share a token among the first
 ``size - ceil(t * size) + 1`` tokens of both, under every total order of the tokens. Two orders are
-used: A puts long shingles first (these are rare, so few sets meet by chance), B is another hash
-order. A pair is verified only if it passes both filters.
+used: A puts long shingles first (these are rare, so few sets meet by chance), B is a hash order;
+both put the corpus's most frequent shingles last, so that shared passages do not meet. A pair is
+verified only if its sizes allow it and it passes both filters. For B the prefixes are also
+compared: up to where both are known, they must not differ by more than linked sets may.
 
+0. Shingles that are frequent in some batch are counted over all batches; the ``frequent`` most
+   frequent go last. This only chooses the orders: results do not depend on it.
 1. Rows with equal sets collapse into a class named by its smallest id, so copies are never paired.
 2. Postings (token, class) of the A prefixes are counted. Tokens of at most ``cold_rows`` classes
    give all their pairs; those whose B prefixes meet too are verified.
@@ -19,8 +23,8 @@ order. A pair is verified only if it passes both filters.
 4. Links become components by repeated minimum propagation.
 
 Defined cases: null or blank texts have the empty set and are linked with nothing; a null id is
-allowed, its row then carries the component of its equals, or null; repeated rows are equals; an
-empty table gives no rows; other columns are ignored.
+allowed, its row then carries the component of its equals, or null; repeated rows are equals (all
+rows of one id must hold one text); an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +34,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._util import materialize
@@ -38,7 +43,7 @@ from ._util import materialize
 #: The bytes of A-Z become those of a-z, and all that separates words becomes a space.
 _LOWER = bytes.maketrans(bytes(range(65, 91)) + b"\t\n\x0b\x0c\r", bytes(range(97, 123)) + b" " * 5)
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
-_LEN_BITS = np.uint64(56)
+_LEN_BITS, _TOP = np.uint64(56), np.uint64(1 << 63)
 CACHE_WORDS = 300_000
 
 
@@ -51,12 +56,13 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Distinct shingles of a text as sorted uint64.
 
-    The upper 8 bits hold 255 minus the shingle's length in bytes (at least 0), the others a hash:
-    in ascending order long shingles come first. Order B is ascending ``reorder`` of the tokens.
+    The top bit is set for shingles in ``last``; the next 7 hold 127 minus the shingle's length in
+    bytes (at least 0), the others a hash: in ascending order long shingles come first. Order B is
+    ascending ``reorder`` of the tokens.
     """
 
-    def __init__(self, n: int) -> None:
-        self.n, self._known = n, {}
+    def __init__(self, n: int, last: np.ndarray | None = None) -> None:
+        self.n, self._known, self.last = n, {}, last
 
     def _word_hashes(self, words: list[bytes]) -> np.ndarray:
         known = self._known
@@ -84,42 +90,63 @@ class Shingler:
             for i in range(k):
                 token = _mix(token * _M1 + h[i:m + i])
                 length += size[i:m + i]
-        rank = (255 - np.minimum(length, 255)).astype(np.uint64)
-        return np.unique(rank << _LEN_BITS | token >> np.uint64(8))
+        rank = (127 - np.minimum(length, 127)).astype(np.uint64)
+        tokens = np.unique(rank << _LEN_BITS | token >> np.uint64(8))
+        if self.last is not None and len(self.last):
+            at = np.minimum(np.searchsorted(self.last, tokens), len(self.last) - 1)
+            tokens[self.last[at] == tokens] |= _TOP
+            tokens.sort()
+        return tokens
 
 
 def reorder(tokens: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return _mix((tokens & np.uint64((1 << 56) - 1)) * _M2 + _M3)
+        return _mix((tokens & np.uint64((1 << 56) - 1)) * _M2 + _M3) >> np.uint64(1) | tokens & _TOP
 
 
 def prefix_length(size: int, percent: int) -> int:
     return size - -(-percent * size // 100) + 1
 
 
-def _sets(docs: DataFrame, n: int, percent: int, whole: bool) -> DataFrame:
-    """Class signature, size and A prefix of every row; or, if ``whole``, the set and its B prefix.
+def _signed(x: np.ndarray) -> np.ndarray:
+    """With the top bit flipped signed numbers sort as the unsigned ones do."""
+    return (x ^ _TOP).view(np.int64)
 
-    Tokens are signed 64-bit with the top bit flipped, so they sort as the unsigned ones do.
-    """
-    flip = np.uint64(1 << 63)
 
-    def signed(x: np.ndarray) -> np.ndarray:
-        return (x ^ flip).view(np.int64)
+def frequent_shingles(docs: DataFrame, n: int, most: int, in_batch: int = 4) -> np.ndarray:
+    """At most ``most`` of the shingles that many different sets hold, most frequent first chosen.
 
+    A batch reports the shingles that ``in_batch`` or more of its different sets hold.
+    """
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(n)
+        for batch in batches:
+            sets = {s.tobytes() for s in (shingles(t) for t in batch.column(0).to_pylist())}
+            if sets:
+                token, count = np.unique(np.frombuffer(b"".join(sets), dtype=np.uint64), return_counts=True)
+                many = count >= in_batch
+                yield pa.RecordBatch.from_arrays([pa.array(token[many].view(np.int64)), pa.array(count[many].astype(np.int64))], names=["token", "m"])
+
+    counted = docs.select("text").mapInArrow(rows, "token long, m long").groupBy("token").agg(F.sum("m").alias("m"))
+    found = counted.orderBy(F.desc("m"), "token").limit(most).select("token").toPandas()
+    return np.sort(found["token"].to_numpy(dtype=np.int64).view(np.uint64))
+
+
+def _sets(docs: DataFrame, n: int, percent: int, whole: bool, last: Broadcast) -> DataFrame:
+    """Class signature, size and A prefix of every row; or, if ``whole``, the set and its B prefix."""
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingler(n, last.value)
         for batch in batches:
             sets = [shingles(t) for t in batch.column(1).to_pylist()]
             keep = [prefix_length(len(s), percent) if len(s) else 0 for s in sets]
             if whole:
                 second = [np.sort(reorder(s))[:k] for s, k in zip(sets, keep, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), _lists([signed(s) for s in sets]), _lists([signed(x) for x in second])],
+                yield pa.RecordBatch.from_arrays([batch.column(0), _lists([_signed(s) for s in sets]), _lists([_signed(x) for x in second])],
                                                  names=["rep", "tokens", "p"])
             else:
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
-                     pa.array([len(s) for s in sets], pa.int64()), _lists([signed(s[:k]) for s, k in zip(sets, keep, strict=True)])],
+                     pa.array([len(s) for s in sets], pa.int64()), _lists([_signed(s[:k]) for s, k in zip(sets, keep, strict=True)])],
                     names=["doc_id", "sig", "n", "p"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -142,16 +169,25 @@ def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.withColumn("linked", 100 * F.col("shared") >= percent * union)
 
 
+def _may_differ(a: Column, b: Column, percent: int) -> Column:
+    """Tokens in which linked sets of sizes a and b differ at most."""
+    return F.floor((a + b) * F.lit(100 - percent) / F.lit(100 + percent))
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs that pass the filter of order B and then the threshold."""
-    second = (pairs.join(sets.select(F.col("rep").alias("a"), F.col("p").alias("pa")), "a")
-              .join(sets.select(F.col("rep").alias("b"), F.col("p").alias("pb")), "b")
-              .where(F.arrays_overlap("pa", "pb")).select("a", "b"))
-    return materialize(_compared(second, sets, percent).where("linked").select("a", "b"), "join-links")
+    size = F.size("tokens").alias("size")
+    known = (pairs.join(sets.select(F.col("rep").alias("a"), F.col("p").alias("pa"), size.alias("na")), "a")
+             .join(sets.select(F.col("rep").alias("b"), F.col("p").alias("pb"), size.alias("nb")), "b")
+             .withColumn("end", F.least(F.element_at("pa", -1), F.element_at("pb", -1))))
+    shared = F.size(F.array_intersect("pa", "pb"))
+    differ = F.size(F.filter("pa", lambda x: x <= F.col("end"))) + F.size(F.filter("pb", lambda x: x <= F.col("end"))) - 2 * shared
+    second = known.where((shared > 0) & (differ <= _may_differ(F.col("na"), F.col("nb"), percent))).select("a", "b")
+    return materialize(_compared(materialize(second, "join-pairs"), sets, percent).where("linked").select("a", "b"), "join-links")
 
 
 def _counted(rows: DataFrame) -> DataFrame:
-    """Rows (key, rep[, label]) of keys that still need pairs, with the key's size and its pivot."""
+    """Rows (key, rep, n[, label]) of keys that still need pairs, with the key's size and its pivot."""
     if "label" in rows.columns:
         keys = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("rep").alias("least"),
                                        F.min(F.when(F.col("label").isNull(), F.col("rep"))).alias("free"),
@@ -163,12 +199,16 @@ def _counted(rows: DataFrame) -> DataFrame:
     return materialize(rows.join(keys, "key"), "join-postings")
 
 
-def _cold_pairs(counted: DataFrame, cold_rows: int) -> DataFrame:
-    """All pairs of the few classes of each cold key that no pivot has linked already; each pair once."""
+def _near_sizes(a: Column, b: Column, percent: int) -> Column:
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+
+
+def _cold_pairs(counted: DataFrame, cold_rows: int, percent: int) -> DataFrame:
+    """The pairs of each cold key that sizes allow and no pivot has linked already; each pair once."""
     members = (counted.where(F.col("m") <= cold_rows).groupBy("key")
-               .agg(F.sort_array(F.collect_list(F.struct("rep", "label"))).alias("all")))
+               .agg(F.sort_array(F.collect_list(F.struct("rep", "label", "n"))).alias("all")))
     return (members.select(F.posexplode("all").alias("i", "x"), "all")
-            .select("x", F.explode(F.slice("all", F.col("i") + 2, F.size("all"))).alias("y"))
+            .select("x", F.explode(F.filter(F.slice("all", F.col("i") + 2, F.size("all")), lambda y: _near_sizes(F.col("x.n"), y["n"], percent))).alias("y"))
             .where("x.rep != y.rep and not coalesce(x.label = y.label, false)")
             .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct())
 
@@ -176,21 +216,22 @@ def _cold_pairs(counted: DataFrame, cold_rows: int) -> DataFrame:
 def _with_pivots(counted: DataFrame, cold_rows: int) -> DataFrame:
     """Classes ``a`` of hot keys with the key's pivot ``b``."""
     return materialize(counted.where((F.col("m") > cold_rows) & (F.col("rep") != F.col("pivot")))
-                       .select(F.col("rep").alias("a"), F.col("pivot").alias("b"), "label").distinct(), "join-pivots")
+                       .select(F.col("rep").alias("a"), F.col("pivot").alias("b"), "n", "label").distinct(), "join-pivots")
 
 
-def links(reps: DataFrame, docs: DataFrame, *, n: int = 3, percent: int = 90, cold_rows: int = 48, rounds: int = 4) -> DataFrame:
+def links(reps: DataFrame, docs: DataFrame, last: Broadcast, *, n: int = 3, percent: int = 90, cold_rows: int = 16, rounds: int = 4) -> DataFrame:
     """Linked pairs ``a < b`` of classes, enough of them to connect all linked classes.
 
-    ``reps``: rep, p (one row per class with its A prefix); ``docs``: doc_id, text, from which the
-    sets of the classes that passed the first filter are made again.
+    ``reps``: rep, n, p (one row per class with its size and A prefix); ``docs``: doc_id, text, from
+    which the sets of the classes that passed the first filter are made again.
     """
-    counted = _counted(reps.select(F.explode("p").alias("key"), "rep"))
-    pairs = materialize(_cold_pairs(counted, cold_rows), "join-pairs")
+    counted = _counted(reps.select(F.explode("p").alias("key"), "rep", "n"))
+    pairs = materialize(_cold_pairs(counted, cold_rows, percent), "join-pairs")
     compared = _with_pivots(counted, cold_rows)
     wanted = (pairs.select("a").union(pairs.select("b")).union(compared.select("a")).union(compared.select("b"))
               .distinct().withColumnRenamed("a", "doc_id"))
-    sets = materialize(_sets(docs.join(wanted, "doc_id", "left_semi"), n, percent, True).dropDuplicates(["rep"]), "join-sets")
+    texts = docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    sets = materialize(_sets(texts, n, percent, True, last), "join-sets")
 
     found = [_linked(pairs, sets, percent)]
     # a set differs from any it is linked with in at most this many tokens
@@ -199,17 +240,18 @@ def links(reps: DataFrame, docs: DataFrame, *, n: int = 3, percent: int = 90, co
         if compared.isEmpty():
             break
         differ = F.array_sort(F.concat(F.array_except("sa", "sb"), F.array_except("sb", "sa")))
-        star = materialize(_compared(compared, sets, percent).select("a", "b", "label", "linked", F.slice(differ, F.lit(1), most + 1).alias("d")),
+        star = materialize(_compared(compared, sets, percent).select("a", "b", "n", "label", "linked", F.slice(differ, F.lit(1), most + 1).alias("d")),
                            "join-star")
         found.append(star.where("linked").select("a", "b"))
-        posted = star.select("a", "b", F.when(F.col("linked"), F.col("b")).otherwise(F.col("label")).alias("label"), F.explode("d").alias("t"))
-        counted = _counted(posted.select(F.xxhash64("b", "t").alias("key"), F.col("a").alias("rep"), "label"))
-        pairs = _cold_pairs(counted, cold_rows)
+        posted = star.select("a", "b", "n", F.when(F.col("linked"), F.col("b")).otherwise(F.col("label")).alias("label"), F.explode("d").alias("t"))
+        counted = _counted(posted.select(F.xxhash64("b", "t").alias("key"), F.col("a").alias("rep"), "n", "label"))
+        pairs = _cold_pairs(counted, cold_rows, percent)
         compared = _with_pivots(counted, cold_rows)
         if r == rounds - 1:  # what is still hot: every pair
-            left = counted.where(F.col("m") > cold_rows).select("key", F.col("rep").alias("a"), F.col("label").alias("la"))
-            right = left.select("key", F.col("a").alias("b"), F.col("la").alias("lb"))
-            pairs = pairs.union(left.join(right, "key").where("a < b and not coalesce(la = lb, false)").select("a", "b")).distinct()
+            left = counted.where(F.col("m") > cold_rows).select("key", F.col("rep").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"))
+            right = left.select("key", F.col("a").alias("b"), F.col("la").alias("lb"), F.col("na").alias("nb"))
+            pairs = pairs.union(left.join(right, "key").where("a < b and not coalesce(la = lb, false)")
+                                .where(_near_sizes(F.col("na"), F.col("nb"), percent)).select("a", "b")).distinct()
         found.append(_linked(materialize(pairs, "join-pairs"), sets, percent))
     out = found[0]
     for x in found[1:]:
@@ -236,17 +278,19 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 
 def near_duplicate_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 3, percent: int = 90,
-                          cold_rows: int = 48, rounds: int = 4) -> DataFrame:
+                          cold_rows: int = 16, rounds: int = 4, frequent: int = 32768) -> DataFrame:
     """``doc_id, n_shingles, class_id, component_id`` for every row.
 
     ``class_id`` is the smallest id with the same set, ``component_id`` the smallest id reachable
     over links of Jaccard similarity ``percent`` / 100 or more.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = materialize(_sets(docs, n, percent, False), "join-filters")
-    classes = rows.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"))
-    reps = rows.where("n > 0").join(classes, "sig").where("doc_id = rep").select("rep", "p")
-    linked = components(links(materialize(reps, "join-classes"), docs, n=n, percent=percent, cold_rows=cold_rows, rounds=rounds))
+    last = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, n, frequent))  # 8 bytes each
+    rows = materialize(_sets(docs, n, percent, False, last), "join-filters")
+    first = F.min(F.struct(F.col("doc_id").alias("rep"), "n", "p")).alias("first")
+    reps = materialize(rows.where("n > 0 and doc_id is not null").groupBy("sig").agg(first).select("sig", "first.*"), "join-classes")
+    linked = components(links(reps, docs, last, n=n, percent=percent, cold_rows=cold_rows, rounds=rounds))
+    classes = reps.select("sig", "rep")
     named = classes.join(linked, classes.rep == linked.node, "left").select("sig", "rep", F.coalesce("component", "rep").alias("component"))
     out = rows.select("doc_id", "sig", "n").join(named, "sig", "left")
     alone = F.col("n") == 0
