@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing, ngram_join, packing
+from . import mixing, ngram_join, packing, secrets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +16,22 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def secret_digest(docs: DataFrame) -> DataFrame:
+    """Counts and digests of the base rules' spans, and all spans."""
+    found = secrets.scan(docs).select("doc_id", F.col("spans").alias("found"))
+    base = F.filter("found", lambda s: s["kind"].isin("assign", "access", "hex"))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(secrets.joined(base), 256).alias("base_sha256"),
+                        secrets.joined(F.col("found")).alias("spans"), "found")
+
+
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digest(table(spark, sf_dir, "documents")).drop("found")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -24,4 +41,4 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_shingles", "component_id", "class_id")
 
 
-QUERIES = {"op2_mixing": op2_mixing, "op10_ngram_join": op10_ngram_join, "op9_packing": op9_packing}
+QUERIES = {"op2_mixing": op2_mixing, "op3_secrets": op3_secrets, "op10_ngram_join": op10_ngram_join, "op9_packing": op9_packing}
