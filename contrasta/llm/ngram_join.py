@@ -37,6 +37,7 @@ import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ._util import materialize
 
@@ -132,32 +133,47 @@ def frequent_shingles(docs: DataFrame, n: int, most: int, in_batch: int = 4) ->
     return np.sort(found["token"].to_numpy(dtype=np.int64).view(np.uint64))
 
 
-def _sets(docs: DataFrame, n: int, percent: int, whole: bool, last: Broadcast) -> DataFrame:
-    """Class signature, size and A prefix of every row; or, if ``whole``, the set and its B prefix."""
+def filters(docs: DataFrame, n: int, percent: int, last: Broadcast) -> DataFrame:
+    """Id, class signature and size of every row, its A prefix ``p`` and the upper halves ``q`` of its B prefix.
+
+    Rows of one batch with equal sets leave the prefixes to the one with the smallest id.
+    """
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(n, last.value)
         for batch in batches:
+            ids = batch.column(0).to_pylist()
             sets = [shingles(t) for t in batch.column(1).to_pylist()]
-            keep = [prefix_length(len(s), percent) if len(s) else 0 for s in sets]
-            if whole:
-                second = [np.sort(reorder(s))[:k] for s, k in zip(sets, keep, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), _lists([_signed(s) for s in sets]), _lists([_signed(x) for x in second])],
-                                                 names=["rep", "tokens", "p"])
-            else:
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
-                     pa.array([len(s) for s in sets], pa.int64()), _lists([_signed(s[:k]) for s, k in zip(sets, keep, strict=True)])],
-                    names=["doc_id", "sig", "n", "p"])
+            sigs = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
+            best: dict[bytes, int] = {}
+            for i, (k, sig) in enumerate(zip(ids, sigs, strict=True)):
+                if k is not None and len(sets[i]) and (sig not in best or k < ids[best[sig]]):
+                    best[sig] = i
+            first, second = [sets[0][:0]] * len(ids) if ids else [], [np.empty(0, np.int32)] * len(ids)
+            for i in best.values():
+                k = prefix_length(len(sets[i]), percent)
+                first[i] = sets[i][:k]
+                second[i] = (np.unique(np.sort(reorder(sets[i]))[:k] >> np.uint64(32)).astype(np.uint32) ^ np.uint32(1 << 31)).view(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(sigs, pa.binary()), pa.array([len(s) for s in sets], pa.int32()), _lists([_signed(x) for x in first]),
+                 _lists(second, np.int32)], names=["doc_id", "sig", "n", "p", "q"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(
-        rows, f"rep {kind}, tokens array<long>, p array<long>" if whole else f"doc_id {kind}, sig binary, n long, p array<long>")
+    return docs.select("doc_id", "text").mapInArrow(rows, f"doc_id {kind}, sig binary, n int, p array<long>, q array<int>")
+
+
+def whole_sets(docs: DataFrame, n: int, last: Broadcast) -> DataFrame:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingler(n, last.value)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists([_signed(shingles(t)) for t in batch.column(1).to_pylist()])], names=["rep", "tokens"])
+
+    return docs.select("doc_id", "text").mapInArrow(rows, f"rep {docs.schema['doc_id'].dataType.simpleString()}, tokens array<long>")
 
 
-def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+def _lists(parts: list[np.ndarray], kind: type = np.int64) -> pa.ListArray:
     ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
-    flat = np.concatenate(parts) if parts else np.empty(0, dtype=np.int64)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int64()))
+    flat = np.concatenate(parts) if parts else np.empty(0, dtype=kind)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.astype(kind)))
 
 
 def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -174,31 +190,40 @@ def _may_differ(a: Column, b: Column, percent: int) -> Column:
     return F.floor((a + b) * F.lit(100 - percent) / F.lit(100 + percent))
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs that pass the filter of order B and then the threshold."""
-    size = F.size("tokens").alias("size")
-    known = (pairs.join(sets.select(F.col("rep").alias("a"), F.col("p").alias("pa"), size.alias("na")), "a")
-             .join(sets.select(F.col("rep").alias("b"), F.col("p").alias("pb"), size.alias("nb")), "b")
-             .withColumn("end", F.least(F.element_at("pa", -1), F.element_at("pb", -1))))
-    shared = F.size(F.array_intersect("pa", "pb"))
-    differ = F.size(F.filter("pa", lambda x: x <= F.col("end"))) + F.size(F.filter("pb", lambda x: x <= F.col("end"))) - 2 * shared
-    second = known.where((shared > 0) & (differ <= _may_differ(F.col("na"), F.col("nb"), percent))).select("a", "b")
-    return materialize(_compared(materialize(second, "join-pairs"), sets, percent).where("linked").select("a", "b"), "join-links")
+def _near(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
+    """The pairs that pass the filter of order B; ``prefixes``: rep, n, q.
+
+    Below the end of the shorter known stretch, tokens of one prefix that the other lacks differ.
+    """
+    known = (pairs.join(prefixes.select(F.col("rep").alias("a"), F.col("q").alias("qa"), F.col("n").alias("na")), "a")
+             .join(prefixes.select(F.col("rep").alias("b"), F.col("q").alias("qb"), F.col("n").alias("nb")), "b")
+             .withColumn("end", F.least(F.element_at("qa", -1), F.element_at("qb", -1))))
+    shared = F.size(F.array_intersect("qa", "qb"))
+    differ = F.size(F.filter("qa", lambda x: x < F.col("end"))) + F.size(F.filter("qb", lambda x: x < F.col("end"))) - 2 * shared
+    return known.where((shared > 0) & (differ <= _may_differ(F.col("na"), F.col("nb"), percent))).select("a", "b")
 
 
 def _counted(rows: DataFrame) -> DataFrame:
-    """Rows (key, rep, n[, label]) of keys that still need pairs, with the key's size and its pivot."""
-    if "label" in rows.columns:
-        keys = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("rep").alias("least"),
-                                       F.min(F.when(F.col("label").isNull(), F.col("rep"))).alias("free"),
-                                       F.min("label").alias("l0"), F.max("label").alias("l1"))
-        keys = keys.where("m > 1 and (free is not null or l0 < l1)").select("key", "m", F.coalesce("free", "least").alias("pivot"))
-    else:
-        keys = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("rep").alias("pivot")).where("m > 1")
-        rows = rows.withColumn("label", F.lit(None).cast(rows.schema["rep"].dataType))
+    """Rows (key, rep, n, label) of keys that still need pairs, with the key's size and its pivot."""
+    keys = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("rep").alias("least"),
+                                   F.min(F.when(F.col("label").isNull(), F.col("rep"))).alias("free"),
+                                   F.min("label").alias("l0"), F.max("label").alias("l1"))
+    keys = keys.where("m > 1 and (free is not null or l0 < l1)").select("key", "m", F.coalesce("free", "least").alias("pivot"))
     return materialize(rows.join(keys, "key"), "join-postings")
 
 
+def _shared_postings(postings: DataFrame) -> DataFrame:
+    """Postings (key, rep, n) of keys that more than one row has.
+
+    Keys of frequent shingles (not negative: the flipped top bit) are counted with pre-aggregation
+    and joined, so a hot one can be split; the others are few rows each and are counted in place.
+    """
+    hot = postings.where("key >= 0")
+    keys = hot.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
+    rare = (postings.where("key < 0").withColumn("m", F.count("*").over(Window.partitionBy("key"))).where("m > 1").drop("m"))
+    return rare.unionByName(hot.join(keys, "key").select("key", "rep", "n"))
+
+
 def _near_sizes(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
@@ -219,21 +244,30 @@ def _with_pivots(counted: DataFrame, cold_rows: int) -> DataFrame:
                        .select(F.col("rep").alias("a"), F.col("pivot").alias("b"), "n", "label").distinct(), "join-pivots")
 
 
-def links(reps: DataFrame, docs: DataFrame, last: Broadcast, *, n: int = 3, percent: int = 90, cold_rows: int = 16, rounds: int = 4) -> DataFrame:
+def links(rows: DataFrame, names: DataFrame, docs: DataFrame, last: Broadcast, *, n: int = 3, percent: int = 90, cold_rows: int = 16,
+          rounds: int = 4) -> DataFrame:
     """Linked pairs ``a < b`` of classes, enough of them to connect all linked classes.
 
-    ``reps``: rep, n, p (one row per class with its size and A prefix); ``docs``: doc_id, text, from
-    which the sets of the classes that passed the first filter are made again.
+    ``rows``: as made by ``filters``; ``names``: doc_id, rep for the rows that do not name their class
+    themselves; ``docs``: doc_id, text, from which the sets of classes that pass the filters are made.
     """
-    counted = _counted(reps.select(F.explode("p").alias("key"), "rep", "n"))
-    pairs = materialize(_cold_pairs(counted, cold_rows, percent), "join-pairs")
+    shared = _shared_postings(rows.select(F.explode("p").alias("key"), F.col("doc_id").alias("rep"), "n"))
+    named = (shared.join(names.select(F.col("doc_id").alias("rep"), F.col("rep").alias("name")), "rep", "left")
+             .select("key", F.coalesce("name", "rep").alias("rep"), "n").distinct())
+    none = F.lit(None).cast(rows.schema["doc_id"].dataType)
+    counted = _counted(materialize(named, "join-shared").withColumn("label", none))
+    prefixes = rows.where(F.size("q") > 0).select(F.col("doc_id").alias("rep"), "n", "q")
+    pairs = materialize(_near(_cold_pairs(counted, cold_rows, percent), prefixes, percent), "join-pairs")
     compared = _with_pivots(counted, cold_rows)
     wanted = (pairs.select("a").union(pairs.select("b")).union(compared.select("a")).union(compared.select("b"))
               .distinct().withColumnRenamed("a", "doc_id"))
     texts = docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = materialize(_sets(texts, n, percent, True, last), "join-sets")
+    sets = materialize(whole_sets(texts, n, last), "join-sets")
+
+    def linked(near: DataFrame) -> DataFrame:
+        return materialize(_compared(near, sets, percent).where("linked").select("a", "b"), "join-links")
 
-    found = [_linked(pairs, sets, percent)]
+    found = [linked(pairs)]
     # a set differs from any it is linked with in at most this many tokens
     most = F.floor(F.size("sa") * F.lit(100 - percent) / F.lit(percent)).cast("int")
     for r in range(rounds):
@@ -252,7 +286,7 @@ def links(reps: DataFrame, docs: DataFrame, last: Broadcast, *, n: int = 3, perc
             right = left.select("key", F.col("a").alias("b"), F.col("la").alias("lb"), F.col("na").alias("nb"))
             pairs = pairs.union(left.join(right, "key").where("a < b and not coalesce(la = lb, false)")
                                 .where(_near_sizes(F.col("na"), F.col("nb"), percent)).select("a", "b")).distinct()
-        found.append(_linked(materialize(pairs, "join-pairs"), sets, percent))
+        found.append(linked(materialize(_near(pairs, prefixes, percent), "join-pairs")))
     out = found[0]
     for x in found[1:]:
         out = out.union(x)
@@ -278,7 +312,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 
 def near_duplicate_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 3, percent: int = 90,
-                          cold_rows: int = 16, rounds: int = 4, frequent: int = 32768) -> DataFrame:
+                          cold_rows: int = 16, rounds: int = 4, frequent: int = 1 << 17) -> DataFrame:
     """``doc_id, n_shingles, class_id, component_id`` for every row.
 
     ``class_id`` is the smallest id with the same set, ``component_id`` the smallest id reachable
@@ -286,13 +320,12 @@ def near_duplicate_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     last = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, n, frequent))  # 8 bytes each
-    rows = materialize(_sets(docs, n, percent, False, last), "join-filters")
-    first = F.min(F.struct(F.col("doc_id").alias("rep"), "n", "p")).alias("first")
-    reps = materialize(rows.where("n > 0 and doc_id is not null").groupBy("sig").agg(first).select("sig", "first.*"), "join-classes")
-    linked = components(links(reps, docs, last, n=n, percent=percent, cold_rows=cold_rows, rounds=rounds))
-    classes = reps.select("sig", "rep")
+    rows = materialize(filters(docs, n, percent, last), "join-filters")
+    classes = materialize(rows.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep")), "join-classes")
+    names = rows.where(F.size("p") > 0).select("doc_id", "sig").join(classes, "sig").where("doc_id != rep").select("doc_id", "rep").distinct()
+    linked = components(links(rows, names, docs, last, n=n, percent=percent, cold_rows=cold_rows, rounds=rounds))
     named = classes.join(linked, classes.rep == linked.node, "left").select("sig", "rep", F.coalesce("component", "rep").alias("component"))
     out = rows.select("doc_id", "sig", "n").join(named, "sig", "left")
     alone = F.col("n") == 0
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("rep")).alias("class_id"),
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("rep")).alias("class_id"),
                       F.when(alone, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
