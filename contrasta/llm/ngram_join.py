@@ -13,13 +13,15 @@ compared: up to where both are known, they must not differ by more than linked s
 1. Rows with equal sets collapse into a class named by its smallest id, so copies are never paired.
 2. Postings (token, class) of the A prefixes are counted. Tokens of at most ``cold_rows`` classes
    give all their pairs; those whose B prefixes meet too are verified.
-3. Tokens of more classes never emit all pairs. The smallest class of such a token is its *pivot*,
-   and each other class is compared with it. Two classes linked to the same pivot are in one
-   component already. If at least one of two linked classes is not linked to the pivot, their
-   differences to the pivot share a token (else the difference of the two would exceed that of the
-   one to the pivot, which is too large already). So each class posts the first tokens of its
-   difference to the pivot, and step 3 is repeated on (pivot, token). After ``rounds`` rounds
-   whatever tokens are still hot are paired by an ordinary join, so nothing is lost.
+3. Tokens of more classes never emit all pairs. Their *pivot* is the class that has most such
+   tokens, and each other class is compared with it. Classes whose difference to the pivot is at
+   most half their size form the pivot's ring, the others (and those a little closer) stay with the
+   token: two linked classes are both in one or both in the other. In a ring, classes linked to the
+   pivot are in one component already; for the rest only differences to the pivot are compared, in
+   blocks of bounded size that report a spanning forest of their links. Two linked classes of which
+   one is not linked to the pivot share a token of these differences (else their own difference
+   would exceed that of the one to the pivot, which is too large already). The classes that stay
+   with a token have little in common; they are joined on it with sizes and B filter as condition.
 4. Links become components by repeated minimum propagation.
 
 Defined cases: null or blank texts have the empty set and are linked with nothing; a null id is
@@ -29,9 +31,11 @@ rows of one id must hold one text); an empty table gives no rows; other columns
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
@@ -190,25 +194,27 @@ def _may_differ(a: Column, b: Column, percent: int) -> Column:
     return F.floor((a + b) * F.lit(100 - percent) / F.lit(100 + percent))
 
 
-def _near(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
-    """The pairs that pass the filter of order B; ``prefixes``: rep, n, q.
+def _near_prefixes(percent: int) -> Column:
+    """The filter of order B on columns na, nb, qa, qb.
 
     Below the end of the shorter known stretch, tokens of one prefix that the other lacks differ.
     """
-    known = (pairs.join(prefixes.select(F.col("rep").alias("a"), F.col("q").alias("qa"), F.col("n").alias("na")), "a")
-             .join(prefixes.select(F.col("rep").alias("b"), F.col("q").alias("qb"), F.col("n").alias("nb")), "b")
-             .withColumn("end", F.least(F.element_at("qa", -1), F.element_at("qb", -1))))
+    end = F.least(F.element_at("qa", -1), F.element_at("qb", -1))
     shared = F.size(F.array_intersect("qa", "qb"))
-    differ = F.size(F.filter("qa", lambda x: x < F.col("end"))) + F.size(F.filter("qb", lambda x: x < F.col("end"))) - 2 * shared
-    return known.where((shared > 0) & (differ <= _may_differ(F.col("na"), F.col("nb"), percent))).select("a", "b")
+    differ = F.size(F.filter("qa", lambda x: x < end)) + F.size(F.filter("qb", lambda x: x < end)) - 2 * shared
+    return (shared > 0) & (differ <= _may_differ(F.col("na"), F.col("nb"), percent))
+
+
+def _near(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
+    """The pairs that pass the filter of order B; ``prefixes``: rep, n, q."""
+    known = (pairs.join(prefixes.select(F.col("rep").alias("a"), F.col("q").alias("qa"), F.col("n").alias("na")), "a")
+             .join(prefixes.select(F.col("rep").alias("b"), F.col("q").alias("qb"), F.col("n").alias("nb")), "b"))
+    return known.where(_near_prefixes(percent)).select("a", "b")
 
 
 def _counted(rows: DataFrame) -> DataFrame:
-    """Rows (key, rep, n, label) of keys that still need pairs, with the key's size and its pivot."""
-    keys = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("rep").alias("least"),
-                                   F.min(F.when(F.col("label").isNull(), F.col("rep"))).alias("free"),
-                                   F.min("label").alias("l0"), F.max("label").alias("l1"))
-    keys = keys.where("m > 1 and (free is not null or l0 < l1)").select("key", "m", F.coalesce("free", "least").alias("pivot"))
+    """Rows (key, rep, n) of keys that several classes have, with their number ``m``."""
+    keys = rows.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     return materialize(rows.join(keys, "key"), "join-postings")
 
 
@@ -229,23 +235,67 @@ def _near_sizes(a: Column, b: Column, percent: int) -> Column:
 
 
 def _cold_pairs(counted: DataFrame, cold_rows: int, percent: int) -> DataFrame:
-    """The pairs of each cold key that sizes allow and no pivot has linked already; each pair once."""
+    """The pairs of each cold key that sizes allow; each pair once."""
     members = (counted.where(F.col("m") <= cold_rows).groupBy("key")
-               .agg(F.sort_array(F.collect_list(F.struct("rep", "label", "n"))).alias("all")))
+               .agg(F.sort_array(F.collect_list(F.struct("rep", "n"))).alias("all")))
     return (members.select(F.posexplode("all").alias("i", "x"), "all")
             .select("x", F.explode(F.filter(F.slice("all", F.col("i") + 2, F.size("all")), lambda y: _near_sizes(F.col("x.n"), y["n"], percent))).alias("y"))
-            .where("x.rep != y.rep and not coalesce(x.label = y.label, false)")
             .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct())
 
 
 def _with_pivots(counted: DataFrame, cold_rows: int) -> DataFrame:
-    """Classes ``a`` of hot keys with the key's pivot ``b``."""
-    return materialize(counted.where((F.col("m") > cold_rows) & (F.col("rep") != F.col("pivot")))
-                       .select(F.col("rep").alias("a"), F.col("pivot").alias("b"), "n", "label").distinct(), "join-pivots")
+    """Rows (key, rep, n, pivot) of hot keys; the pivot is the class with most hot keys."""
+    hot = counted.where(F.col("m") > cold_rows).select("key", "rep", "n")
+    often = hot.groupBy("rep").agg(F.count("*").alias("keys"))
+    best = (hot.join(often, "rep").groupBy("key").agg(F.min(F.struct(-F.col("keys"), "rep")).alias("best"))
+            .select("key", F.col("best.rep").alias("pivot")))
+    return materialize(hot.join(best, "key"), "join-pivots")
+
+
+def _ring_links(rings: DataFrame, percent: int, block_rows: int) -> DataFrame:
+    """Links inside the rings (pivot, a, n, linked, d), from blocks of at most about ``block_rows`` classes."""
+    sizes = rings.groupBy("pivot").agg(F.ceil(F.count("*") / F.lit(block_rows)).cast("int").alias("blocks"), F.min("linked").alias("all"))
+    dealt = rings.join(sizes.where("not all").select("pivot", "blocks"), "pivot").withColumn("own", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
+    # every block meets every block once
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    kind = rings.schema["a"].dataType.simpleString()
+
+    def forest(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, n, linked = pdf["a"].tolist(), pdf["n"].tolist(), pdf["linked"].tolist()
+        d = [x.tolist() for x in pdf["d"]]
+        holders: dict[int, list[int]] = {}
+        for v, tokens in enumerate(d):
+            for t in tokens:
+                holders.setdefault(t, []).append(v)
+        up = list(range(len(ids)))
+
+        def root(x: int) -> int:
+            while up[x] != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        star = next((v for v, x in enumerate(linked) if x), 0)
+        for v, x in enumerate(linked):  # these are joined by the pivot
+            if x:
+                up[v] = star
+        out = []
+        for u, x in enumerate(linked):
+            if x:
+                continue
+            for v, c in Counter(v for t in d[u] for v in holders[t]).items():
+                differ = len(d[u]) + len(d[v]) - 2 * c
+                if differ * (100 + percent) <= (n[u] + n[v]) * (100 - percent) and root(u) != root(v):
+                    up[root(u)] = root(v)
+                    out.append((ids[u], ids[v]))
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    return met.groupBy("pivot", "i", "j").applyInPandas(forest, f"a {kind}, b {kind}")
 
 
 def links(rows: DataFrame, names: DataFrame, docs: DataFrame, last: Broadcast, *, n: int = 3, percent: int = 90, cold_rows: int = 16,
-          rounds: int = 4) -> DataFrame:
+          block_rows: int = 1024) -> DataFrame:
     """Linked pairs ``a < b`` of classes, enough of them to connect all linked classes.
 
     ``rows``: as made by ``filters``; ``names``: doc_id, rep for the rows that do not name their class
@@ -254,39 +304,30 @@ def links(rows: DataFrame, names: DataFrame, docs: DataFrame, last: Broadcast, *
     shared = _shared_postings(rows.select(F.explode("p").alias("key"), F.col("doc_id").alias("rep"), "n"))
     named = (shared.join(names.select(F.col("doc_id").alias("rep"), F.col("rep").alias("name")), "rep", "left")
              .select("key", F.coalesce("name", "rep").alias("rep"), "n").distinct())
-    none = F.lit(None).cast(rows.schema["doc_id"].dataType)
-    counted = _counted(materialize(named, "join-shared").withColumn("label", none))
+    counted = _counted(materialize(named, "join-shared"))
     prefixes = rows.where(F.size("q") > 0).select(F.col("doc_id").alias("rep"), "n", "q")
     pairs = materialize(_near(_cold_pairs(counted, cold_rows, percent), prefixes, percent), "join-pairs")
-    compared = _with_pivots(counted, cold_rows)
-    wanted = (pairs.select("a").union(pairs.select("b")).union(compared.select("a")).union(compared.select("b"))
+    hot = _with_pivots(counted, cold_rows)
+    wanted = (pairs.select("a").union(pairs.select("b")).union(hot.select("rep")).union(hot.select("pivot"))
               .distinct().withColumnRenamed("a", "doc_id"))
     texts = docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     sets = materialize(whole_sets(texts, n, last), "join-sets")
-
-    def linked(near: DataFrame) -> DataFrame:
-        return materialize(_compared(near, sets, percent).where("linked").select("a", "b"), "join-links")
-
-    found = [linked(pairs)]
-    # a set differs from any it is linked with in at most this many tokens
-    most = F.floor(F.size("sa") * F.lit(100 - percent) / F.lit(percent)).cast("int")
-    for r in range(rounds):
-        if compared.isEmpty():
-            break
-        differ = F.array_sort(F.concat(F.array_except("sa", "sb"), F.array_except("sb", "sa")))
-        star = materialize(_compared(compared, sets, percent).select("a", "b", "n", "label", "linked", F.slice(differ, F.lit(1), most + 1).alias("d")),
-                           "join-star")
+    found = [materialize(_compared(pairs, sets, percent).where("linked").select("a", "b"), "join-links")]
+    if not hot.isEmpty():
+        star = _compared(hot.where("rep != pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b"), "n").distinct(), sets, percent)
+        far = F.size("sa") + F.size("sb") - 2 * F.col("shared")
+        ring = percent * far <= (135 - percent) * F.col("n")  # .35 / t + (1 - t) / t: whatever is linked to one that does not stay
+        star = materialize(star.select("a", "b", "n", "linked", (100 * far > 35 * F.col("n")).alias("stays"), F.when(
+            ring, F.concat(F.array_except("sa", "sb"), F.array_except("sb", "sa"))).alias("d")), "join-star")
         found.append(star.where("linked").select("a", "b"))
-        posted = star.select("a", "b", "n", F.when(F.col("linked"), F.col("b")).otherwise(F.col("label")).alias("label"), F.explode("d").alias("t"))
-        counted = _counted(posted.select(F.xxhash64("b", "t").alias("key"), F.col("a").alias("rep"), "n", "label"))
-        pairs = _cold_pairs(counted, cold_rows, percent)
-        compared = _with_pivots(counted, cold_rows)
-        if r == rounds - 1:  # what is still hot: every pair
-            left = counted.where(F.col("m") > cold_rows).select("key", F.col("rep").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"))
-            right = left.select("key", F.col("a").alias("b"), F.col("la").alias("lb"), F.col("na").alias("nb"))
-            pairs = pairs.union(left.join(right, "key").where("a < b and not coalesce(la = lb, false)")
-                                .where(_near_sizes(F.col("na"), F.col("nb"), percent)).select("a", "b")).distinct()
-        found.append(linked(materialize(_near(pairs, prefixes, percent), "join-pairs")))
+        found.append(_ring_links(star.where("d is not null").select(F.col("b").alias("pivot"), "a", "n", "linked", "d"), percent, block_rows))
+        left = (hot.join(star.where("stays").select(F.col("a").alias("rep"), F.col("b").alias("pivot")), ["rep", "pivot"])
+                .select("key", F.col("rep").alias("a"), F.col("n").alias("na"))
+                .join(prefixes.select(F.col("rep").alias("a"), F.col("q").alias("qa")), "a"))
+        right = left.select("key", F.col("a").alias("b"), F.col("na").alias("nb"), F.col("qa").alias("qb"))
+        apart = (left.join(right, "key").where(F.col("a") < F.col("b")).where(_near_sizes(F.col("na"), F.col("nb"), percent))
+                 .where(_near_prefixes(percent)).select("a", "b").distinct())
+        found.append(_compared(materialize(apart, "join-pairs"), sets, percent).where("linked").select("a", "b"))
     out = found[0]
     for x in found[1:]:
         out = out.union(x)
@@ -312,7 +353,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 
 def near_duplicate_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 3, percent: int = 90,
-                          cold_rows: int = 16, rounds: int = 4, frequent: int = 1 << 17) -> DataFrame:
+                          cold_rows: int = 16, block_rows: int = 1024, frequent: int = 1 << 17) -> DataFrame:
     """``doc_id, n_shingles, class_id, component_id`` for every row.
 
     ``class_id`` is the smallest id with the same set, ``component_id`` the smallest id reachable
@@ -323,7 +364,7 @@ def near_duplicate_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     rows = materialize(filters(docs, n, percent, last), "join-filters")
     classes = materialize(rows.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep")), "join-classes")
     names = rows.where(F.size("p") > 0).select("doc_id", "sig").join(classes, "sig").where("doc_id != rep").select("doc_id", "rep").distinct()
-    linked = components(links(rows, names, docs, last, n=n, percent=percent, cold_rows=cold_rows, rounds=rounds))
+    linked = components(links(rows, names, docs, last, n=n, percent=percent, cold_rows=cold_rows, block_rows=block_rows))
     named = classes.join(linked, classes.rep == linked.node, "left").select("sig", "rep", F.coalesce("component", "rep").alias("component"))
     out = rows.select("doc_id", "sig", "n").join(named, "sig", "left")
     alone = F.col("n") == 0

@@ -50,11 +50,11 @@ def corpus(seed, groups=6, per=25, words=90):
     return [*rows, rows[0], (None, out[1]), (None, "only here once"), (1, out[0])]
 
 
-@pytest.mark.parametrize(("seed", "cold", "rounds"), [(1, 16, 4), (2, 4, 4), (3, 2, 2), (4, 3, 1)])
-def test_components_are_exact(spark, seed, cold, rounds):
+@pytest.mark.parametrize(("seed", "cold", "block"), [(1, 16, 1024), (2, 4, 7), (3, 2, 20)])
+def test_components_are_exact(spark, seed, cold, block):
     rows = corpus(seed)
     df = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, rep int, sig string")
-    got = ngram_join.near_duplicate_groups(df, cold_rows=cold, rounds=rounds, frequent=200 if seed % 2 else 4).collect()
+    got = ngram_join.near_duplicate_groups(df, cold_rows=cold, block_rows=block, frequent=200 if seed % 2 else 4).collect()
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute(rows)
 
 
