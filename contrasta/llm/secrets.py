@@ -186,14 +186,16 @@ def spans_of(text: Column, rule: Rule) -> Column:
     return F.aggregate(found, start, step, lambda acc: acc["out"])
 
 
-def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``doc_id, text, spans`` for every row; spans: array<struct<start, rule, end, kind>> by start, then rule."""
+def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES,
+         carry: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, text, spans`` and the columns ``carry`` for every row; spans: array<struct<start, rule, end, kind>> by start, then rule."""
     text = text_or_empty(F.col(text_col))
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), text.alias("text"),
+                       F.struct(*[F.col(c) for c in carry] or [F.lit(0)]).alias("carried"))
     found = candidates(rows, rules).toDF("c_id", "c_h", "rules")
     # null ids have candidates too: joined as their own value
     both = rows.join(found, F.col("id").eqNullSafe(F.col("c_id")) & (F.col("h") == F.col("c_h")), "left")
-    both = both.select(F.col("id").alias("doc_id"), "text", "rules")
+    both = both.select(F.col("id").alias("doc_id"), "text", "carried", "rules")
     free = {r for r, rule in enumerate(rules) if not trigram_query(rule.regex)}
     nothing = F.array().cast("array<struct<start:long,end:long>>")
     for r, rule in enumerate(rules):
@@ -204,7 +206,8 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rul
         return F.transform(f"__{r}", lambda s: F.struct(s["start"].alias("start"), F.lit(r).alias("rule"), s["end"].alias("end"),
                                                         F.lit(rules[r].kind).alias("kind")))
 
-    return both.select("doc_id", "text", F.array_sort(F.concat(*map(named, range(len(rules))))).alias("spans"))
+    return both.select("doc_id", "text", F.array_sort(F.concat(*map(named, range(len(rules))))).alias("spans"),
+                       *[F.col(f"carried.{c}").alias(c) for c in carry])
 
 
 def joined(spans: Column) -> Column:
