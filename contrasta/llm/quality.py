@@ -71,6 +71,7 @@ class Signals:
     distinct: float
     top_word: float
     line_repeat: float
+    same_again: float
 
 
 def signals(text: str, shape: np.ndarray) -> Signals:
@@ -86,7 +87,8 @@ def signals(text: str, shape: np.ndarray) -> Signals:
     mark = lambda c: count[6 + _MARKS.index(c)]
     return Signals(len(text), len(words), (count[0] + count[1]) / n, count[1] / max(1, count[0] + count[1]),
                    sum(mark(c) for c in "#$%&*<=>@~_+") / w, mark("!") / w, mark("|") / w, sum(seen[x] for x in low) / w,
-                   len(seen) / w, max(seen.values(), default=0) / w, 1 - len(set(lines)) / len(lines))
+                   len(seen) / w, max(seen.values(), default=0) / w, 1 - len(set(lines)) / len(lines),
+                   sum(map(str.__eq__, words, words[1:])) / w)
 
 
 def votes(s: Signals) -> list[int]:
@@ -101,10 +103,12 @@ def votes(s: Signals) -> list[int]:
         NONE if few else BAD if s.function_words < 0.05 else GOOD if s.function_words > 0.12 else NONE,
         NONE if few else BAD if s.distinct < 0.25 and s.words < 800 or s.distinct < 0.08 else GOOD if s.distinct > 0.4 else NONE,
         NONE if few else BAD if s.top_word > 0.25 else GOOD if s.top_word < 0.15 else NONE,
+        NONE if few else BAD if s.same_again > 0.2 else GOOD if s.same_again < 0.05 else NONE,
+        NONE if few else BAD if s.distinct < 0.12 and s.words < 2500 else GOOD if s.distinct > 0.3 else NONE,
     ]
 
 
-N_LABELLERS = 8
+N_LABELLERS = 10
 
 
 def features(s: Signals, shape: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -116,19 +120,22 @@ def features(s: Signals, shape: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         idx = np.flatnonzero(count)
         val = np.sqrt(count[idx] / len(tri))
     bins = []
-    for k, x in enumerate((s.letters, s.upper, s.marks, s.bangs, s.bars, s.function_words, s.distinct, s.top_word, s.line_repeat)):
+    for k, x in enumerate((s.letters, s.upper, s.marks, s.bangs, s.bars, s.function_words, s.distinct, s.top_word, s.line_repeat,
+                           s.same_again)):
         bins.append((k * 64 + int(min(x, 1.5) * 20) + 1) * 40503 % DIMS)
     return np.concatenate([idx, bins]).astype(np.int32), np.concatenate([val, np.full(len(bins), 0.5)]).astype(np.float32)
 
 
 def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[float, np.ndarray, np.ndarray]:
-    """Share of good documents, ``p[class, labeller, vote]``, and the posterior of good per pattern.
+    """Share of good documents, ``p[class, labeller, vote]`` and the posterior of good per pattern.
 
     Starts from the majority vote; one count is added to each vote so that none is impossible.
+    Whoever abstains says nothing: p is over the votes good and bad, and 1 for abstaining.
     """
     good, bad = (patterns == GOOD).sum(1), (patterns == BAD).sum(1)
-    post = np.clip((good + 0.5) / (good + bad + 1.0), 0.02, 0.98)
-    onehot = np.stack([patterns == v for v in range(3)], axis=2).astype(float)
+    # one bad vote weighs as much as two good ones: clean texts please every labeller
+    post = np.clip((good + 0.5) / (good + 2 * bad + 1.0), 0.02, 0.98)
+    onehot = np.stack([patterns == v for v in (BAD, GOOD)], axis=2).astype(float)
     for _ in range(rounds):
         weight = np.stack([counts * (1 - post), counts * post])
         share = (weight[1].sum() + 1) / (counts.sum() + 2)
@@ -139,7 +146,7 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: i
         if np.abs(new - post).max() < 1e-9:
             break
         post = new
-    return float(share), p, new
+    return float(share), np.concatenate([p, np.ones_like(p[:, :, :1])], axis=2), new
 
 
 def fit_linear(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, dims: int = DIMS, rounds: int = 150, l2: float = 1e-4) -> np.ndarray:
@@ -220,9 +227,9 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", samp
     return QualityModel(fit_linear(list(zip(rows["idx"], rows["val"], strict=True)), labels), share, p)
 
 
-def classify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, model: QualityModel | None = None,
+def classify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, model: QualityModel | None = None,
              **params) -> DataFrame:
-    """``doc_id, score, keep`` for every row; the model is fitted on ``docs`` if none is given."""
+    """``doc_id, score, keep`` for every row; in doubt a document stays. The model is fitted on ``docs`` if none is given."""
     model = model or fit(docs, id_col=id_col, text_col=text_col, **params)
     scored = docs.select(F.col(id_col).alias("doc_id"), model.score(F.col(text_col).cast("string")).alias("score"))
     return scored.withColumn("keep", F.col("score") >= threshold)

@@ -59,24 +59,31 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit_linear(idx: np.ndarray, ends: np.ndarray, extra: np.ndarray, y: np.ndarray, weight: np.ndarray, *, rounds: int = 60, l2: float = 2e-5) -> np.ndarray:
-    """Logistic regression by Adam. Row i has the words idx[ends[i]:ends[i + 1]], each of value 1,
-    and the dense columns extra[i]. Returns weights of words, then of the columns, then the bias.
+def fit_linear(idx: np.ndarray, ends: np.ndarray, extra: np.ndarray, y: np.ndarray, weight: np.ndarray, *, rounds: int = 80, l2: float = 1e-4,
+               least_rows: int = 3) -> np.ndarray:
+    """Logistic regression by Adam. Row i has the words idx[ends[i]:ends[i + 1]] and the dense columns
+    extra[i]. A word's value is the log ratio of its shares in the rows of either label, so words that
+    say nothing are small; words of fewer than ``least_rows`` rows are left out. Returns weights of
+    words (times their values), then of the columns, then the bias.
     """
     words, k = 1 << BITS, extra.shape[1]
-    used, at = np.unique(idx, return_inverse=True)  # only words that occur have weights
     row = np.repeat(np.arange(len(y)), np.diff(ends))
+    pos, neg = (np.bincount(idx[part[row]], minlength=words) for part in (y > 0.5, y <= 0.5))
+    ratio = np.log((pos + 1) / ((y > 0.5).sum() + 2)) - np.log((neg + 1) / ((y <= 0.5).sum() + 2))
+    kept = (pos + neg >= least_rows)[idx]
+    used, at = np.unique(idx[kept], return_inverse=True)
+    row, value = row[kept], ratio[idx[kept]]
     w, m, v = (np.zeros(len(used) + k + 1) for _ in range(3))
     weight = weight / weight.sum()
     for t in range(1, rounds + 1):
-        z = np.bincount(row, weights=w[at], minlength=len(y)) + extra @ w[len(used):-1] + w[-1]
+        z = np.bincount(row, weights=w[at] * value, minlength=len(y)) + extra @ w[len(used):-1] + w[-1]
         g = weight * (sigmoid(z) - y)
-        grad = np.concatenate([np.bincount(at, weights=g[row], minlength=len(used)), g @ extra, [g.sum()]])
+        grad = np.concatenate([np.bincount(at, weights=g[row] * value, minlength=len(used)), g @ extra, [g.sum()]])
         grad[:-1] += l2 * w[:-1]
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
-        w -= 0.15 * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.99 ** t)) + 1e-6)
+        w -= 0.1 * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.99 ** t)) + 1e-3)
     out = np.zeros(words + k + 1)
-    out[used], out[words:] = w[:len(used)], w[len(used):]
+    out[used], out[words:] = w[:len(used)] * ratio[used], w[len(used):]
     return out
 
 
