@@ -34,21 +34,20 @@ def _c(col) -> Column:
 def decode_unicode_escapes(col) -> Column:
     """``<U+XXXX>`` / ``<u+XXXX>`` (4-6 hex digits) -> the character; null -> ''.
 
-    Each distinct escape in the row is replaced literally; code points beyond
-    U+10FFFF and surrogates are left as written.
+    One pass: the text is split at the escapes and joined again around the decoded characters, so
+    a result is never read as an escape. Code points beyond U+10FFFF and surrogates stay as written.
     """
     t = F.coalesce(_c(col), F.lit(""))
-    hexes = F.filter(
-        F.array_distinct(F.regexp_extract_all(t, F.lit(ESCAPE_RE), 1)),
-        lambda h: (F.conv(h, 16, 10).cast("long") <= 0x10FFFF)
-        & ~F.conv(h, 16, 10).cast("long").between(0xD800, 0xDFFF))
+    hexes = F.regexp_extract_all(t, F.lit(ESCAPE_RE), F.lit(1))
+    whole = F.regexp_extract_all(t, F.lit(ESCAPE_RE), F.lit(0))
 
-    def step(acc, h):
-        ch = F.decode(F.unhex(F.lpad(h, 8, "0")), "UTF-32")
-        return F.replace(F.replace(acc, F.concat(F.lit("<u+"), h, F.lit(">")), ch),
-                         F.concat(F.lit("<U+"), h, F.lit(">")), ch)
+    def char(h, written):
+        code = F.conv(h, 16, 10).cast("long")
+        return F.when((code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF), F.decode(F.unhex(F.lpad(h, 8, "0")), "UTF-32")).otherwise(written)
 
-    return F.when(F.instr(t, "+") > 0, F.aggregate(hexes, t, step)).otherwise(t)
+    chars = F.concat(F.zip_with(hexes, whole, char), F.array(F.lit("")))
+    joined = F.array_join(F.zip_with(F.split(t, ESCAPE_RE, -1), chars, lambda a, b: F.concat(a, b)), "")
+    return F.when(F.instr(t, "+") > 0, joined).otherwise(t)
 
 
 def _rx(col: Column, pattern: str, repl: str) -> Column:

@@ -1,6 +1,6 @@
 """Emotion distribution per document (7 scores) and the dominant emotion.
 
-(a) Lexicon scorer: the first ``max_chars`` characters are tokenised, tokens join
+(a) Lexicon scorer: the whole text is tokenised (a user may cap it), tokens join
 a broadcast ``(word, emotion)`` table, and each emotion's score is its share of
 the hits; a text without hits is fully ``neutral``; a blank text scores 0.0
 everywhere. (b) A user model can be plugged in through ``hooks.model_scores``.
@@ -26,11 +26,11 @@ def default_lexicon() -> list[tuple[str, str]]:
 
 
 def emotion_scores(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
-                   lexicon=None, max_chars: int = 2000) -> DataFrame:
+                   lexicon=None, max_chars: int | None = None) -> DataFrame:
     """``(doc_id, anger, disgust, fear, joy, neutral, sadness, surprise)``."""
     lex = lookup_table(df.sparkSession, sorted(set(default_lexicon() if lexicon is None else lexicon)),
                        "t string, emotion string")
-    head = model_input(text_col, max_chars)
+    head = F.coalesce(F.col(text_col), F.lit("")) if max_chars is None else model_input(text_col, max_chars)
     per_doc = df.select(id_col, (strip_ws(head) == "").alias("blank"), word_tokens(head).alias("_toks"))
     d = per_doc.select(id_col, "blank", F.explode_outer("_toks").alias("t"))
     j = (d.join(lex, "t", "left").groupBy(id_col)

@@ -4,7 +4,7 @@ pipeline as an Arrow-batched ``mapInPandas`` stage.
 The scorer is built once per task (``load``) and called on batches of at most
 ``batch_size`` texts; a failing batch is retried row by row and any row that
 still fails gets the default scores (zeros) with ``defaulted = true``, so one bad
-document never stops the job. Text is capped with ``model_input`` first.
+document never stops the job. Text is capped with ``model_input`` only if ``max_chars`` is given.
 """
 
 from __future__ import annotations
@@ -22,13 +22,13 @@ from contrasta.operators.rhetoric import STRATEGIES, finish
 
 def model_scores(df: DataFrame, load: Callable[[], Callable[[list[str]], list[dict]]],
                  labels: list[str], text_col: str = "text", id_col: str = "doc_id",
-                 batch_size: int = 32, max_chars: int = 2000) -> DataFrame:
+                 batch_size: int = 32, max_chars: int | None = None) -> DataFrame:
     """``(doc_id, <labels...>, defaulted)`` from a user model.
 
     ``load()`` returns ``score(texts) -> list[dict label -> float]``. Blank texts
     score 0.0 for every label without calling the model.
     """
-    src = df.select(F.col(id_col).alias("_id"), model_input(text_col, max_chars).alias("_text"))
+    src = df.select(F.col(id_col).alias("_id"), (F.coalesce(F.col(text_col), F.lit("")) if max_chars is None else model_input(text_col, max_chars)).alias("_text"))
     schema = f"{id_col} long, " + ", ".join(f"`{l}` double" for l in labels) + ", defaulted boolean"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -23,6 +23,14 @@ def _null_d():
     return F.lit(None).cast("double")
 
 
+NUMBER_RE = r"^\s*[+-]?(\d+\.?\d*([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?|inf(inity)?|nan)\s*$"
+
+
+def numeric(text: Column) -> Column:
+    """A double from text in decimal notation; anything else (also ``1d`` or ``0x1p3``) is null."""
+    return F.when(F.lower(text).rlike(NUMBER_RE), text.try_cast("double"))
+
+
 def clean_values(long_df: DataFrame, value_col: str = "value") -> DataFrame:
     """Numeric coercion: non-numeric -> null, then null and NaN dropped."""
     v = F.col(value_col).try_cast("double")
@@ -33,7 +41,8 @@ def to_long(df: DataFrame, features, id_col: str = "doc_id", group_col: str = "d
             feature_groups: dict[str, str] | None = None) -> DataFrame:
     """Wide feature table -> ``(doc_id, domain, feature_group, feature, value)``."""
     feats = list(features)
-    long_df = df.select(id_col, group_col, *[F.col(c).cast("double").alias(c) for c in feats]) \
+    # text that is no plain number becomes null, it does not stop the job
+    long_df = df.select(id_col, group_col, *[numeric(F.col(c).cast("string")).alias(c) for c in feats]) \
                 .unpivot([id_col, group_col], feats, "feature", "value")
     if feature_groups:
         g = F.create_map(*[F.lit(x) for kv in feature_groups.items() for x in kv])
@@ -301,12 +310,16 @@ def poisson1_thresholds(max_k: int = 20) -> list[float]:
 
 def uniform_from(seed: Column, rep: Column, row_id: Column) -> Column:
     """Deterministic U(0,1) per (seed, replicate, row): a 31-bit integer mixer
-    (multiply / xor-shift rounds; every product stays below 2^62)."""
+    (multiply / xor-shift rounds; every product stays below 2^62) over all 64 bits of the id."""
     m = 0x7FFFFFFF
-    x = ((seed.cast("long") * 7919 + rep) * 1000003 + row_id.cast("long")).bitwiseAND(F.lit(m))
+    row = row_id.cast("long")
+    x = ((seed.cast("long") * 7919 + rep) * 1000003 + row.bitwiseAND(F.lit(m))).bitwiseAND(F.lit(m))
     x = x.bitwiseXOR(F.shiftright(x, 15))
     x = (x * 739982445).bitwiseAND(F.lit(m))
     x = x.bitwiseXOR(F.shiftright(x, 12))
+    # the upper bits of the id join after the replicate is mixed in, so no two ids share all weights
+    upper = F.shiftright(row, 31)
+    x = (x + upper.bitwiseAND(F.lit(m)) * 999979 + F.shiftright(upper, 31).bitwiseAND(F.lit(m)) * 15485863).bitwiseAND(F.lit(m))
     x = (x * 695872825).bitwiseAND(F.lit(m))
     x = x.bitwiseXOR(F.shiftright(x, 15))
     return x / 2147483648.0
@@ -345,10 +358,11 @@ def _replicate_sums_fn(keys, id_col, value_col, seed_col, n_boot, thresholds, ch
                 seeds = g[seed_col].to_numpy(np.int64)
                 for start in range(0, len(g), chunk):
                     i, x, sd = ids[start:start + chunk, None], xs[start:start + chunk, None], seeds[start:start + chunk, None]
-                    h = ((sd * 7919 + reps[None, :]) * 1000003 + i) & MIX_M
+                    h = ((sd * 7919 + reps[None, :]) * 1000003 + (i & MIX_M)) & MIX_M
                     h ^= h >> 15
                     h = (h * MIX_A) & MIX_M
                     h ^= h >> 12
+                    h = (h + ((i >> 31) & MIX_M) * 999979 + ((i >> 62) & MIX_M) * 15485863) & MIX_M
                     h = (h * MIX_B) & MIX_M
                     h ^= h >> 15
                     w = np.searchsorted(cuts, h / 2147483648.0, side="right")

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from contrasta.operators.emotion import EMOTION_COLUMNS
-from contrasta.operators.stats import exact_quantiles
+from contrasta.operators.stats import clean_values, exact_quantiles
 
 
 def value_counts(df: DataFrame, col: str, by=(), top: int | None = None) -> DataFrame:
@@ -54,7 +53,7 @@ def box_summary(long_df: DataFrame, keys) -> DataFrame:
     1.5 IQR of the box, and the count of points outside them."""
     keys = list(keys)
     q = exact_quantiles(long_df, keys, [0.25, 0.5, 0.75])
-    j = long_df.join(F.broadcast(q), keys)
+    j = clean_values(long_df).join(q, keys)
     iqr = F.col("q_75") - F.col("q_25")
     lo, hi = F.col("q_25") - 1.5 * iqr, F.col("q_75") + 1.5 * iqr
     v = F.col("value")
@@ -70,28 +69,30 @@ def significance_label(p, ns_label: str = "ns") -> Column:
             .when(p < 0.05, "*").otherwise(ns_label))
 
 
+def _fixed(x: Column, digits: int) -> Column:
+    """Fixed digits, rounded from the binary value (2.675 -> 2.67), ties to even."""
+    return F.call_function("format_number", x, F.lit("0." + "0" * digits))
+
+
 def format_mean(x) -> Column:
     x = F.col(x) if isinstance(x, str) else x
-    return F.when(x.isNull() | F.isnan(x), "n/a").otherwise(F.format_string("%.2f", x))
+    return F.when(x.isNull() | F.isnan(x), "n/a").otherwise(_fixed(x, 2))
 
 
 def format_compact_p(p) -> Column:
     p = F.col(p) if isinstance(p, str) else p
     return (F.when(p.isNull() | F.isnan(p), "n/a").when(p == 0, "0.0")
-            .when(p < 0.001, F.format_string("%.1e", p)).otherwise(F.format_string("%.3f", p)))
+            .when(p < 0.001, F.format_string("%.1e", p)).otherwise(_fixed(p, 3)))
 
 
 def format_p_value(p) -> Column:
     p = F.col(p) if isinstance(p, str) else p
     return (F.when(p.isNull() | F.isnan(p), "p = n/a")
             .when(p < 0.001, F.concat(F.lit("p = "), F.format_string("%.1e", p)))
-            .otherwise(F.concat(F.lit("p = "), F.format_string("%.3f", p))))
+            .otherwise(F.concat(F.lit("p = "), _fixed(p, 3))))
 
 
 def numeric_test_label(test_name) -> Column:
     t = F.col(test_name) if isinstance(test_name, str) else test_name
     return F.when(t == "mann_whitney_u", "Mann-Whitney U significance").otherwise("adjusted significance")
 
-
-def emotion_cols():
-    return list(EMOTION_COLUMNS)

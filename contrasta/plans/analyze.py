@@ -129,7 +129,7 @@ def term_context(weights: DataFrame, features: DataFrame, top: DataFrame,
     Only the <= 2 x top_n requested terms are joined (broadcast) to the weights.
     Returns ``(records, examples)`` as flat tables."""
     sizes = features.groupBy("domain").agg(F.count(F.lit(1)).alias("document_count"))
-    t = F.broadcast(top.select("domain", "term", "rank", "mean_tfidf"))
+    t = top.select("domain", "term", "rank", "mean_tfidf")
     m = weights.join(t, ["domain", "term"]).where(F.col("score") > 0)
     vader = ["vader_neg", "vader_neu", "vader_pos", "vader_compound"]
     # aggregates need only the numeric columns: no document text travels with the
@@ -141,7 +141,7 @@ def term_context(weights: DataFrame, features: DataFrame, top: DataFrame,
     rec = rec.join(F.broadcast(sizes), "domain").withColumn(
         "share_of_domain_docs", F.col("document_frequency") / F.col("document_count"))
     # examples: top-k per term first (limited map-side), then fetch text for those rows only
-    w = Window.partitionBy("domain", "term").orderBy(F.desc("score"), F.asc("doc_id"))
+    w = Window.partitionBy("domain", "term").orderBy(F.desc(F.round("score", 12)), F.asc("doc_id"))
     best = (m.withColumn("example_rank", F.row_number().over(w).cast("long"))
             .where(F.col("example_rank") <= examples_per_term))
     info = features.select("doc_id", "text", "dataset", "source", "vader_compound", "dominant_emotion")

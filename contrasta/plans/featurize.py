@@ -12,6 +12,7 @@ from contrasta.operators.emotion import EMOTION_COLUMNS, dominant_emotion, emoti
 from contrasta.operators.lemma import lemmatize
 from contrasta.operators.rhetoric import add_alias_scores, rhetoric_scores
 from contrasta.operators.sentiment import VADER_COLUMNS, sentiment_scores
+from contrasta.operators.stats import numeric
 
 TRUST_CUE_COLUMNS = ["auth_score", "urg_score"]
 CORPUS_COLUMNS = ["char_count", "word_count"]
@@ -39,10 +40,6 @@ def feature_table(corpus: DataFrame, lemmas: bool = True) -> DataFrame:
              .withColumn("dominant_emotion", dominant_emotion()))
 
 
-def feature_group_map() -> dict[str, str]:
-    return {c: g for g, cols in FEATURE_GROUPS for c in cols}
-
-
 def prepare_domain_frame(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """A feature table read back from storage: requires ``text`` and the seven
     emotion columns (error names the missing ones), null text -> '', adds counts
@@ -51,7 +48,9 @@ def prepare_domain_frame(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
     from contrasta.operators.sentiment import ensure_sentiment
     require_columns(df, ["text"], "domain frame")
     require_columns(df, EMOTION_COLUMNS, "domain frame (emotion columns)")
-    d = df.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
+    numbers = [c for c in EMOTION_COLUMNS + VADER_COLUMNS if c in df.columns]  # text in a table read from CSV
+    d = df.withColumns({"text": F.coalesce(F.col("text").cast("string"), F.lit("")),
+                        **{c: numeric(F.col(c).cast("string")) for c in numbers}})
     d = (d.withColumn("char_count", char_count("text")).withColumn("word_count", word_count("text"))
           .withColumn("dominant_emotion", dominant_emotion()))
     return ensure_sentiment(d, "text", id_col)

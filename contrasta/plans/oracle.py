@@ -201,7 +201,7 @@ def emotion_ctes(src: str = "corpus") -> str:
                else f"CASE WHEN ({tot}) = 0 THEN 0.0 ELSE coalesce(n_{e}, 0) / ({tot}) END")
         cols.append(f"CASE WHEN blank THEN 0.0 ELSE {val} END AS {e}")
     return f"""e_lex(t, emotion) AS (VALUES {rows}),
-e_doc AS (SELECT doc_id, substring(coalesce(text, ''), 1, 2000) AS head FROM {src}),
+e_doc AS (SELECT doc_id, coalesce(text, '') AS head FROM {src}),
 e_doc2 AS (SELECT doc_id, {strip('head')} = '' AS blank, {word_tokens('head')} AS toks FROM e_doc),
 e_hits AS (SELECT x.doc_id, {cnt} FROM (SELECT doc_id, unnest(toks) AS t FROM e_doc2) x JOIN e_lex l USING (t) GROUP BY x.doc_id),
 emotion AS (SELECT d.doc_id, {', '.join(cols)} FROM e_doc2 d LEFT JOIN e_hits h USING (doc_id))"""
@@ -394,7 +394,7 @@ def sql_normalize_sources() -> str:
   SELECT d.doc_id,
     CASE WHEN d.doc_id % 4 = 0 THEN d.text WHEN d.doc_id % 4 = 1 THEN 'na' END AS tweet_text,
     CASE WHEN d.doc_id % 4 IN (1, 2) THEN d.text END AS claim,
-    substring(d.text, 1, 60) AS article_title,
+    d.text AS article_title,
     CASE WHEN d.doc_id % 3 = 0 THEN l.quality::VARCHAR WHEN d.doc_id % 3 = 1 THEN 'n/a' END AS binary_label,
     l.toxic::VARCHAR AS label_2, d.source AS dataset
   FROM documents d LEFT JOIN labels l USING (doc_id)),
@@ -407,7 +407,7 @@ qc AS (SELECT doc_id, text, CASE WHEN doc_id % 10 = 9 THEN NULL ELSE ({slist(cod
        'quotaclimat' AS source, 'quotaclimat' AS dataset FROM documents WHERE lang = 'en'),
 cfd AS (SELECT conv_id * 1000 + turn AS doc_id, text, (turn % 5)::VARCHAR AS label, 'climate_fever_direct' AS source,
         'climate_fever_direct' AS dataset FROM conversations WHERE role = 'assistant'),
-cc_raw AS (SELECT d.doc_id, substring(d.text, 1, 80) AS text,
+cc_raw AS (SELECT d.doc_id, d.text AS text,
         CASE WHEN l.quality = 0 THEN '0_not_relevant' WHEN l.toxic = 1 THEN '1_misleading' END AS label
         FROM documents d JOIN labels l USING (doc_id)),
 cc AS (SELECT doc_id, text, label, 'climatecheck' AS source, 'climatecheck' AS dataset FROM cc_raw
@@ -557,7 +557,7 @@ FROM j JOIN sizes s USING (domain) GROUP BY j.domain, j.term"""
 
 def sql_term_examples() -> str:
     return f"""{_context_prefix()}
-SELECT domain, term, row_number() OVER (PARTITION BY domain, term ORDER BY score DESC, doc_id) AS example_rank, doc_id,
+SELECT domain, term, row_number() OVER (PARTITION BY domain, term ORDER BY round(score, 12) DESC, doc_id) AS example_rank, doc_id,
        {truncate('text')} AS text, coalesce(dataset, '') AS dataset, coalesce(source, '') AS source,
        {r('score')} AS term_tfidf_score, {r('vader_compound')} AS vader_compound, dominant_emotion
 FROM j QUALIFY example_rank <= 3"""
@@ -763,7 +763,7 @@ rec AS (SELECT j.domain, j.term, first(rank) AS rank, count(*) AS document_frequ
         {', '.join(f"{xmean(e)} AS {e}" for e in emos)} FROM j JOIN sizes s USING (domain) GROUP BY j.domain, j.term),
 pos AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY rank) AS position FROM rec QUALIFY position <= 6),
 ex AS (SELECT domain, term, term || ': "' || {truncate('text')} || '"' AS example_line FROM j
-       QUALIFY row_number() OVER (PARTITION BY domain, term ORDER BY score DESC, doc_id) = 1)
+       QUALIFY row_number() OVER (PARTITION BY domain, term ORDER BY round(score, 12) DESC, doc_id) = 1)
 SELECT domain, position, term, document_frequency, {r('share_of_domain_docs')} AS share_of_domain_docs,
        {r('vader_compound')} AS vader_compound, {', '.join(f"{r(e)} AS {e}" for e in emos)}, example_line
 FROM pos LEFT JOIN ex USING (domain, term)"""

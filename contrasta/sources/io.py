@@ -5,23 +5,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
 from contrasta.functions.text import na_to_null
 
 
-def read_raw_csv(spark: SparkSession, path: str, columns: list[str] | None = None,
-                 na_tokens=("na", "n/a")) -> DataFrame:
-    """Header CSV with quoted multi-line fields; every column a string (no
-    inference pass), NA tokens mapped to null."""
-    r = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-         .option("mode", "PERMISSIVE"))
-    if columns is not None:
-        r = r.schema(StructType([StructField(c, StringType()) for c in columns]))
-    else:
-        r = r.option("inferSchema", False)
-    df = r.csv(path)
-    return df.select(*[na_to_null(F.col(c), na_tokens).alias(c) for c in df.columns])
+# Cells that a table reader takes as missing by default, then the sources' own marks.
+NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN",
+             "None", "n/a", "nan", "null", "na")
+
+
+def read_raw_csv(spark: SparkSession, path: str, columns: list[str] | None = None, na_tokens=NA_TOKENS) -> DataFrame:
+    """Header CSV with quoted multi-line fields; every column a string (no inference
+    pass), NA tokens mapped to null. ``columns`` are chosen by name from the header."""
+    df = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+          .option("mode", "PERMISSIVE").option("inferSchema", False).csv(path))
+    names = df.columns if columns is None else columns
+    if missing := [c for c in names if c not in df.columns]:
+        raise ValueError(f"{path} has no columns: {', '.join(missing)}")
+    return df.select(*[na_to_null(F.col(f"`{c}`"), na_tokens).alias(c) for c in names])
 
 
 def read_json_report(spark: SparkSession, path: str, schema=None) -> DataFrame:

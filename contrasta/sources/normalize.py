@@ -87,7 +87,7 @@ def cdl_raw(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id",
         F.when(k4 == 0, F.col("text")).when(k4 == 1, F.lit("na")).alias("tweet_text"),
         F.when(k4.isin(1, 2), F.col("text")).alias("claim"),
-        F.substring("text", 1, 60).alias("article_title"),
+        F.col("text").alias("article_title"),
         F.when(k3 == 0, F.col("quality").cast("string")).when(k3 == 1, F.lit("n/a")).alias("binary_label"),
         F.col("toxic").cast("string").alias("label_2"),
         F.col("source").alias("dataset"))
@@ -128,7 +128,7 @@ def climatecheck_raw(spark, sf) -> DataFrame:
     d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
     ann = F.when(F.col("quality") == 0, "0_not_relevant").when(F.col("toxic") == 1, "1_misleading") \
         .otherwise(F.lit(None).cast("string"))
-    return d.select("doc_id", F.substring("text", 1, 80).alias("claim"), ann.alias("annotation"))
+    return d.select("doc_id", F.col("text").alias("claim"), ann.alias("annotation"))
 
 
 def all_sources_normalized(spark, sf) -> DataFrame:

@@ -84,9 +84,10 @@ def test_emotion_shares_and_blank(spark):
     assert r[2].neutral == 1.0
 
 
-def test_emotion_reads_first_2000_characters(spark):
-    df = spark.createDataFrame([(0, "x " * 1000 + "idiot")], "doc_id long, text string")
-    assert emotion_scores(df).first().neutral == 1.0
+def test_emotion_reads_whole_texts_unless_capped(spark):
+    df = spark.createDataFrame([(0, "x " * 20000 + "idiot")], "doc_id long, text string")
+    assert emotion_scores(df).first().anger == 1.0
+    assert emotion_scores(df, max_chars=2000).first().neutral == 1.0
 
 
 def test_rhetoric_scores_flags_ratio(spark):
