@@ -14,14 +14,17 @@ compared: up to where both are known, they must not differ by more than linked s
 2. Postings (token, class) of the A prefixes are counted. Tokens of at most ``cold_rows`` classes
    give all their pairs; those whose B prefixes meet too are verified.
 3. Tokens of more classes never emit all pairs. Their *pivot* is the class that has most such
-   tokens, and each other class is compared with it. Classes whose difference to the pivot is at
-   most half their size form the pivot's ring, the others (and those a little closer) stay with the
-   token: two linked classes are both in one or both in the other. In a ring, classes linked to the
-   pivot are in one component already; for the rest only differences to the pivot are compared, in
-   blocks of bounded size that report a spanning forest of their links. Two linked classes of which
-   one is not linked to the pivot share a token of these differences (else their own difference
-   would exceed that of the one to the pivot, which is too large already). The classes that stay
-   with a token have little in common; they are joined on it with sizes and B filter as condition.
+   tokens. Classes that cannot be linked to it and whose B prefix has less than half in common with
+   the pivot's are *far*: they merely share a passage. They meet all classes of their token, with
+   sizes and B filter as condition, and their sets are only made if a pair passes. The others are
+   compared with the pivot. Those whose difference to it is at most half their size form its ring;
+   the rest (and those a little closer) stay with the token and meet each other as the far ones do.
+   So any two linked classes of a token meet: with a far one in the token, else both in the ring or
+   both among those that stay. In a ring, classes linked to the pivot are in one component already;
+   for the rest only differences to the pivot are compared, in blocks of bounded size that report a
+   spanning forest of their links. Two linked classes of which one is not linked to the pivot share
+   a token of these differences (else their own difference would exceed that of the one to the
+   pivot, which is too large already).
 4. Links become components by repeated minimum propagation.
 
 Defined cases: null or blank texts have the empty set and are linked with nothing; a null id is
@@ -205,6 +208,21 @@ def _near_prefixes(percent: int) -> Column:
     return (shared > 0) & (differ <= _may_differ(F.col("na"), F.col("nb"), percent))
 
 
+def _prefix_distance(hot: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
+    """Class ``a`` of size n, its pivot ``b``, and whether they are ``far``: not linked, and more than half apart as far as B prefixes tell."""
+    end = F.least(F.element_at("qa", -1), F.element_at("qb", -1))
+    known = F.size(F.filter("qa", lambda x: x <= end)) + F.size(F.filter("qb", lambda x: x <= end))
+    apart = 4 * F.size(F.array_intersect("qa", "qb")) < known
+    both = (hot.where("rep != pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
+            .join(prefixes.select(F.col("rep").alias("a"), F.col("q").alias("qa"), F.col("n").alias("na")), "a")
+            .join(prefixes.select(F.col("rep").alias("b"), F.col("q").alias("qb"), F.col("n").alias("nb")), "b"))
+    return both.select("a", "b", F.col("na").alias("n"), (apart & ~_near_prefixes(percent)).alias("far")).distinct()
+
+
+def _side(members: DataFrame, name: str) -> DataFrame:
+    return members.select("key", F.col("rep").alias(name), F.col("n").alias(f"n{name}"), F.col("q").alias(f"q{name}"), F.col("far").alias(f"out_{name}"))
+
+
 def _near(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
     """The pairs that pass the filter of order B; ``prefixes``: rep, n, q."""
     known = (pairs.join(prefixes.select(F.col("rep").alias("a"), F.col("q").alias("qa"), F.col("n").alias("na")), "a")
@@ -308,26 +326,35 @@ def links(rows: DataFrame, names: DataFrame, docs: DataFrame, last: Broadcast, *
     prefixes = rows.where(F.size("q") > 0).select(F.col("doc_id").alias("rep"), "n", "q")
     pairs = materialize(_near(_cold_pairs(counted, cold_rows, percent), prefixes, percent), "join-pairs")
     hot = _with_pivots(counted, cold_rows)
-    wanted = (pairs.select("a").union(pairs.select("b")).union(hot.select("rep")).union(hot.select("pivot"))
-              .distinct().withColumnRenamed("a", "doc_id"))
+    any_hot = not hot.isEmpty()
+    if any_hot:
+        star = materialize(_prefix_distance(hot, prefixes, percent), "join-distance")
+        members = materialize(hot.where("rep != pivot").join(star.select(F.col("a").alias("rep"), F.col("b").alias("pivot"), "far"), ["rep", "pivot"])
+                              .join(prefixes.select("rep", "q"), "rep").distinct(), "join-members")
+        one, other = _side(members, "a").where("out_a"), _side(members, "b")
+        once = (F.col("a") != F.col("b")) & (~F.col("out_b") | (F.col("a") < F.col("b")))
+        apart = one.join(other, "key").where(once & _near_sizes(F.col("na"), F.col("nb"), percent)).where(_near_prefixes(percent))
+        pairs = materialize(pairs.union(apart.select("a", "b")).distinct(), "join-pairs")
+        star = star.where("not far").select("a", "b", "n")
+    wanted = pairs.select("a").union(pairs.select("b"))
+    compared = pairs.select("a", "b", F.lit(None).cast("int").alias("n"))
+    if any_hot:
+        wanted, compared = wanted.union(star.select("a")).union(star.select("b")), compared.union(star)
+    wanted = materialize(wanted.distinct().withColumnRenamed("a", "doc_id"), "join-wanted")
     texts = docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     sets = materialize(whole_sets(texts, n, last), "join-sets")
-    found = [materialize(_compared(pairs, sets, percent).where("linked").select("a", "b"), "join-links")]
-    if not hot.isEmpty():
-        star = _compared(hot.where("rep != pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b"), "n").distinct(), sets, percent)
-        far = F.size("sa") + F.size("sb") - 2 * F.col("shared")
-        ring = percent * far <= (135 - percent) * F.col("n")  # .35 / t + (1 - t) / t: whatever is linked to one that does not stay
-        star = materialize(star.select("a", "b", "n", "linked", (100 * far > 35 * F.col("n")).alias("stays"), F.when(
-            ring, F.concat(F.array_except("sa", "sb"), F.array_except("sb", "sa"))).alias("d")), "join-star")
-        found.append(star.where("linked").select("a", "b"))
-        found.append(_ring_links(star.where("d is not null").select(F.col("b").alias("pivot"), "a", "n", "linked", "d"), percent, block_rows))
-        left = (hot.join(star.where("stays").select(F.col("a").alias("rep"), F.col("b").alias("pivot")), ["rep", "pivot"])
-                .select("key", F.col("rep").alias("a"), F.col("n").alias("na"))
-                .join(prefixes.select(F.col("rep").alias("a"), F.col("q").alias("qa")), "a"))
-        right = left.select("key", F.col("a").alias("b"), F.col("na").alias("nb"), F.col("qa").alias("qb"))
-        apart = (left.join(right, "key").where(F.col("a") < F.col("b")).where(_near_sizes(F.col("na"), F.col("nb"), percent))
-                 .where(_near_prefixes(percent)).select("a", "b").distinct())
-        found.append(_compared(materialize(apart, "join-pairs"), sets, percent).where("linked").select("a", "b"))
+    apart_by = F.size("sa") + F.size("sb") - 2 * F.col("shared")
+    ring = percent * apart_by <= (135 - percent) * F.col("n")  # .35 / t + (1 - t) / t: whatever is linked to one that does not stay
+    known = materialize(_compared(compared, sets, percent).where("linked or n is not null").select(
+        "a", "b", "n", "linked", (100 * apart_by > 35 * F.col("n")).alias("stays"),
+        F.when(ring, F.concat(F.array_except("sa", "sb"), F.array_except("sb", "sa"))).alias("d")), "join-compared")
+    found = [known.where("linked").select("a", "b")]
+    if any_hot:
+        found.append(_ring_links(known.where("d is not null").select(F.col("b").alias("pivot"), "a", "n", "linked", "d"), percent, block_rows))
+        stay = members.join(known.where("stays").select(F.col("a").alias("rep"), F.col("b").alias("pivot")), ["rep", "pivot"])
+        left = (_side(stay, "a").join(_side(stay, "b"), "key").where(F.col("a") < F.col("b"))
+                .where(_near_sizes(F.col("na"), F.col("nb"), percent)).where(_near_prefixes(percent)).select("a", "b").distinct())
+        found.append(_compared(materialize(left, "join-pairs"), sets, percent).where("linked").select("a", "b"))
     out = found[0]
     for x in found[1:]:
         out = out.union(x)

@@ -58,6 +58,20 @@ def test_components_are_exact(spark, seed, cold, block):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute(rows)
 
 
+@pytest.mark.parametrize("seed", [4, 5])
+def test_groups_that_share_a_passage(spark, seed):
+    """Copies 0 to 20 words from their bases; one passage in all groups makes most classes far from the pivots they share."""
+    rng = random.Random(seed)
+    passage = [f"p{i}" for i in range(60)]
+    rows = []
+    for g in range(4):
+        base = [f"g{g}w{i}" for i in range(90)]
+        rows += [(len(rows) + i, " ".join([*passage, near_copies(rng, base, 20)])) for i in range(20)]
+    rows += [(len(rows) + i, " ".join([*passage[:40], *(f"x{rng.randrange(9999)}" for _ in range(40))])) for i in range(30)]
+    got = ngram_join.near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string"), cold_rows=2, block_rows=9, frequent=8).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute(rows)
+
+
 def test_empty_and_hash_order(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert ngram_join.near_duplicate_groups(df).count() == 0
