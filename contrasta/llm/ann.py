@@ -5,9 +5,10 @@
    largest inner product.
 2. Every projection is one hash function with one sorted array. The ``projections`` directions are
    drawn as whole orthogonal bases, which spreads them evenly.
-3. A query opens a window around its own projection in each sorted array. Virtual rehashing widens
-   all windows by ``growth`` at a time; only the newly covered stretches are counted. Vectors inside
-   at least ``threshold`` of the windows are candidates. Widening stops when ``verify`` candidates
+3. A query opens windows around its own projection in the ``opened`` sorted arrays in which it lies
+   farthest out: few vectors lie there, so a collision says most. Virtual rehashing widens all its
+   windows by ``growth`` at a time; only the newly covered stretches are counted. Vectors inside at
+   least ``threshold`` of the windows are candidates. Widening stops when ``verify`` candidates
    are there (or all vectors), and these are verified by exact inner products in double precision.
 
 Vectors are dealt by a hash of their id into blocks of about ``block_rows``, each with its own
@@ -49,34 +50,56 @@ class Block:
         self.sorted = np.take_along_axis(hashed, self.order, axis=1)
         self.step = float(hashed.std(axis=1).mean()) or 1.0
 
-    def candidates(self, query: np.ndarray, *, threshold: float, verify: int, first: float, growth: float) -> np.ndarray:
-        """Rows of the block that collide with the query in enough windows."""
-        n, m = len(self.ids), len(self.order)
+    def _bounds(self, arrays: np.ndarray, values: np.ndarray, side: str) -> np.ndarray:
+        """For each value its place in the sorted array that ``arrays`` names for it."""
+        out = np.empty(values.shape, dtype=np.int64)
+        for a in np.unique(arrays):
+            out[arrays == a] = self.sorted[a].searchsorted(values[arrays == a], side)
+        return out
+
+    def candidates(self, queries: np.ndarray, *, opened: int, threshold: float, verify: int, first: float, growth: float) -> list[np.ndarray]:
+        """For each query the rows of the block that collide with it in enough windows."""
+        n, h = len(self.ids), min(opened, len(self.order))
         if n <= verify:
-            return np.arange(n)
-        at = (query * (self.norm / np.sqrt(query @ query))) @ self.axes[:-1]
-        need = int(np.ceil(threshold * m))
-        count = np.zeros(n, dtype=np.int64)
-        low = high = np.fromiter((s.searchsorted(x) for s, x in zip(self.sorted, at, strict=True)), dtype=np.int64, count=m)
-        radius = first * self.step
-        while True:
-            new_low = np.fromiter((s.searchsorted(x) for s, x in zip(self.sorted, at - radius, strict=True)), dtype=np.int64, count=m)
-            new_high = np.fromiter((s.searchsorted(x, "right") for s, x in zip(self.sorted, at + radius, strict=True)), dtype=np.int64, count=m)
-            rings = [o[a:b] for o, a, b in zip(self.order, new_low, low, strict=True)] + [o[a:b] for o, a, b in zip(self.order, high, new_high, strict=True)]
-            count += np.bincount(np.concatenate(rings), minlength=n)
-            found = np.flatnonzero(count >= need)
-            if len(found) >= verify:
-                return found
-            if (new_high - new_low).min() == n:
-                return np.arange(n)
-            low, high, radius = new_low, new_high, radius * growth
-
-    def search(self, query_id: int, query: np.ndarray, k: int, **windows) -> tuple[np.ndarray, np.ndarray]:
-        found = self.candidates(query, **windows)
-        found = found[self.ids[found] != query_id]
-        score = (self.vectors[found] * query).sum(axis=1)
-        best = np.lexsort((self.ids[found], -score))[:k]
-        return self.ids[found[best]], score[best]
+            return [np.arange(n)] * len(queries)
+        norms = np.sqrt((queries * queries).sum(1, keepdims=True))
+        at = (queries * (self.norm / norms)) @ self.axes[:-1]
+        arrays = np.argpartition(-np.abs(at), h - 1, axis=1)[:, :h]
+        at = np.take_along_axis(at, arrays, axis=1)
+        need = int(np.ceil(threshold * h))
+        count = np.zeros((len(queries), n), dtype=np.int32)
+        low = self._bounds(arrays, at, "left")
+        high, radius, found, open_ = low.copy(), first * self.step, [np.arange(n)] * len(queries), np.arange(len(queries))
+        while len(open_):
+            new_low = self._bounds(arrays[open_], at[open_] - radius, "left")
+            new_high = self._bounds(arrays[open_], at[open_] + radius, "right")
+            still = []
+            for i, q in enumerate(open_):
+                rings = [self.order[a, x:y] for a, x, y in zip(arrays[q], new_low[i], low[q], strict=True)]
+                rings += [self.order[a, x:y] for a, x, y in zip(arrays[q], high[q], new_high[i], strict=True)]
+                count[q] += np.bincount(np.concatenate(rings), minlength=n).astype(np.int32)
+                near = np.flatnonzero(count[q] >= need)
+                if len(near) >= verify:
+                    found[q] = near
+                elif (new_high[i] - new_low[i]).min() < n:
+                    still.append(q)
+            low[open_], high[open_], radius, open_ = new_low, new_high, radius * growth, np.array(still, dtype=np.int64)
+        return found
+
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, *, at_once: int = 64, **windows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query ids, ids and scores of the ``k`` best rows for each query; ``at_once`` queries share their look-ups."""
+        parts = []
+        for i in range(0, len(queries), at_once):
+            asked = queries[i:i + at_once]
+            for q, x, found in zip(query_ids[i:i + at_once], asked, self.candidates(asked, **windows), strict=True):
+                found = found[self.ids[found] != q]
+                score = (self.vectors[found] * x).sum(axis=1)
+                if len(found) > k:  # all that tie with the k-th stay for the order by id
+                    best = score >= np.partition(score, len(score) - k)[len(score) - k]
+                    found, score = found[best], score[best]
+                best = np.lexsort((self.ids[found], -score))[:k]
+                parts.append((np.full(len(best), q), self.ids[found[best]], score[best]))
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
 def usable(vector: Column) -> Column:
@@ -86,8 +109,8 @@ def usable(vector: Column) -> Column:
 
 
 def search(table: DataFrame, query_where: Column, *, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", projections: int = 128,
-           threshold: float = 0.8, verify: int = 400, first: float = 0.8, growth: float = 1.15, block_rows: int = 4096, chunk_rows: int = 2048,
-           seed: int = 41) -> DataFrame:
+           opened: int = 48, threshold: float = 0.5, verify: int = 1024, first: float = 0.9, growth: float = 1.15, block_rows: int = 16384,
+           chunk_rows: int = 2048, seed: int = 41) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k nearest found of each query, nearest first."""
     rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), query_where.alias("asked"))
     rows = rows.where(F.col("id").isNotNull() & usable(F.col("v")))
@@ -116,11 +139,8 @@ def search(table: DataFrame, query_where: Column, *, k: int = 20, id_col: str =
         ids, v = pdf["id"].to_numpy(dtype=np.int64), np.stack(pdf["v"].to_numpy())
         own = np.argsort(ids[~asked], kind="stable")  # the same whatever order the rows came in
         block = Block(ids[~asked][own], v[~asked][own], norm, projections, seed)
-        out = [none]
-        for q, x in zip(ids[asked], v[asked], strict=True):
-            near, score = block.search(q, x, k, threshold=threshold, verify=max(verify, 2 * k), first=first, growth=growth)
-            out.append(pd.DataFrame({"query_id": np.full(len(near), q), "vec_id": near, "score": score}))
-        return pd.concat(out, ignore_index=True)
+        near = block.search(ids[asked], v[asked], k, opened=opened, threshold=threshold, verify=max(verify, 2 * k), first=first, growth=growth)
+        return pd.DataFrame(dict(zip(none.columns, near, strict=True)))
 
     best = vectors.unionByName(queries).groupBy("block", "chunk").applyInPandas(found, schema)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))

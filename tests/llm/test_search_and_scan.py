@@ -46,7 +46,7 @@ def test_longer_vectors_are_nearer_by_inner_product():
     block = ann.Block(np.arange(3000), v, float(np.sqrt((v * v).sum(1).max())), 128, 1)
     hit = 0
     for q in range(40):
-        ids, _ = block.search(q, v[q], 10, threshold=0.8, verify=300, first=0.8, growth=1.15)
+        _, ids, _ = block.search(np.array([q]), v[q:q + 1], 10, opened=48, threshold=0.5, verify=300, first=0.9, growth=1.15)
         s = v @ v[q]
         s[q] = -np.inf
         hit += len(set(ids) & set(np.argsort(-s)[:10]))
