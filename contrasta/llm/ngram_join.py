@@ -52,7 +52,9 @@ from ._util import materialize
 _LOWER = bytes.maketrans(bytes(range(65, 91)) + b"\t\n\x0b\x0c\r", bytes(range(97, 123)) + b" " * 5)
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _LEN_BITS, _TOP = np.uint64(56), np.uint64(1 << 63)
-CACHE_WORDS = 300_000
+CACHE_WORDS = 100_000
+#: Rows whose texts and sets a task holds at once, within an Arrow batch.
+SLICE_ROWS = 1024
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -129,9 +131,14 @@ def frequent_shingles(docs: DataFrame, n: int, most: int, in_batch: int = 4) ->
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(n)
         for batch in batches:
-            sets = {s.tobytes() for s in (shingles(t) for t in batch.column(0).to_pylist())}
+            sets = {}
+            for part in _slices(batch):
+                for s in map(shingles, part.column(0).to_pylist()):
+                    sets.setdefault(xxhash.xxh3_128_digest(s.tobytes()), s)
             if sets:
-                token, count = np.unique(np.frombuffer(b"".join(sets), dtype=np.uint64), return_counts=True)
+                tokens = np.concatenate(list(sets.values()))
+                sets.clear()
+                token, count = np.unique(tokens, return_counts=True)
                 many = count >= in_batch
                 yield pa.RecordBatch.from_arrays([pa.array(token[many].view(np.int64)), pa.array(count[many].astype(np.int64))], names=["token", "m"])
 
@@ -143,11 +150,11 @@ def frequent_shingles(docs: DataFrame, n: int, most: int, in_batch: int = 4) ->
 def filters(docs: DataFrame, n: int, percent: int, last: Broadcast) -> DataFrame:
     """Id, class signature and size of every row, its A prefix ``p`` and the upper halves ``q`` of its B prefix.
 
-    Rows of one batch with equal sets leave the prefixes to the one with the smallest id.
+    Rows of one slice with equal sets leave the prefixes to the one with the smallest id.
     """
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(n, last.value)
-        for batch in batches:
+        for batch in (part for whole in batches for part in _slices(whole)):
             ids = batch.column(0).to_pylist()
             sets = [shingles(t) for t in batch.column(1).to_pylist()]
             sigs = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
@@ -171,12 +178,16 @@ def filters(docs: DataFrame, n: int, percent: int, last: Broadcast) -> DataFrame
 def whole_sets(docs: DataFrame, n: int, last: Broadcast) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(n, last.value)
-        for batch in batches:
+        for batch in (part for whole in batches for part in _slices(whole)):
             yield pa.RecordBatch.from_arrays([batch.column(0), _lists([_signed(shingles(t)) for t in batch.column(1).to_pylist()])], names=["rep", "tokens"])
 
     return docs.select("doc_id", "text").mapInArrow(rows, f"rep {docs.schema['doc_id'].dataType.simpleString()}, tokens array<long>")
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    return (batch.slice(i, SLICE_ROWS) for i in range(0, batch.num_rows, SLICE_ROWS))
+
+
 def _lists(parts: list[np.ndarray], kind: type = np.int64) -> pa.ListArray:
     ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
     flat = np.concatenate(parts) if parts else np.empty(0, dtype=kind)

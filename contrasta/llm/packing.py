@@ -74,6 +74,11 @@ class Encoder:
         return self._whole(first) + ids
 
 
+    def forget(self) -> None:
+        """Drop the known words: a worker outlives its task."""
+        self._words.clear()
+
+
 @lru_cache(maxsize=4)
 def encoder(ranks_path: str | None) -> Encoder:
     import public_tokenizers
@@ -149,6 +154,7 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", cap
                     group, held = [], 0
         if group:
             yield flush()
+        encode.forget()
 
     return (docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
             .mapInArrow(packed, SCHEMA.format(id=id_type.simpleString())))
