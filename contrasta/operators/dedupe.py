@@ -27,3 +27,17 @@ def dedupe_keep_first(df: DataFrame, text_col: str = "text", order_col: str = "d
                .groupBy(*[k for k in ["_h1", "_h2", "_len", *within]])
                .agg(F.min(order_col).alias(order_col)))
     return df.join(winners.select(order_col), order_col, "left_semi")
+
+
+def keep_first_rows(df: DataFrame, text_col: str = "text", order_col: str = "doc_id", within=()) -> DataFrame:
+    """The same decision in one pass, for rows that are costly to make twice.
+
+    Rows are grouped on the text itself and carry those of the smallest ``order_col`` along;
+    copies collapse map-side, so a hot text leaves one row per task and texts move once.
+    Rows without ``order_col`` are never first. One row is left per text and group.
+    """
+    keys = [*within, text_col]
+    rest = [c for c in df.columns if c not in keys]
+    first = (df.where(F.col(order_col).isNotNull()).groupBy(*keys)
+             .agg(F.min_by(F.struct(*rest), order_col).alias("_first")))
+    return first.select(*[F.col(c) if c in keys else F.col("_first")[c].alias(c) for c in df.columns])

@@ -28,12 +28,16 @@ def domain_rules(covid=COVID_DATASETS, climate=CLIMATE_DATASETS, **others) -> di
 
 def assign_domain(df: DataFrame, rules: dict[str, str] | None = None,
                   dataset_col: str = "dataset", default: str = "general") -> DataFrame:
-    """Set ``domain`` from the dataset name: broadcast lookup, ``default`` when unlisted."""
+    """Set ``domain`` from the dataset name: broadcast lookup, ``default`` when unlisted.
+
+    A domain that a source has set itself stays.
+    """
     rules = domain_rules() if rules is None else rules
     m = lookup_table(df.sparkSession, sorted(rules.items()), "_ds string, _dom string")
     out = df.join(m, F.col(dataset_col) == F.col("_ds"), "left")
     cols = [c for c in df.columns if c != "domain"]
-    return out.select(*cols, F.coalesce("_dom", F.lit(default)).alias("domain"))
+    preset = [F.col("domain")] if "domain" in df.columns else []
+    return out.select(*cols, F.coalesce(*preset, F.col("_dom"), F.lit(default)).alias("domain"))
 
 
 def route(df: DataFrame, domain: str) -> DataFrame:

@@ -1,48 +1,44 @@
 """Language identification by function-word profile, and the English filter.
 
-Each document's word tokens are joined to a broadcast ``(word, lang)`` table built
-from Spark's default stop-word lists; hits are counted per language map-side and
-the language with most hits wins (ties: alphabetical), no hit -> null.
+A row function: the word tokens of a text are counted in one pass against Spark's default
+stop-word lists, and the language with most hits wins (ties: alphabetical); no hit -> null.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contrasta import lexicons
 from contrasta.functions.text import decode_unicode_escapes
-from contrasta.operators._util import lookup_table
-from contrasta.operators.tokens import word_tokens
+from contrasta.operators.tokens import computed_once, word_tokens
 
 LANGUAGES = {"de": "stopwords_german", "en": "stopwords_english",
              "es": "stopwords_spanish", "fr": "stopwords_french"}
 
 
-def profile_rows():
-    return sorted({(w, lang) for lang, f in LANGUAGES.items() for w in lexicons.words(f)})
+def language_of(text) -> Column:
+    """Language code of ``text``, null when it has no function word."""
+    langs = sorted(LANGUAGES)
+    zero = F.struct(*[F.lit(0).alias(l) for l in langs])
+
+    def count(acc, token):
+        return F.struct(*[(acc[l] + token.isin(*lexicons.words(LANGUAGES[l])).cast("int")).alias(l) for l in langs])
+
+    def best(acc):
+        most = F.greatest(*[acc[l] for l in langs])
+        return F.when(most > 0, F.coalesce(*[F.when(acc[l] == most, F.lit(l)) for l in langs]))
+
+    return F.aggregate(word_tokens(decode_unicode_escapes(text)), zero, count, best)
 
 
 def detect_language(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """``(doc_id, lang_detected)`` for documents with at least one function-word hit
+    """``(doc_id, lang_detected)`` for each row with at least one function-word hit
     (left-join it: a missing row means undecidable)."""
-    prof = lookup_table(df.sparkSession, profile_rows(), "word string, lang string")
-    toks = df.select(id_col, F.explode(word_tokens(decode_unicode_escapes(text_col))).alias("word"))
-    hits = toks.join(prof, "word")
-    langs = sorted(LANGUAGES)
-    counts = hits.groupBy(id_col).agg(*[F.count_if(F.col("lang") == l).alias(f"_n_{l}") for l in langs])
-    # alphabetical order + strict '>' keeps the first language on ties
-    best = F.lit(langs[0])
-    best_n = F.col(f"_n_{langs[0]}")
-    for l in langs[1:]:
-        n = F.col(f"_n_{l}")
-        best = F.when(n > best_n, F.lit(l)).otherwise(best)
-        best_n = F.greatest(best_n, n)
-    return counts.select(id_col, best.alias("lang_detected"))
-
-
-def filter_language(df: DataFrame, lang: str = "en", text_col: str = "text",
-                    id_col: str = "doc_id") -> DataFrame:
+    d = computed_once(df.select(id_col, text_col), language_of(text_col), "lang_detected")
+    return d.select(id_col, "lang_detected").where(F.col("lang_detected").isNotNull())
+
+
+def filter_language(df: DataFrame, lang: str = "en", text_col: str = "text") -> DataFrame:
     """Rows detected as ``lang``; blank or undecidable texts are dropped."""
-    hits = detect_language(df, text_col, id_col).where(F.col("lang_detected") == lang)
-    return df.join(hits.select(id_col), id_col, "left_semi")
+    return computed_once(df, language_of(text_col), "_lang").where(F.col("_lang") == lang).drop("_lang")

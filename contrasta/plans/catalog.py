@@ -19,16 +19,17 @@ from contrasta.operators import reports as rp
 from contrasta.operators import summaries as sm
 from contrasta.operators import tfidf
 from contrasta.operators.dedupe import dedupe_keep_first
-from contrasta.operators.domains import assign_domain, drop_credible
+from contrasta.operators.domains import assign_domain, domain_rules, drop_credible
 from contrasta.operators.emotion import EMOTION_COLUMNS, dominant_emotion, emotion_scores
 from contrasta.operators.labels import harmonize_labels
-from contrasta.operators.language import detect_language
+from contrasta.operators.language import language_of
 from contrasta.operators.lemma import lemmatize
 from contrasta.operators.rhetoric import rhetoric_scores
 from contrasta.operators.sentiment import polarity_class, sentiment_scores
 from contrasta.plans import analyze as an
 from contrasta.plans.featurize import feature_table, with_lemmas
-from contrasta.plans.preprocess import prepare_corpus
+from contrasta.operators.tokens import computed_once
+from contrasta.plans.preprocess import prepare_corpus, prepare_sources
 from contrasta.session import ensure_checkpoint_dir
 from contrasta.sources import normalize as nz
 from contrasta.sources.driver import (DOMAIN_A, DOMAIN_B, DRIVER_DOMAIN_RULES, decorated_documents,
@@ -126,6 +127,12 @@ def q_preprocess_corpus(spark, sf):
     return corpus(spark, sf).select("doc_id", "domain", "dataset", "text")
 
 
+def q_corpus_from_sources(spark, sf):
+    """From the raw source tables to the corpus in one plan."""
+    docs = prepare_sources(nz.normalized_sources(spark, sf), domain_rules() | DRIVER_DOMAIN_RULES)
+    return docs.select("doc_id", "domain", "source", "dataset", "label", "text")
+
+
 def q_value_counts(spark, sf):
     c = corpus(spark, sf)
     return sm.value_counts(c, "dataset", ["domain"], top=10).select(
@@ -134,15 +141,13 @@ def q_value_counts(spark, sf):
 
 def q_lang_detect(spark, sf):
     d = table(spark, sf, "documents")
-    det = detect_language(d.select("doc_id", "text"))
-    return d.select("doc_id", "lang").join(det, "doc_id", "left")
+    return d.select("doc_id", "lang", language_of("text").alias("lang_detected"))
 
 
 def q_lang_accuracy(spark, sf):
     """Detector accuracy against the ``lang`` column, per true language."""
     d = table(spark, sf, "documents")
-    det = detect_language(d.select("doc_id", "text"))
-    j = d.select("doc_id", "lang").join(det, "doc_id", "left")
+    j = computed_once(d.select("lang", "text"), language_of("text"), "lang_detected")
     return finalize(j.groupBy("lang").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("lang_detected") == F.col("lang")).alias("n_correct"),
@@ -349,6 +354,7 @@ QUERIES = {
     "drop_credible": q_drop_credible,
     "dedupe_keep_first": q_dedupe_keep_first,
     "preprocess_corpus": q_preprocess_corpus,
+    "corpus_from_sources": q_corpus_from_sources,
     "value_counts": q_value_counts,
     "lang_detect": q_lang_detect,
     "lang_accuracy": q_lang_accuracy,

@@ -12,6 +12,7 @@ import math
 from contrasta import lexicons
 from contrasta.functions import text as tx
 from contrasta.operators import labels as lb
+from contrasta.operators.domains import domain_rules
 from contrasta.operators.emotion import CUE_EMOTIONS, EMOTION_COLUMNS
 from contrasta.operators.language import LANGUAGES
 from contrasta.operators.lemma import exceptions_map
@@ -97,9 +98,9 @@ def decorated() -> str:
 
 # ------------------------------------------------------------------ corpus
 
-def domain_case(col: str = "dataset") -> str:
+def domain_case(col: str = "dataset", rules: dict[str, str] = DRIVER_DOMAIN_RULES) -> str:
     by = {}
-    for ds, dom in DRIVER_DOMAIN_RULES.items():
+    for ds, dom in rules.items():
         by.setdefault(dom, []).append(ds)
     parts = " ".join(f"WHEN {col} IN ({', '.join(q(x) for x in sorted(v))}) THEN {q(k)}" for k, v in by.items())
     return f"CASE {parts} ELSE 'general' END"
@@ -387,10 +388,10 @@ def _first(cols):
     return "coalesce(" + ", ".join(f"CASE WHEN {c} NOT IN ('na', 'n/a') THEN {c} END" for c in cols) + ")"
 
 
-def sql_normalize_sources() -> str:
+def source_ctes() -> str:
     codes = ["0_not_relevant", "1_not_happening", "2_not_human", "3_not_bad", "4_solutions_harmful_unnecessary",
              "5_science_unreliable", "6_proponents_biased", "7_fossil_fuels_needed", "9_unlisted"]
-    return f"""WITH cdl_raw AS (
+    return f"""cdl_raw AS (
   SELECT d.doc_id,
     CASE WHEN d.doc_id % 4 = 0 THEN d.text WHEN d.doc_id % 4 = 1 THEN 'na' END AS tweet_text,
     CASE WHEN d.doc_id % 4 IN (1, 2) THEN d.text END AS claim,
@@ -411,11 +412,34 @@ cc_raw AS (SELECT d.doc_id, d.text AS text,
         CASE WHEN l.quality = 0 THEN '0_not_relevant' WHEN l.toxic = 1 THEN '1_misleading' END AS label
         FROM documents d JOIN labels l USING (doc_id)),
 cc AS (SELECT doc_id, text, label, 'climatecheck' AS source, 'climatecheck' AS dataset FROM cc_raw
-       QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1)
+       QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1)"""
+
+
+def sql_normalize_sources() -> str:
+    return f"""WITH {source_ctes()}
 SELECT * FROM cdl UNION ALL SELECT * FROM princeton UNION ALL SELECT * FROM cf UNION ALL SELECT * FROM qc
 UNION ALL SELECT * FROM cfd UNION ALL SELECT * FROM cc"""
 
 
+def sql_corpus_from_sources() -> str:
+    return f"""WITH {source_ctes()}, {lang_profile()},
+united AS (SELECT 0 AS i, *, NULL AS preset FROM cdl UNION ALL SELECT 1, *, 'covid' FROM princeton UNION ALL SELECT 2, *, NULL FROM cf
+  UNION ALL SELECT 3, *, NULL FROM qc UNION ALL SELECT 4, *, NULL FROM cfd UNION ALL SELECT 5, *, NULL FROM cc),
+labelled AS (SELECT i * 1000000000000000 + doc_id AS doc_id, text, source, dataset,
+  coalesce(preset, {domain_case('dataset', domain_rules() | DRIVER_DOMAIN_RULES)}) AS domain,
+  CASE WHEN i IN (0, 2) THEN {_map_sql(lb.CDL_MAP)}[lower(coalesce(label, 'nan'))]
+       WHEN i = 3 THEN coalesce({_map_sql(lb.QUOTE_MAP)}[label], label)
+       WHEN i = 4 THEN CASE TRY_CAST(label AS DOUBLE) WHEN 0 THEN 'credible' WHEN 1 THEN 'misinformation' END
+       WHEN i = 5 THEN CASE WHEN starts_with(coalesce(label, 'nan'), '0_') THEN 'credible' ELSE 'misinformation' END
+       ELSE label END AS label FROM united),
+cleaned AS (SELECT doc_id, domain, source, dataset, label, {clean('text')} AS text FROM labelled WHERE label <> 'credible'),
+firsts AS (SELECT * FROM cleaned WHERE text <> '' QUALIFY row_number() OVER (PARTITION BY domain, text ORDER BY doc_id) = 1),
+tok AS (SELECT doc_id, unnest({word_tokens(decode('text'))}) AS word FROM firsts WHERE domain = 'covid'),
+hits AS (SELECT t.doc_id, p.lang, count(*) AS n FROM tok t JOIN lang_profile p USING (word) GROUP BY ALL),
+best AS (SELECT doc_id, lang FROM hits QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, lang) = 1)
+SELECT f.* FROM firsts f LEFT JOIN best b USING (doc_id) WHERE f.domain <> 'covid' OR b.lang = 'en'"""
+
+
 def raw_labels_cte() -> str:
     codes = ["0_not_relevant", "1_not_happening", "2_not_human", "3_not_bad", "4_solutions_harmful_unnecessary",
              "5_science_unreliable", "6_proponents_biased", "7_fossil_fuels_needed", "9_unlisted"]
@@ -894,6 +918,7 @@ ORACLE = {
     "drop_credible": sql_drop_credible,
     "dedupe_keep_first": sql_dedupe_keep_first,
     "preprocess_corpus": sql_preprocess_corpus,
+    "corpus_from_sources": sql_corpus_from_sources,
     "value_counts": sql_value_counts,
     "lang_detect": sql_lang_detect,
     "lang_accuracy": sql_lang_accuracy,

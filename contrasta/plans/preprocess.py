@@ -1,46 +1,60 @@
-"""Corpus preparation: domain -> clean -> drop empty -> keep-first dedupe per
-domain -> English filter on one domain. One lazy plan; the dedupe is the only
-shuffle of document text."""
+"""Corpus preparation: domain -> clean -> drop empty -> English filter on one domain
+-> keep-first dedupe per domain. Each document is cleaned once, in the scan's stage;
+the dedupe is the only shuffle."""
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contrasta.functions.text import clean_text
-from contrasta.operators.dedupe import dedupe_keep_first
-from contrasta.operators.domains import assign_domain
-from contrasta.operators.language import detect_language
+from contrasta.operators.dedupe import keep_first_rows
+from contrasta.operators.domains import assign_domain, drop_credible
+from contrasta.operators.labels import harmonize_labels
+from contrasta.operators.language import language_of
 from contrasta.operators.tokens import computed_once
 
 UNIFIED = ["doc_id", "text", "label", "domain", "source", "dataset"]
+# ids of one source lie between its position times this and the next source's
+IDS_PER_SOURCE = 10 ** 15
 
 
 def prepare_corpus(docs: DataFrame, rules: dict[str, str] | None = None,
-                   english_domain: str | None = "covid", assign: bool = True,
-                   num_partitions: int | None = None, materialize=None) -> DataFrame:
-    """Unified documents, cleaned and de-duplicated, hash-partitioned by ``doc_id``.
-
-    The documents are shuffled once, by ``doc_id``, before cleaning; the dedupe
-    semi join, the language join and every later per-document join reuse that
-    partitioning (only small id/score rows move after it). ``materialize`` (e.g. a
-    checkpoint into the shared checkpoint folder) is applied to the result.
+                   english_domain: str | None = "covid", assign: bool = True, materialize=None) -> DataFrame:
+    """Unified documents, cleaned and de-duplicated; rows without id are dropped.
+
+    Equal texts of a domain have one language, so the language filter may stand before the
+    dedupe, where it is part of the scan's stage. ``materialize`` (e.g. a checkpoint into the
+    shared checkpoint folder) is applied to the result.
     """
-    # rows without an id never survive the keep-first semi join; filtering them first
-    # also keeps every branch on the same (reused) doc_id exchange
-    docs = docs.where(F.col("doc_id").isNotNull())
-    d = docs.repartition(num_partitions, "doc_id") if num_partitions else docs.repartition("doc_id")
+    d = docs.where(F.col("doc_id").isNotNull())
     d = assign_domain(d, rules) if assign else d
     d = computed_once(d, clean_text("text"), "text").where(F.col("text") != "")
-    d = dedupe_keep_first(d, "text", within=("domain",))
-    d = d.na.drop(subset=["text"])
     if english_domain is not None:
-        is_target = F.col("domain") == english_domain
-        # only the target domain's texts are tokenised (others become null), without a
-        # filter: both branches keep one plan, the doc_id exchange is shared and the
-        # per-document language rows join co-partitioned (no second text shuffle)
-        probe = d.select("doc_id", F.when(is_target, F.col("text")).alias("_lt"))
-        lang = detect_language(probe, "_lt")
-        d = d.join(lang, "doc_id", "left").where(~is_target | (F.col("lang_detected") == "en"))
-    d = d.select(*[c for c in UNIFIED if c in d.columns])
+        is_target = F.col("domain").eqNullSafe(english_domain)
+        d = computed_once(d, F.when(is_target, F.coalesce(language_of("text"), F.lit(""))), "_lang")
+        d = d.where(F.col("_lang").isNull() | (F.col("_lang") == "en")).drop("_lang")
+    d = keep_first_rows(d.select(*[c for c in UNIFIED if c in d.columns]), "text", within=("domain",))
     return materialize(d) if materialize is not None else d
+
+
+def prepare_sources(sources: Iterable[tuple[DataFrame, str]], rules: dict[str, str] | None = None,
+                    english_domain: str | None = "covid", materialize=None) -> DataFrame:
+    """The corpus of several normalised sources, each with the name of its label rule.
+
+    Labels are harmonised, domains assigned (a source's own domain stays) and credible rows dropped
+    per source; then all are united and prepared as one. Ids become unique over the sources and keep
+    their order: position of the source, then the source's own id (0 up to ``IDS_PER_SOURCE``).
+    """
+    parts = []
+    for i, (df, rule) in enumerate(sources):
+        d = drop_credible(assign_domain(harmonize_labels(df, rule), rules))
+        parts.append(d.withColumn("doc_id", F.col("doc_id") + F.lit(i * IDS_PER_SOURCE).cast("long")).select(UNIFIED))
+    if not parts:
+        raise ValueError("no sources given")
+    docs = parts[0]
+    for p in parts[1:]:
+        docs = docs.unionByName(p)
+    return prepare_corpus(docs, english_domain=english_domain, assign=False, materialize=materialize)

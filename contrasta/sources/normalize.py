@@ -131,13 +131,18 @@ def climatecheck_raw(spark, sf) -> DataFrame:
     return d.select("doc_id", F.col("text").alias("claim"), ann.alias("annotation"))
 
 
+def normalized_sources(spark, sf) -> list[tuple[DataFrame, str]]:
+    """Every source in the unified schema, with the name of its label rule."""
+    return [(normalize_cdl(cdl_raw(spark, sf)), SOURCE_GENERAL),
+            (normalize_princeton(princeton_raw(spark, sf)), SOURCE_HEADLINES),
+            (normalize_climate_fever(climate_fever_raw(spark, sf)), SOURCE_GENERAL),
+            (normalize_quotaclimat(quotaclimat_raw(spark, sf)), SOURCE_QUOTES),
+            (normalize_climate_fever_direct(climate_fever_direct_raw(spark, sf)), SOURCE_DIRECT),
+            (normalize_climatecheck(climatecheck_raw(spark, sf)), SOURCE_CHECK)]
+
+
 def all_sources_normalized(spark, sf) -> DataFrame:
-    parts = [normalize_cdl(cdl_raw(spark, sf)),
-             normalize_princeton(princeton_raw(spark, sf)).drop("domain"),
-             normalize_climate_fever(climate_fever_raw(spark, sf)),
-             normalize_quotaclimat(quotaclimat_raw(spark, sf)),
-             normalize_climate_fever_direct(climate_fever_direct_raw(spark, sf)),
-             normalize_climatecheck(climatecheck_raw(spark, sf))]
+    parts = [df.select(UNIFIED) for df, _ in normalized_sources(spark, sf)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

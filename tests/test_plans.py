@@ -2,9 +2,13 @@
 
 from pyspark.sql import functions as F
 
+from contrasta.functions.text import RETWEET_RE
 from contrasta.operators import stats as st
 from contrasta.operators import tfidf
+from contrasta.operators.language import detect_language
 from contrasta.operators.sentiment import sentiment_scores
+from contrasta.plans.preprocess import prepare_corpus
+from contrasta.sources.driver import DRIVER_DOMAIN_RULES
 
 
 def _plan(df):
@@ -51,3 +55,20 @@ def test_tfidf_vocabulary_is_bounded_broadcast(spark):
     _, _, _, w = tfidf.fit(docs, min_df=1, max_features=10)
     p = _plan(w)
     assert "TakeOrderedAndProject" in p and "BroadcastHashJoin" in p
+
+
+def test_corpus_is_cleaned_once_and_moved_once(spark):
+    docs = spark.createDataFrame([(i, f"the text {i % 5} is here", None, "documents", f"src{i % 12}") for i in range(40)],
+                                 "doc_id long, text string, label string, source string, dataset string")
+    df = prepare_corpus(docs, DRIVER_DOMAIN_RULES)
+    p = df._jdf.queryExecution().sparkPlan().toString()
+    assert p.count(RETWEET_RE[:8]) == 1  # the cleaning chain
+    q = df._jdf.queryExecution().executedPlan().toString()
+    assert q.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in q
+    assert "partial_min_by" in q
+
+
+def test_language_is_a_row_function(spark):
+    df = spark.createDataFrame([(1, "the cat is here")], "doc_id long, text string")
+    p = _plan(detect_language(df))
+    assert "Exchange" not in p and "Join" not in p

@@ -1,10 +1,11 @@
 import pytest
 from pyspark.sql import functions as F
 
-from contrasta.operators.dedupe import dedupe_keep_first
+from contrasta.operators.dedupe import dedupe_keep_first, keep_first_rows
 from contrasta.operators.domains import assign_domain, domain_rules, drop_credible
 from contrasta.operators.labels import harmonize_labels
 from contrasta.operators.sentiment import VADER_COLUMNS, ensure_sentiment
+from contrasta.plans.preprocess import IDS_PER_SOURCE, prepare_sources
 from contrasta.sources import normalize as nz
 
 
@@ -91,3 +92,26 @@ def test_check_alignment_raises_on_mismatch(spark):
     check_alignment(a, a)
     with pytest.raises(ValueError):
         check_alignment(a, b)
+
+
+def test_keep_first_rows_agrees_and_leaves_one_row_per_text(spark):
+    rows = [(5, "a", "x", 1), (2, "a", "x", 2), (3, "b", "x", 3), (4, "a", "y", 4), (1, None, "x", 5), (6, None, "x", 6), (None, "c", "x", 7),
+            (2, "a", "x", 8), (9, "", None, 9), (8, "", None, 10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, domain string, v int")
+    got = keep_first_rows(df, within=("domain",))
+    assert got.columns == df.columns
+    assert sorted((r.doc_id, r.text, r.domain) for r in got.where("text is not null and domain is not null").collect()) == [
+        (2, "a", "x"), (3, "b", "x"), (4, "a", "y")]
+    assert sorted(r.doc_id for r in got.collect()) == [1, 2, 3, 4, 8]
+    assert keep_first_rows(df.limit(0), within=("domain",)).count() == 0
+
+
+def test_sources_become_one_corpus_with_unique_ids(spark):
+    schema = "doc_id long, text string, label string, source string, dataset string"
+    one = spark.createDataFrame([(1, "the virus is a plot", "fake", "g", "coaid"), (2, "the virus is real", "true", "g", "coaid"),
+                                 (3, "el virus es de los otros", "fake", "g", "coaid")], schema)
+    two = spark.createDataFrame([(1, "The virus is a plot", "misinformation", "h", "headlines"), (2, "the flu is new", "misinformation", "h", "headlines")],
+                                schema).withColumn("domain", F.lit("covid"))
+    got = prepare_sources([(one, "cdl"), (two, "princeton")]).collect()
+    assert sorted((r.doc_id, r.text, r.domain) for r in got) == [
+        (1, "the virus is a plot", "covid"), (IDS_PER_SOURCE + 2, "the flu is new", "covid")]
