@@ -72,6 +72,17 @@ def test_groups_that_share_a_passage(spark, seed):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute(rows)
 
 
+@pytest.mark.parametrize(("seed", "cold", "block"), [(6, 16, 1024), (7, 4, 7), (8, 2, 20)])
+def test_components_are_exact_at_five_words(spark, seed, cold, block):
+    """As the pipeline calls it; with a shared passage and copies up to 12 words from their bases."""
+    rng = random.Random(seed)
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = corpus(seed) + [(5000 + i, f"{passage} {near_copies(rng, [f'h{i % 3}w{j}' for j in range(200)], 12)}") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = ngram_join.near_duplicate_groups(df, n=5, percent=80, cold_rows=cold, block_rows=block, frequent=200 if seed % 2 else 4).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute(rows, n=5, percent=80)
+
+
 def test_empty_and_hash_order(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert ngram_join.near_duplicate_groups(df).count() == 0

@@ -50,6 +50,21 @@ def test_one_of_each_group_stays(stages):
     assert sorted(stages[2].doc_id) == sorted(want)
 
 
+def test_near_copies_of_five_words(spark, stages):
+    """Similarity 0.8 or more over sets of five words; the first two copies are below 0.9 over sets of three."""
+    base = [f"w{i}" for i in range(400)]
+    copies = [base, [*base, *(f"x{i}" for i in range(70))], base[:340], [f"y{i}" if i % 60 == 9 else w for i, w in enumerate(base)],
+              base[:300], [*base, *(f"z{i}" for i in range(110))], [f"v{i}" if i % 20 == 9 else w for i, w in enumerate(base)]]
+    rows = [(i + 5, " ".join(x), "en", "s", 1) for i, x in enumerate(copies)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for before, kept in ((rows, [r.doc_id for r in cp.keep_first_of_group(spark, docs, SF).collect()]),
+                         (list(zip(stages[1].doc_id, stages[1].text, strict=True)), list(stages[2].doc_id))):
+        pairs = [x[:2] for x in before]
+        want = {k for k, _, c in brute(pairs, n=5, percent=80) if k == c}
+        assert sorted(kept) == sorted(want)
+    assert {k for k, _, c in brute([x[:2] for x in rows]) if k == c} != {k for k, _, c in brute([x[:2] for x in rows], n=5, percent=80) if k == c}
+
+
 def test_secrets_are_gone(stages):
     before = dict(zip(stages[2].doc_id, stages[2].text, strict=True))
     assert set(before) == set(stages[3].doc_id)
