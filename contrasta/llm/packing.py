@@ -33,6 +33,8 @@ SCHEMA = ("doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long
 #: A space before white space or the end: there the words of ``str.split`` are not tokenizer words.
 _ODD_SPACE = re.compile(r" (?=\s|\Z)")
 CACHE_WORDS = 300_000
+#: The added tokens of ``byte_bpe_50k.json``, which the rank file lacks.
+SPECIAL = (("<|endoftext|>", 50256),)
 
 
 class Encoder:
@@ -40,10 +42,11 @@ class Encoder:
 
     The pre-tokenizer always starts a new word at a space that stands before a visible
     character, so such texts are encoded word by word. Others go through the encoder whole.
-    Strings of special tokens count as ordinary text.
+    Strings of ``special`` tokens become their id, and the parts between them are encoded apart,
+    as ``tokenizers`` does; others count as ordinary text.
     """
 
-    def __init__(self, ranks_path: str, pattern: str) -> None:
+    def __init__(self, ranks_path: str, pattern: str, special: tuple[tuple[str, int], ...] = ()) -> None:
         import base64
 
         import tiktoken
@@ -51,11 +54,18 @@ class Encoder:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self._enc = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self._words: dict[str, bytes] = {}
+        self._special = {name: np.array([i], dtype="<u2").tobytes() for name, i in special}
+        self._split = re.compile("(" + "|".join(map(re.escape, sorted(self._special, key=len, reverse=True))) + ")")
 
     def _whole(self, text: str) -> bytes:
         return np.asarray(self._enc.encode_ordinary(text), dtype="<u2").tobytes()
 
     def __call__(self, text: str) -> bytes:
+        if any(name in text for name in self._special):  # every second part is a special string
+            return b"".join([self._special[x] if i % 2 else self._ordinary(x) for i, x in enumerate(self._split.split(text))])
+        return self._ordinary(text)
+
+    def _ordinary(self, text: str) -> bytes:
         if not text:
             return b""
         if _ODD_SPACE.search(text):
@@ -73,16 +83,15 @@ class Encoder:
             ids = b"".join([known[w] for w in rest])
         return self._whole(first) + ids
 
-
     def forget(self) -> None:
         """Drop the known words: a worker outlives its task."""
         self._words.clear()
 
 
 @lru_cache(maxsize=4)
-def encoder(ranks_path: str | None) -> Encoder:
+def encoder(ranks_path: str | None, special: tuple[tuple[str, int], ...] = ()) -> Encoder:
     import public_tokenizers
-    return Encoder(ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return Encoder(ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, special)
 
 
 def capacities(total: int, capacity: int) -> list[int]:
@@ -118,17 +127,18 @@ def assign(lengths: list[int], capacity: int, linear: float, quadratic: float) -
 
 def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, end_id: int = 0,
          ranks_path: str | None = None, group_tokens: int = 2_000_000, linear: float = 1.0,
-         quadratic: float = 1 / 2048) -> DataFrame:
+         quadratic: float = 1 / 2048, special: tuple[tuple[str, int], ...] = ()) -> DataFrame:
     """One row per piece: its document's id, where it starts in the document and in its sequence.
 
     ``ids_crc32`` is the CRC-32 of the piece's ids as little-endian uint32; ``doc_tokens`` counts
-    the end id. ``sequence_length`` is the whole sequence's number of tokens.
+    the end id. ``sequence_length`` is the whole sequence's number of tokens. ``special``: strings
+    that become one id wherever they stand, with their ids (``SPECIAL`` for the JSON vocabulary).
     """
     id_type = docs.schema[id_col].dataType
     end = np.array([end_id], dtype="<u2").tobytes()
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(ranks_path)
+        encode = encoder(ranks_path, special)
         base, group, held, used = TaskContext.get().partitionId() << 32, [], 0, 0
 
         def flush() -> pa.RecordBatch:

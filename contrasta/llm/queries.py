@@ -33,7 +33,7 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"))
+    return packing.pack(table(spark, sf_dir, "documents"), special=packing.SPECIAL)
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from contrasta.llm import packing
+from contrasta.llm import packing, queries
 
 TEXTS = [None, "", " ", "a", "Hello  world \n x", "tail ", "The cat.\nThe  dog's 12 ½ né ☃ <|endoftext|>!", "\n\n a\tb  ",
          "word " * 5000, "x" * 3000, "The cat.\nThe  dog's 12 ½ né ☃ <|endoftext|>!", "one two three"]
@@ -28,6 +28,23 @@ def test_ids_match_the_json_tokenizer():
         assert np.frombuffer(enc(text), "<u2").tolist() == ids[:-1], text
 
 
+def test_query_gives_special_strings_their_id(spark, tmp_path):
+    """As ``tokenizers`` encodes by default, without ``encode_special_tokens``."""
+    rng, end = random.Random(6), "<|endoftext|>"
+    chunks = [end, "the", " ", "  ", "\n", "don't", "é", "12", "<|", "|>", "endoftext", "中文", "\t", " dog"]
+    texts = [f"a {end} b", end, end * 3, f" {end} ", f"x  {end}  y", f"a{end}b c", f"w {end}\n\n z", "plain", "", "<|endoftext|",
+             *("".join(rng.choice(chunks) for _ in range(rng.randint(1, 30))) for _ in range(300))]
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = [np.array([*e.ids, 0], "<u4") for e in t.encode_batch(texts, add_special_tokens=False)]
+    assert want[0].tolist() == [64, 220, 50256, 275, 0]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    out = queries.op9_packing(spark, str(tmp_path)).toPandas()
+    assert set(out.doc_id) == set(range(len(texts)))
+    for k, x in out.groupby("doc_id"):
+        assert x.length.sum() == len(want[k]) and (x.doc_tokens == len(want[k])).all(), texts[k]
+        assert all(r.ids_crc32 == zlib.crc32(want[k][r.start:r.start + r.length].tobytes()) for r in x.itertuples()), texts[k]
+
+
 def test_round_trip(spark):
     rows = [(i, t, "dup") for i, t in enumerate(TEXTS)] + [(None, "null id", "x"), (5, "tail ", "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, sequence_id string").coalesce(1)
