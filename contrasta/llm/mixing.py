@@ -14,7 +14,8 @@ Only counts by length reach the fitting step, one source at a time; texts are re
 
 Defined cases: null and blank texts have size 0 and are never taken (``copies`` 0); null sources
 form the last source; rows with the same id and size are interchangeable, so any of them may be
-taken; an empty table gives no rows; other columns are ignored.
+taken; rows without id are chosen by a hash of their text; an empty table gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -108,16 +109,17 @@ def fit_lengths(lengths: list[int], counts: list[int], target: float, max_repeat
 
 def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
         weights: tuple[float, ...] = (5, 2, 1), max_repeat: int = 3, seed: int = 17, window: int = 65536,
-        rank_rows: int = 4096) -> DataFrame:
-    """``doc_id, source, size, source_size, target, copies, taken`` for every row of ``docs``.
+        rank_rows: int = 4096, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, source, size, source_size, target, copies, taken`` and the columns ``carry`` for every row of ``docs``.
 
     ``copies`` says how often the mix takes the document, ``taken`` is ``copies * size`` words.
     """
     text = text_or_empty(F.col(text_col))
     sizes = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"),
-                        F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"))
+                        F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
+                        F.when(F.col(id_col).isNull(), F.xxhash64(text)).alias("without_id"), *carry)
     sizes = materialize(sizes.withColumn("key", source_key(F.col("source")))
-                        .withColumn("pick", F.xxhash64(F.lit(seed), F.col("doc_id"))), "mix-sizes")
+                        .withColumn("pick", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("without_id"))), "mix-sizes")
     targets = source_targets(sizes, weights, max_repeat)
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
@@ -142,13 +144,12 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     rows = (rows.withColumn("rank", rank).join(parts, ["key", "size", "part"], "left")
             .withColumn("copies", F.when(F.col("size") == 0, F.lit(0).cast("long")).otherwise(
                 F.col("rounds") + (F.coalesce("before", F.lit(0)) + F.col("rank") <= F.col("take")).cast("long"))))
-    return rows.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return rows.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *carry)
 
 
 def mixed_documents(docs: DataFrame, **params) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it (for documents with distinct ids)."""
-    copies = mix(docs, **params).select(F.col("doc_id").alias("__id"), "copies").where("copies > 0")
-    id_col = params.get("id_col", "doc_id")
-    return (docs.join(copies, F.col(id_col) == F.col("__id"))
-            .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-            .drop("__id", "copies", "__copy"))
+    """The rows of ``docs``, each as often as the mix takes it; ids may be null or repeated."""
+    rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "mix-rows")
+    copies = mix(rows, **params, carry=("__row",)).select("__row", "copies").where("copies > 0")
+    return (rows.join(copies, "__row").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+            .select(docs.columns))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
-from contrasta.llm import packing, quality, secrets
+from contrasta.llm import mixing, packing, quality, secrets
 from contrasta.llm._util import materialize
 
 from .test_ngram_join import brute
@@ -98,6 +98,27 @@ def test_every_token_is_packed(stages):
         assert all(zlib.crc32(ids[r.start:r.start + r.length].tobytes()) == r.ids_crc32 for r in x.itertuples())
 
 
+def test_null_and_repeated_ids(spark):
+    """Copies without id go, texts that share an id stay, and the mixture takes rows without id."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(50)) for x in "abcd")
+    rows = [(None, a), (None, a), (7, b), (7, c), (7, b), (3, c + " end"), (None, b), (None, d), (9, ""), (9, ""), (None, " "), (8, None)]
+    docs = spark.createDataFrame([(k, t, "en", "s" if k else "none", 1) for k, t in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    kept = cp.keep_first_of_group(spark, docs, SF)
+    assert kept.columns == docs.columns
+    want = [(None, a), (7, b), (3, c + " end"), (None, d), (9, ""), (None, " "), (8, None)]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(want, key=str)
+    copies = mixing.mix(docs).groupBy("doc_id").agg(F.sum("copies").alias("n"))
+    got = Counter(r.doc_id for r in cp.mix_sources(spark, docs, SF).collect())
+    assert got == {r.doc_id: r.n for r in copies.collect() if r.n} and got[None]
+    many = spark.createDataFrame([(None if i % 2 else i // 4, "w " * (i % 5 + 1) + f"v{i}", "en", f"s{i % 3}", 1) for i in range(300)], docs.schema)
+    plan = {r.source: (r.target, r.n) for r in mixing.mix(many).groupBy("source").agg(F.max("target").alias("target"), F.sum("taken").alias("n")).collect()}
+    words = Counter()
+    for r in cp.mix_sources(spark, many, SF).collect():
+        words[r.source] += len(r.text.split())
+    assert all(words[k] == n and abs(n - target) <= 6 for k, (target, n) in plan.items())
+
+
 def test_run_and_empty_documents(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     docs.where("doc_id < 40").write.parquet(f"{tmp_path}/a/documents.parquet")
