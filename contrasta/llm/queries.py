@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, imatch, langid, licenses, mixing, ngram_join, packing, quality, secrets, toxicity
+from . import ann, imatch, langid, licenses, mixing, ngram_join, packing, quality, secrets, toxicity, vector_codes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,5 +66,9 @@ def op8_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.edited(table(spark, sf_dir, "documents"))
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_secrets, op4_ann, op5_licenses, op6_quality, op7_langid, op8_imatch, op9_packing,
-                                   op10_ngram_join)}
+                                   op10_ngram_join, op13_vector_codes)}
