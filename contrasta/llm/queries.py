@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, imatch, langid, lexical_search, licenses, mixing, ngram_join, packing, quality, secrets, toxicity, vector_codes
+from . import ann, imatch, langid, language_model, lexical_search, licenses, mixing, ngram_join, packing, quality, secrets, toxicity, vector_codes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,9 +71,13 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(lexical_search.index(docs), docs, table(spark, sf_dir, "benchmark"), k=50)
 
 
+def op12_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.language_model_scores(table(spark, sf_dir, "documents"), language_model.held_out_seventh())
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compress(table(spark, sf_dir, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
 
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_secrets, op4_ann, op5_licenses, op6_quality, op7_langid, op8_imatch, op9_packing,
-                                   op10_ngram_join, op11_lexical_search, op13_vector_codes)}
+                                   op10_ngram_join, op11_lexical_search, op12_language_model, op13_vector_codes)}
