@@ -1,7 +1,8 @@
 """Language identification by function-word profile, and the English filter.
 
-A row function: the word tokens of a text are counted in one pass against Spark's default
-stop-word lists, and the language with most hits wins (ties: alphabetical); no hit -> null.
+A row function: the word tokens of a text that are function words of any language (Spark's default
+stop-word lists) are picked with one hash-set probe each and counted by language; the language
+with most hits wins (ties: alphabetical); no hit -> null.
 """
 
 from __future__ import annotations
@@ -11,25 +12,27 @@ from pyspark.sql import functions as F
 
 from contrasta import lexicons
 from contrasta.functions.text import decode_unicode_escapes
-from contrasta.operators.tokens import computed_once, word_tokens
+from contrasta.operators.tokens import computed_once, matching, word_tokens
 
 LANGUAGES = {"de": "stopwords_german", "en": "stopwords_english",
              "es": "stopwords_spanish", "fr": "stopwords_french"}
 
 
-def language_of(text) -> Column:
-    """Language code of ``text``, null when it has no function word."""
+def language_of(text, decode: bool = True) -> Column:
+    """Language code of ``text``, null when it has no function word; cleaned text needs no ``decode``."""
     langs = sorted(LANGUAGES)
-    zero = F.struct(*[F.lit(0).alias(l) for l in langs])
-
-    def count(acc, token):
-        return F.struct(*[(acc[l] + token.isin(*lexicons.words(LANGUAGES[l])).cast("int")).alias(l) for l in langs])
-
-    def best(acc):
-        most = F.greatest(*[acc[l] for l in langs])
-        return F.when(most > 0, F.coalesce(*[F.when(acc[l] == most, F.lit(l)) for l in langs]))
-
-    return F.aggregate(word_tokens(decode_unicode_escapes(text)), zero, count, best)
+    words = {lang: lexicons.words(LANGUAGES[lang]) for lang in langs}
+    tokens = word_tokens(decode_unicode_escapes(text) if decode else text)
+
+    def best(hits: Column) -> Column:
+        def chosen(n: Column) -> Column:
+            most = F.greatest(*[n[lang] for lang in langs])
+            return F.when(most > 0, F.coalesce(*[F.when(n[lang] == most, F.lit(lang)) for lang in langs]))
+        counts = F.struct(*[F.size(matching(hits, words[lang])).alias(lang) for lang in langs])
+        return F.transform(F.array(counts), chosen)[0]
+
+    # arrays of one element bind a value that is used several times
+    return F.transform(F.array(matching(tokens, sorted(set().union(*words.values())))), best)[0]
 
 
 def detect_language(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contrasta import lexicons
-from contrasta.operators.tokens import computed_once, remove_stop_words, word_tokens
+from contrasta.operators.tokens import computed_once, english_stop_words, word_tokens
 
 
 def exceptions_map() -> dict[str, str]:
@@ -31,14 +31,18 @@ def lemma_of(t: Column, exc: dict[str, str]) -> Column:
     if not exc:
         return rules
     m = F.create_map(*[F.lit(x) for kv in sorted(exc.items()) for x in kv])
-    return F.coalesce(F.element_at(m, t), rules)
+    return F.when(t.isin(*sorted(exc)), F.element_at(m, t)).otherwise(rules)  # the set is hashed, the map is not
+
+
+def lemma_text(tokens: Column, stop_words=None, exceptions: dict[str, str] | None = None) -> Column:
+    """Space-joined lemmas of the word tokens that are not stop words."""
+    exc = exceptions_map() if exceptions is None else exceptions
+    stops = english_stop_words() if stop_words is None else list(stop_words)
+    kept = F.filter(tokens, lambda t: ~t.isin(*stops)) if stops else tokens
+    return F.array_join(F.transform(kept, lambda t: lemma_of(t, exc)), " ")
 
 
 def lemmatize(df: DataFrame, text_col: str = "text", out_col: str = "text_lemma",
               stop_words=None, exceptions: dict[str, str] | None = None) -> DataFrame:
     """Add ``out_col``: space-joined lemmas of the non-stop-word tokens; blank -> ''."""
-    exc = exceptions_map() if exceptions is None else exceptions
-    with_toks = df.withColumn("__lt", word_tokens(text_col))
-    kept = remove_stop_words(with_toks, "__lt", "__lk", stop_words)
-    lem = F.array_join(F.transform("__lk", lambda t: lemma_of(t, exc)), " ")
-    return computed_once(kept, lem, out_col).drop("__lt", "__lk")
+    return computed_once(df, lemma_text(word_tokens(text_col), stop_words, exceptions), out_col)

@@ -1,20 +1,20 @@
 """Rhetoric scores (urgency, authority, doubt) in [0, 1] with presence flags and the
 authority-to-doubt ratio.
 
-(a) Cue lexicon: ``least(1, hits * weight / tokens)`` per strategy, tokens joined
-to a broadcast ``(cue, strategy)`` table and combined per document map-side.
+(a) Cue lexicon: ``least(1, hits * weight / tokens)`` per strategy, cue tokens picked by a
+hash-set probe within the row: no shuffle.
 (b) A model answer (free text holding a JSON object) is parsed by
 ``functions.parse.extract_scores`` and finished by ``finish``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contrasta import lexicons
-from contrasta.operators._util import lookup_table
-from contrasta.operators.tokens import computed_once, word_tokens
+from contrasta.operators.rowlocal import Layers, score_rows
+from contrasta.operators.tokens import matching
 
 STRATEGIES = ["urgency", "authority", "doubt"]
 RATIO_EPS = 1e-6
@@ -32,20 +32,20 @@ def finish(df: DataFrame) -> DataFrame:
     return out.withColumn("authority_to_doubt_ratio", F.col("authority") / (F.col("doubt") + RATIO_EPS))
 
 
+def rhetoric_layers(text: Column, tokens: Column, cues=None, weight: float = 10.0) -> Layers:
+    """Cue words of the text, and the three scores made from them."""
+    by = {s: sorted({c for c, x in (default_cues() if cues is None else cues) if x == s}) for s in STRATEGIES}
+    every, n, hits = sorted(set().union(*by.values())), F.col("__n_tokens"), F.col("__rhetoric_hits")
+    score = {s: F.least(F.lit(1.0), F.size(matching(hits, by[s])) * weight / n) if by[s] else F.lit(0.0) for s in STRATEGIES}
+    return ({"__rhetoric_hits": matching(tokens, every) if every else F.array().cast("array<string>"), "__n_tokens": F.size(tokens)},
+            {s: F.when(n > 0, score[s]).otherwise(0.0) for s in STRATEGIES})
+
+
 def rhetoric_scores(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
                     cues=None, weight: float = 10.0) -> DataFrame:
-    """``(doc_id, urgency, authority, doubt, *_presence, authority_to_doubt_ratio)``."""
-    lex = lookup_table(df.sparkSession, sorted(set(default_cues() if cues is None else cues)),
-                       "t string, strategy string")
-    d = computed_once(df.select(id_col, text_col), word_tokens(text_col), "_toks")
-    d = d.select(id_col, F.size("_toks").alias("_size"), "_toks") \
-         .select(id_col, "_size", F.explode_outer("_toks").alias("t"))
-    j = (d.join(lex, "t", "left").groupBy(id_col)
-         .agg(F.first("_size").alias("_n"),
-              *[F.count_if(F.col("strategy") == s).alias(f"_h_{s}") for s in STRATEGIES]))
-    cols = [F.when(F.col("_n") > 0, F.least(F.lit(1.0), F.coalesce(F.col(f"_h_{s}"), F.lit(0)) * weight / F.col("_n")))
-            .otherwise(0.0).alias(s) for s in STRATEGIES]
-    return finish(j.select(id_col, *cols))
+    """``(doc_id, urgency, authority, doubt, *_presence, authority_to_doubt_ratio)`` for every row."""
+    texts = df.select(id_col, F.col(text_col).alias("__text"))
+    return finish(score_rows(texts, "__text", [lambda x, t: rhetoric_layers(x, t, cues, weight)]).drop("__text"))
 
 
 def add_alias_scores(df: DataFrame) -> DataFrame:

@@ -8,9 +8,11 @@ each (more: 0.96) to the dominant side; ``compound = s / sqrt(s^2 + 15)``;
 ``pos``/``neg``/``neu`` are shares of positive (+1 per word), negative (-1 per
 word) and neutral-word mass. Tokens of one character are ignored.
 
-Plan: tokens with their three predecessors are exploded, inner-joined to the
-broadcast lexicon (only valenced tokens survive), combined per document
-map-side and joined back on ``doc_id`` to a per-document row.
+Caps: where some but not all words of a text are in capitals, 0.733 goes to the side of a valenced
+token in capitals, and to a booster in capitals before the damping. Lower-cased corpora skip this.
+
+A row function: positions of valenced tokens are picked by a hash-set probe, and each looks back
+by index. No explode, join or shuffle.
 """
 
 from __future__ import annotations
@@ -19,12 +21,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contrasta import lexicons
-from contrasta.operators._util import lookup_table
-from contrasta.operators.tokens import computed_once, word_tokens
+from contrasta.operators.rowlocal import Layers, score_rows
+from contrasta.operators.tokens import WORD_TOKEN_RE, word_tokens
 
 VADER_COLUMNS = ["vader_neg", "vader_neu", "vader_pos", "vader_compound"]
 NEGATION_SCALAR = -0.74
 ALPHA = 15.0
+# Fixed value: what a word in capitals adds.
+CAPS = 0.733
 
 
 def default_lexicon() -> dict[str, float]:
@@ -39,88 +43,93 @@ def default_modifiers():
 
 
 def sentiment_tokens(col) -> Column:
-    return F.filter(word_tokens(col), lambda t: F.length(t) > 1)
+    return _longer(word_tokens(col))
 
 
-def _sign(c: Column) -> Column:
-    return F.when(c < 0, -1.0).otherwise(1.0)
+def _longer(tokens: Column) -> Column:
+    return F.filter(tokens, lambda t: F.length(t) > 1)
 
 
-def sentiment_scores(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
-                     lexicon: dict[str, float] | None = None, negations=None,
-                     boosters: dict[str, float] | None = None) -> DataFrame:
-    """``(doc_id, vader_neg, vader_neu, vader_pos, vader_compound)`` for every row."""
-    spark = df.sparkSession
+def _value_of(t: Column, values: dict[str, float]) -> Column:
+    """The value of a token that is among the keys: one set of words for each value."""
+    by: dict[float, list[str]] = {}
+    for w, v in sorted(values.items()):
+        by.setdefault(float(v), []).append(w)
+    return F.coalesce(*[F.when(t.isin(*ws), F.lit(v)) for v, ws in sorted(by.items())], F.lit(0.0))
+
+
+def sentiment_layers(text: Column, tokens: Column, lexicon: dict[str, float] | None = None, negations=None,
+                     boosters: dict[str, float] | None = None) -> Layers:
+    """Valences of the text's valenced tokens, and the four scores made from them."""
     lex = default_lexicon() if lexicon is None else lexicon
     dneg, dboost = default_modifiers()
     negs = dneg if negations is None else list(negations)
     boost = dboost if boosters is None else boosters
-    lex_df = lookup_table(spark, sorted(lex.items()), "t string, v double")
 
-    txt = F.coalesce(F.col(text_col), F.lit(""))
-    n_excl = F.least(F.length(txt) - F.length(F.replace(txt, F.lit("!"), F.lit(""))), F.lit(4))
-    n_q = F.length(txt) - F.length(F.replace(txt, F.lit("?"), F.lit("")))
+    def valences(x: Column) -> Column:
+        """``x``: tokens, the place of ``but`` and, where capitals matter, the tokens as written."""
+        def valence(i: Column) -> Column:
+            def emphasis(at: Column, size: float) -> Column:
+                raw = F.get(x["raw"], at)
+                return F.when(x["raw"].isNotNull() & (raw == F.upper(raw)) & (raw != F.lower(raw)), size).otherwise(0.0)
+
+            def before(k: int, damped: float) -> Column:
+                p = F.get(x["t"], i - k)
+                b = _value_of(p, boost) if boost else F.lit(0.0)
+                loud = F.when(b != 0, b + F.when(b > 0, 1.0).otherwise(-1.0) * emphasis(i - k, CAPS)).otherwise(0.0)
+                n = F.when(p.isin(*negs), NEGATION_SCALAR).otherwise(1.0) if negs else F.lit(1.0)
+                return F.struct((loud * damped).alias("b"), n.alias("n"))
+
+            def sign(v: Column) -> Column:
+                return F.when(v < 0, -1.0).otherwise(1.0)
+
+            start = F.transform(F.array(_value_of(F.get(x["t"], i), lex)), lambda v: v + sign(v) * emphasis(i, CAPS))[0]
+            s = F.aggregate(F.array(before(1, 1.0), before(2, 0.95), before(3, 0.9)), start, lambda v, k: (v + k["b"] * sign(v)) * k["n"])
+            but = x["but"]
+            return s * F.when((but > 0) & (i + 1 < but), 0.5).when((but > 0) & (i + 1 > but), 1.5).otherwise(1.0)
+
+        places = F.when(F.size(x["t"]) > 0, F.filter(F.sequence(F.lit(0), F.size(x["t"]) - 1), lambda i: F.get(x["t"], i).isin(*sorted(lex))))
+        return F.coalesce(F.transform(places, valence), F.array().cast("array<double>"))
+
+    low = _longer(tokens)
+    written = F.when(text != F.lower(text), _longer(F.regexp_extract_all(text, F.lit(WORD_TOKEN_RE), 0)))
+    capital = lambda t: (t == F.upper(t)) & (t != F.lower(t))
+    some = lambda x: F.exists(x, capital) & ~F.forall(x, capital)
+    raw = F.transform(F.array(written), lambda x: F.when(some(x), x))[0]
+    parts = F.struct(low.alias("t"), raw.alias("raw"))
+    bound = F.transform(F.array(parts), lambda x: F.struct(
+        x["t"].alias("t"), F.array_position(x["t"], "but").alias("but"), F.when(F.size(x["raw"]) == F.size(x["t"]), x["raw"]).alias("raw")))[0]
+
+    n_excl = F.least(F.length(text) - F.length(F.replace(text, F.lit("!"), F.lit(""))), F.lit(4))
+    n_q = F.length(text) - F.length(F.replace(text, F.lit("?"), F.lit("")))
     ep = n_excl * 0.292 + F.when(n_q > 1, F.when(n_q <= 3, n_q * 0.18).otherwise(0.96)).otherwise(0.0)
-    d = computed_once(df.select(id_col, ep.alias("ep"), text_col), sentiment_tokens(text_col), "_toks")
-    toks = F.col("_toks")
-    ctx = F.transform(toks, lambda t, i: F.struct(
-        (i + 1).alias("pos"), t.alias("t"), F.get(toks, i - 1).alias("p1"),
-        F.get(toks, i - 2).alias("p2"), F.get(toks, i - 3).alias("p3")))
-    # one pass: every token (explode_outer keeps token-less documents) probes the
-    # broadcast lexicon; per-document scalars ride along and are combined map-side
-    # per-document scalars are computed before the explode (a projection above a
-    # generator would re-evaluate them for every token)
-    per_doc = d.select(id_col, "ep", F.size(toks).alias("n_words"),
-                       F.array_position(toks, "but").alias("but_pos"), ctx.alias("_ctx"))
-    exploded = per_doc.select(id_col, "ep", "n_words", "but_pos", F.explode_outer("_ctx").alias("c")) \
-        .select(id_col, "ep", "n_words", "but_pos", "c.*")
-    hit = exploded.join(lex_df, "t", "left")
-
-    bmap = F.create_map(*[F.lit(x) for kv in sorted(boost.items()) for x in kv]) if boost else None
-    neg_arr = F.array(*[F.lit(w) for w in negs]) if negs else None
-
-    def b(p):
-        return F.coalesce(F.element_at(bmap, p), F.lit(0.0)) if bmap is not None else F.lit(0.0)
-
-    def n(p):
-        if neg_arr is None:
-            return F.lit(1.0)
-        return F.when(F.coalesce(F.array_contains(neg_arr, p), F.lit(False)), NEGATION_SCALAR).otherwise(1.0)
-
-    v = F.col("v")
-    v = (v + b(F.col("p1")) * _sign(v)) * n(F.col("p1"))
-    v = (v + b(F.col("p2")) * 0.95 * _sign(v)) * n(F.col("p2"))
-    v = (v + b(F.col("p3")) * 0.9 * _sign(v)) * n(F.col("p3"))
-    but = F.col("but_pos")
-    v = (F.when((but > 0) & (F.col("pos") < but), v * 0.5)
-         .when((but > 0) & (F.col("pos") > but), v * 1.5).otherwise(v))
-    s = hit.select(id_col, "ep", "n_words", v.alias("s"))
-    j = s.groupBy(id_col).agg(
-        F.first("ep").alias("ep"), F.first("n_words").alias("n_words"),
-        F.sum("s").alias("sum_s"),
-        F.sum(F.when(F.col("s") > 0, F.col("s") + 1.0).otherwise(0.0)).alias("pos_sum"),
-        F.sum(F.when(F.col("s") < 0, F.col("s") - 1.0).otherwise(0.0)).alias("neg_sum"),
-        F.count_if(F.col("s") != 0).alias("n_sent"))
-
-    sum_s = F.coalesce("sum_s", F.lit(0.0))
-    ep_c = F.col("ep")
+
+    vals, ep_c, n_words = F.col("__valences"), F.col("__emphasis"), F.col("__n_words")
+    add = lambda f: F.aggregate(vals, F.lit(0.0), lambda a, v: a + f(v))
+    sum_s = add(lambda v: v)
     adj = F.when(sum_s > 0, sum_s + ep_c).when(sum_s < 0, sum_s - ep_c).otherwise(sum_s)
     compound = F.greatest(F.least(adj / F.sqrt(adj * adj + ALPHA), F.lit(1.0)), F.lit(-1.0))
-    pos_sum = F.coalesce("pos_sum", F.lit(0.0))
-    neg_sum = F.coalesce("neg_sum", F.lit(0.0))
+    pos_sum = add(lambda v: F.when(v > 0, v + 1.0).otherwise(0.0))
+    neg_sum = add(lambda v: F.when(v < 0, v - 1.0).otherwise(0.0))
     pos2 = F.when(pos_sum > F.abs(neg_sum), pos_sum + ep_c).otherwise(pos_sum)
     neg2 = F.when(pos_sum < F.abs(neg_sum), neg_sum - ep_c).otherwise(neg_sum)
-    neu = (F.col("n_words") - F.coalesce("n_sent", F.lit(0))).cast("double")
+    neu = (n_words - F.size(F.filter(vals, lambda v: v != 0))).cast("double")
     total = pos2 + F.abs(neg2) + neu
-    has = F.col("n_words") > 0
-    z = F.lit(0.0)
+    has, z = n_words > 0, F.lit(0.0)
     # shares are reported to 3 decimals and compound to 4, as the lexicon method does
-    return j.select(
-        id_col,
-        F.round(F.when(has, F.abs(neg2 / total)).otherwise(z), 3).alias("vader_neg"),
-        F.round(F.when(has, F.abs(neu / total)).otherwise(z), 3).alias("vader_neu"),
-        F.round(F.when(has, F.abs(pos2 / total)).otherwise(z), 3).alias("vader_pos"),
-        F.round(F.when(has, compound).otherwise(z), 4).alias("vader_compound"))
+    return ({"__valences": F.transform(F.array(bound), valences)[0], "__n_words": F.size(low), "__emphasis": ep},
+            {"vader_neg": F.round(F.when(has, F.abs(neg2 / total)).otherwise(z), 3),
+             "vader_neu": F.round(F.when(has, F.abs(neu / total)).otherwise(z), 3),
+             "vader_pos": F.round(F.when(has, F.abs(pos2 / total)).otherwise(z), 3),
+             "vader_compound": F.round(F.when(has, compound).otherwise(z), 4)})
+
+
+def sentiment_scores(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
+                     lexicon: dict[str, float] | None = None, negations=None,
+                     boosters: dict[str, float] | None = None) -> DataFrame:
+    """``(doc_id, vader_neg, vader_neu, vader_pos, vader_compound)`` for every row."""
+    texts = df.select(id_col, F.col(text_col).alias("__text"))
+    return score_rows(texts, "__text", [lambda x, t: sentiment_layers(x, t, lexicon, negations, boosters)]).drop("__text")
 
 
 def polarity_class(compound) -> Column:
@@ -129,10 +138,10 @@ def polarity_class(compound) -> Column:
     return F.when(c > 0.05, "positive").when(c < -0.05, "negative").otherwise("neutral")
 
 
-def ensure_sentiment(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", **kw) -> DataFrame:
+def ensure_sentiment(df: DataFrame, text_col: str = "text", **kw) -> DataFrame:
     """Keep a complete set of the four sentiment columns; if any is missing, drop the
     partial set and recompute all four (appended in their fixed order)."""
     if all(c in df.columns for c in VADER_COLUMNS):
         return df
     base = df.drop(*[c for c in VADER_COLUMNS if c in df.columns])
-    return base.join(sentiment_scores(base, text_col, id_col, **kw), id_col, "left")
+    return score_rows(base, text_col, [lambda x, t: sentiment_layers(x, t, **kw)])

@@ -57,13 +57,22 @@ def ngrams(col, n_min: int = 1, n_max: int = 2) -> Column:
     return parts[0] if len(parts) == 1 else F.concat(*parts)
 
 
-def computed_once(df: DataFrame, expr: Column, name: str) -> DataFrame:
-    """Add ``name = expr`` so that later filters on it do not re-evaluate ``expr``.
+def once(expr: Column) -> Column:
+    """``expr``, evaluated once for each row however often the column is used.
 
-    Catalyst pushes a filter below the projection that defines a column by
-    substituting the expression, so an expensive expression filtered on is computed
-    twice. A one-element ``explode`` makes the column a generator output, which a
-    filter cannot be pushed beneath.
+    Catalyst substitutes the expression of a column into filters and projections above it, so an
+    expensive one is computed again for each use (within a lambda for each element). It leaves
+    non-deterministic columns alone; the condition, which always holds, makes this one such.
     """
+    return F.when(F.spark_partition_id() >= 0, expr)
+
+
+def computed_once(df: DataFrame, expr: Column, name: str) -> DataFrame:
+    """Add ``name = expr`` so that later uses of it do not re-evaluate ``expr``."""
     keep = [c for c in df.columns if c != name]
-    return df.select(*keep, F.explode(F.array(expr)).alias(name))
+    return df.select(*keep, once(expr).alias(name))
+
+
+def matching(tokens: Column, words) -> Column:
+    """The tokens that are among ``words``: one hash-set probe for each token."""
+    return F.filter(tokens, lambda t: t.isin(*words))

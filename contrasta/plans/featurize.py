@@ -1,6 +1,6 @@
 """Feature table keyed by ``doc_id``: lemmas, emotions, sentiment, rhetoric,
-corpus counts and the dominant emotion. Each scorer emits one small row per
-document, joined back on ``doc_id``."""
+corpus counts and the dominant emotion. All scorers share one tokenisation within
+the row: no shuffle or join between the corpus and the feature table."""
 
 from __future__ import annotations
 
@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contrasta.functions.text import char_count, strip_ws, word_count
-from contrasta.operators.emotion import EMOTION_COLUMNS, dominant_emotion, emotion_scores
-from contrasta.operators.lemma import lemmatize
-from contrasta.operators.rhetoric import add_alias_scores, rhetoric_scores
-from contrasta.operators.sentiment import VADER_COLUMNS, sentiment_scores
+from contrasta.operators.emotion import EMOTION_COLUMNS, dominant_emotion, emotion_layers
+from contrasta.operators.lemma import lemma_text, lemmatize
+from contrasta.operators.rhetoric import add_alias_scores, finish, rhetoric_layers
+from contrasta.operators.rowlocal import score_rows
+from contrasta.operators.sentiment import VADER_COLUMNS, sentiment_layers
 from contrasta.operators.stats import numeric
 
 TRUST_CUE_COLUMNS = ["auth_score", "urg_score"]
@@ -27,20 +28,15 @@ def with_lemmas(corpus: DataFrame) -> DataFrame:
 
 
 def feature_table(corpus: DataFrame, lemmas: bool = True) -> DataFrame:
-    """Scorers read the (materialised) corpus directly; their per-document rows and
-    the lemma table are joined on ``doc_id``."""
-    d = with_lemmas(corpus) if lemmas else corpus
-    texts = corpus.select("doc_id", "text")
-    f = (d.join(emotion_scores(texts), "doc_id")
-         .join(sentiment_scores(texts), "doc_id")
-         .join(rhetoric_scores(texts), "doc_id"))
-    f = add_alias_scores(f)
+    """All features of every document, row by row; documents with blank lemmas are dropped if ``lemmas``."""
+    f = score_rows(corpus, "text", [emotion_layers, sentiment_layers, rhetoric_layers], lemma_text if lemmas else None)
+    f = add_alias_scores(finish(f))
     return (f.withColumn("char_count", char_count("text"))
              .withColumn("word_count", word_count("text"))
              .withColumn("dominant_emotion", dominant_emotion()))
 
 
-def prepare_domain_frame(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def prepare_domain_frame(df: DataFrame) -> DataFrame:
     """A feature table read back from storage: requires ``text`` and the seven
     emotion columns (error names the missing ones), null text -> '', adds counts
     and the dominant emotion, and completes the sentiment columns."""
@@ -53,4 +49,4 @@ def prepare_domain_frame(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
                         **{c: numeric(F.col(c).cast("string")) for c in numbers}})
     d = (d.withColumn("char_count", char_count("text")).withColumn("word_count", word_count("text"))
           .withColumn("dominant_emotion", dominant_emotion()))
-    return ensure_sentiment(d, "text", id_col)
+    return ensure_sentiment(d, "text")

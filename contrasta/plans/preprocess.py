@@ -34,7 +34,7 @@ def prepare_corpus(docs: DataFrame, rules: dict[str, str] | None = None,
     d = computed_once(d, clean_text("text"), "text").where(F.col("text") != "")
     if english_domain is not None:
         is_target = F.col("domain").eqNullSafe(english_domain)
-        d = computed_once(d, F.when(is_target, F.coalesce(language_of("text"), F.lit(""))), "_lang")
+        d = computed_once(d, F.when(is_target, F.coalesce(language_of("text", decode=False), F.lit(""))), "_lang")
         d = d.where(F.col("_lang").isNull() | (F.col("_lang") == "en")).drop("_lang")
     d = keep_first_rows(d.select(*[c for c in UNIFIED if c in d.columns]), "text", within=("domain",))
     return materialize(d) if materialize is not None else d

@@ -5,8 +5,11 @@ from pyspark.sql import functions as F
 from contrasta.functions.text import RETWEET_RE
 from contrasta.operators import stats as st
 from contrasta.operators import tfidf
+from contrasta.operators.emotion import emotion_scores
 from contrasta.operators.language import detect_language
+from contrasta.operators.rhetoric import rhetoric_scores
 from contrasta.operators.sentiment import sentiment_scores
+from contrasta.plans.featurize import feature_table, with_lemmas
 from contrasta.plans.preprocess import prepare_corpus
 from contrasta.sources.driver import DRIVER_DOMAIN_RULES
 
@@ -42,11 +45,16 @@ def test_cumulative_over_many_range_partitions(spark):
             assert got[(k, float(v))] == (run, tot)
 
 
-def test_lexicon_is_broadcast_and_no_python(spark):
-    df = spark.createDataFrame([(1, "not good at all")], "doc_id long, text string")
-    p = _plan(sentiment_scores(df))
-    assert "BroadcastHashJoin" in p
-    assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p
+def test_features_are_row_local(spark):
+    """Between corpus and feature table: one tokenisation, no join, shuffle, generator or Python worker."""
+    df = spark.createDataFrame([(1, "not good at all"), (2, "the of")], "doc_id long, text string")
+    for made in (feature_table(df), sentiment_scores(df), emotion_scores(df), rhetoric_scores(df), with_lemmas(df)):
+        p = _plan(made)
+        assert not any(x in p for x in ("Exchange", "Join", "Generate", "EvalPython", "InArrow"))
+        assert p.count("Project [") <= 4
+    whole = feature_table(df)._jdf.queryExecution()
+    for p in (whole.optimizedPlan().toString(), whole.sparkPlan().toString()):
+        assert p.count("regexp_extract_all(lower(") == 1
 
 
 def test_tfidf_vocabulary_is_bounded_broadcast(spark):

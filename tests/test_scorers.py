@@ -76,6 +76,31 @@ def test_negation_flips_and_boosters_scale(spark):
     assert c[1] < 0 < c[0] < c[2]
 
 
+def test_capitals_add_emphasis(spark):
+    """0.733 for a valenced word or booster in capitals, unless all words are; other case does not matter."""
+    v = default_lexicon()["good"]
+    texts = {"this is good": v, "this is GOOD": v + 0.733, "This Is Good": v, "THIS IS GOOD": v, "it is VERY good": v + 0.293 + 0.733,
+             "it was NOT good": -0.74 * v, "it was not GOOD": -0.74 * (v + 0.733), "A good I": v}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.vader_compound for r in sentiment_scores(df).collect()}
+    for i, s in enumerate(texts.values()):
+        assert got[i] == pytest.approx(s / math.sqrt(s * s + 15), abs=6e-5), list(texts)[i]
+
+
+def test_rows_are_scored_one_by_one(spark):
+    """Null and repeated ids and null texts keep their rows; clashing names of other columns do not matter."""
+    df = spark.createDataFrame([(None, "good fear now", 1), (2, "good fear now", 2), (2, "nothing", 3), (3, None, 4), (None, "", 5)], "doc_id long, text string, t int")
+    for scores in (sentiment_scores, emotion_scores, rhetoric_scores):
+        rows = scores(df).collect()
+        assert len(rows) == 5 and rows[0][1:] == rows[1][1:]
+    assert {w: sentiment_scores(df, lexicon={}).first()[w] for w in ("vader_neu", "vader_compound")} == {"vader_neu": 1.0, "vader_compound": 0.0}
+    assert emotion_scores(df, lexicon=[]).first().neutral == 1.0 and rhetoric_scores(df, cues=[]).first().urgency == 0.0
+    many = {f"w{i}": float(i % 7 - 3) for i in range(3000)}
+    big = spark.createDataFrame([(1, "w5 w6 w7 other")], "doc_id long, text string")
+    s = 2.0 + 3.0 - 3.0
+    assert sentiment_scores(big, lexicon=many).first().vader_compound == pytest.approx(s / math.sqrt(s * s + 15), abs=6e-5)
+
+
 def test_emotion_shares_and_blank(spark):
     df = spark.createDataFrame([(0, "idiot idiot fear happy"), (1, "   "), (2, "nothing here")], "doc_id long, text string")
     r = {x.doc_id: x for x in emotion_scores(df).collect()}
@@ -99,11 +124,11 @@ def test_rhetoric_scores_flags_ratio(spark):
 
 
 def test_lemmatizer(spark):
-    df = spark.createDataFrame([(0, "covid claims spread online"), (1, "another covid claim goes viral"),
+    df = spark.createDataFrame([(0, "green turtles swim slowly"), (1, "one turtle went home yesterday"),
                                 (2, "the stories of flies and glasses"), (3, "")], "doc_id long, text string")
     got = {r.doc_id: r.text_lemma for r in lemmatize(df).collect()}
-    assert got[0] == "covid claim spread online"
-    assert got[1] == "another covid claim go viral"
+    assert got[0] == "green turtle swim slowly"
+    assert got[1] == "one turtle go home yesterday"
     assert got[2] == "story fly glasse"  # S-stemmer: "es" -> "e" unless aes/ees/oes
     assert got[3] == ""
 
