@@ -72,32 +72,3 @@ def chi2_sf(x, dof) -> Column:
     p = F.when(k % 2 == 0, even).otherwise(odd)
     return (F.when(x.isNull() | F.isnan(x) | k.isNull(), F.lit(None).cast("double"))
             .when((k <= 0) | (x <= 0), 1.0).otherwise(F.least(F.lit(1.0), p)))
-
-
-EXACT_DECIMAL = "decimal(24,12)"  # sums keep all 12 fractional digits
-
-
-def _sum(x: Column, weight: Column | None = None) -> Column:
-    """Sum of doubles. Where every value is 0 or between 1e-3 and 1e11 it is taken in decimals, so it
-    does not depend on the order of rows; else (tiny, huge, infinite, NaN) it is a plain double sum."""
-    value = x.cast("double")
-    plain = value.isNull() | (value == 0) | F.abs(value).between(1e-3, 1e11)
-    exact = F.when(plain, value).try_cast(EXACT_DECIMAL)
-    if weight is not None:
-        exact, value = exact * weight.cast("decimal(14,0)"), value * weight
-    return F.when(F.bool_and(plain), F.try_sum(exact).cast("double")).otherwise(F.sum(value))
-
-
-def exact_sum(x) -> Column:
-    """Partition-independent sum for values of usual size (see ``_sum``)."""
-    return _sum(_c(x))
-
-
-def exact_mean(x) -> Column:
-    """Partition-independent mean (see ``exact_sum``); null for an empty group."""
-    return exact_sum(x) / F.count(_c(x))
-
-
-def exact_weighted_sum(x, w) -> Column:
-    """``sum(x * w)`` for an integer weight (a count)."""
-    return _sum(_c(x), _c(w))

@@ -22,12 +22,11 @@ def _ordinal(df: DataFrame, col: str, order: list[str]) -> DataFrame:
 
 def sentiment_frame(features: DataFrame, stats: DataFrame, a: str = "covid", b: str = "climate") -> DataFrame:
     """Mean of each sentiment score per domain with the adjusted-p stars."""
-    from contrasta.functions.mathx import exact_mean
     cats = [f for _, f in SENTIMENT_CATEGORIES]
     long_df = features.select("domain", *cats).unpivot(["domain"], cats, "feature", "value")
     means = long_df.groupBy("feature").agg(
-        exact_mean(F.when(F.col("domain") == a, F.col("value"))).alias(f"{a}_mean"),
-        exact_mean(F.when(F.col("domain") == b, F.col("value"))).alias(f"{b}_mean"))
+        F.avg(F.when(F.col("domain") == a, F.col("value"))).alias(f"{a}_mean"),
+        F.avg(F.when(F.col("domain") == b, F.col("value"))).alias(f"{b}_mean"))
     dim = features.sparkSession.createDataFrame([(c, f, i) for i, (c, f) in enumerate(SENTIMENT_CATEGORIES)],
                                                 "category string, feature string, ordinal int")
     st = stats.where(F.col("feature_group") == "vader").select("feature", "adjusted_p_value")

@@ -2,11 +2,11 @@
 chi-square with Yates, Cramer's V, rank-biserial effect, BH / Holm adjustment,
 Poisson-weight bootstrap intervals.
 
-Every numeric test runs on a long table ``(feature, domain, value)``. Values are
-first compressed to a histogram ``(feature, value) -> (ties, count in A, count
-in B)`` with map-side combining; one window per feature then yields mid-ranks,
-cumulative counts and the exact medians, so all features share one shuffle and
-one sort of *distinct* values.
+Every numeric test runs on a long table ``(feature, domain, value)``. A mergeable
+quantile sketch per feature gives value bounds, a table of bounded size; rows are
+moved once, to the bucket of values between two bounds, and counted there by
+value. Running counts within the buckets and the buckets' totals give exact
+mid-ranks, medians and quantiles, and no feature or value lands in one task.
 """
 
 from __future__ import annotations
@@ -15,9 +15,9 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from contrasta.functions.mathx import chi2_sf, exact_weighted_sum, normal_two_sided_p
-from contrasta.session import ensure_checkpoint_dir
+from contrasta.functions.mathx import chi2_sf, normal_two_sided_p
 
 def _null_d():
     return F.lit(None).cast("double")
@@ -42,57 +42,82 @@ def to_long(df: DataFrame, features, id_col: str = "doc_id", group_col: str = "d
     """Wide feature table -> ``(doc_id, domain, feature_group, feature, value)``."""
     feats = list(features)
     # text that is no plain number becomes null, it does not stop the job
-    long_df = df.select(id_col, group_col, *[numeric(F.col(c).cast("string")).alias(c) for c in feats]) \
-                .unpivot([id_col, group_col], feats, "feature", "value")
+    values = [(numeric(F.col(c)) if isinstance(df.schema[c].dataType, StringType) else F.col(c).cast("double")).alias(c) for c in feats]
+    long_df = df.select(id_col, group_col, *values).unpivot([id_col, group_col], feats, "feature", "value")
     if feature_groups:
         g = F.create_map(*[F.lit(x) for kv in feature_groups.items() for x in kv])
         long_df = long_df.withColumn("feature_group", F.element_at(g, F.col("feature")))
     return long_df
 
 
-def _histogram(long_df, keys, group_col, a, b, value_col="value"):
-    d = F.col(group_col)
-    return (long_df.where(d.isin(a, b))
-            .groupBy(*keys, value_col)
-            .agg(F.count(F.lit(1)).alias("t"), F.count_if(d == a).alias("ca")))
-
-
 def _pos_value(cum: Column, prev: Column, k: Column) -> Column:
     """Value whose cumulative-count interval (prev, cum] holds position k."""
     return F.min(F.when((prev < k) & (cum >= k), F.col("value")))
 
 
-def cumulative(hist: DataFrame, keys, cols, value_col: str = "value",
-               num_partitions: int | None = None) -> DataFrame:
-    """Inclusive running sums of ``cols`` over ``value_col`` within each key, plus
-    per-key totals (``cum_<c>``, ``total_<c>``), without putting a key in one task.
+#: Value bounds per key, and the step of those that are searched first.
+BUCKETS, COARSE = 256, 16
+
+
+def value_bounds(rows: DataFrame, keys, value_col: str = "value", buckets: int = BUCKETS) -> DataFrame:
+    """``keys, bounds, coarse, hot``: approximate quantiles of each key in ascending order, each
+    16th of them, and the values that fill a bucket or more alone."""
+    q = F.col("q")
+    found = rows.groupBy(*keys).agg(F.percentile_approx(value_col, [i / buckets for i in range(1, buckets)]).alias("q"))
+    found = found.select(*keys, F.array_distinct(q).alias("bounds"),
+                         F.array_distinct(F.filter(q, lambda x, i: x == F.get(q, i + 1))).alias("hot"))
+    return found.withColumn("coarse", F.filter("bounds", lambda _, i: (i + 1) % COARSE == 0))
+
+
+def _bucket(v: Column) -> Column:
+    """Twice the number of bounds below ``v``; one more for a hot value, which has a bucket of its own."""
+    first = F.size(F.filter("coarse", lambda b: b < v)) * COARSE
+    # a one-element array binds the number that is used twice
+    below = F.transform(F.array(first), lambda i: i + F.size(F.filter(F.slice("bounds", i + 1, COARSE), lambda b: b < v)))[0]
+    return 2 * below + F.array_contains("hot", v).cast("int")
+
+
+def _same(names) -> Column:
+    """Null-safe equality of the columns with those of the other side, which start with ``_k_``."""
+    on = F.lit(True)
+    for c in names:
+        on = on & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+    return on
+
 
-    The histogram is range-partitioned on ``(keys, value)``, so one key's values
-    spread over many contiguous partitions; running sums are taken inside each
-    (key, partition) run and shifted by the totals of the earlier partitions of
-    that key (a table of ``keys x partitions`` rows).
+def beside(left: DataFrame, small: DataFrame, names) -> DataFrame:
+    """``left`` with the columns of ``small``: a row for each key and bucket at most, broadcast."""
+    other = small.withColumnsRenamed({c: f"_k_{c}" for c in names})
+    return left.join(F.broadcast(other), _same(names)).drop(*[f"_k_{c}" for c in names])
+
+
+def cumulative(rows: DataFrame, keys, counts: dict[str, Column], value_col: str = "value", buckets: int = BUCKETS) -> DataFrame:
+    """Histogram ``keys, value`` with the aggregates ``counts``, their inclusive running sums over the
+    values of a key (``cum_<c>``) and the key's totals (``total_<c>``).
+
+    Rows go to their ``(keys, bucket)`` in one exchange. There they are counted, sorted and summed;
+    the totals of lower buckets (a table of keys x buckets) are added. Hot values, which the bounds
+    show, are counted before they move. What is broadcast has a row for each key and bucket, so keys
+    are expected to be features and groups, not documents.
     """
-    keys = list(keys)
-    order = [*keys, value_col]
-    r = hist.repartitionByRange(num_partitions, *order) if num_partitions else hist.repartitionByRange(*order)
-    r = r.withColumn("_pid", F.spark_partition_id())
-    # both consumers below must see the same range split: a (lazy, reliable) checkpoint
-    # makes them read one RDD over one shuffle instead of planning two range shuffles
-    # whose sampled bounds could differ
-    ensure_checkpoint_dir(hist.sparkSession)
-    r = r.checkpoint(eager=False)
-    w_local = Window.partitionBy(*keys, "_pid").orderBy(value_col).rowsBetween(Window.unboundedPreceding, 0)
-    local = r.select("*", *[F.sum(c).over(w_local).alias(f"_lc_{c}") for c in cols])
-    # run totals read off the windowed rows (same partitioning: no new shuffle, one scan)
-    tot = local.groupBy(*keys, "_pid").agg(*[F.max(f"_lc_{c}").alias(f"_pt_{c}") for c in cols])
-    before = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    keys, cols = list(keys), list(counts)
+    at = [*keys, "_bucket"]
+    r = beside(rows, value_bounds(rows, keys, value_col, buckets), keys).withColumn("_bucket", _bucket(F.col(value_col))).drop("bounds", "coarse", "hot")
+    agg = [c.alias(name) for name, c in counts.items()]
+    run = Window.partitionBy(*at).orderBy(value_col).rowsBetween(Window.unboundedPreceding, 0)
+    cold = r.where(F.col("_bucket") % 2 == 0).repartition(*at).groupBy(*at, value_col).agg(*agg)
+    cold = cold.select("*", *[F.sum(c).over(run).alias(f"_run_{c}") for c in cols])
+    hot = r.where(F.col("_bucket") % 2 == 1).groupBy(*at, value_col).agg(*agg)
+    hot = hot.select("*", *[F.col(c).alias(f"_run_{c}") for c in cols])
+    totals = cold.groupBy(*at).agg(*[F.max(f"_run_{c}").alias(f"_all_{c}") for c in cols])
+    totals = totals.unionByName(hot.select(*at, *[F.col(c).alias(f"_all_{c}") for c in cols]))
+    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
-    off = tot.select(*keys, "_pid",
-                     *[F.coalesce(F.sum(f"_pt_{c}").over(before), F.lit(0)).alias(f"_off_{c}") for c in cols],
-                     *[F.sum(f"_pt_{c}").over(whole).alias(f"total_{c}") for c in cols])
-    j = local.join(off, [*keys, "_pid"])
-    return j.select(*hist.columns, *[(F.col(f"_lc_{c}") + F.col(f"_off_{c}")).alias(f"cum_{c}") for c in cols],
-                    *[F.col(f"total_{c}") for c in cols])
+    offsets = totals.select(*at, *[F.coalesce(F.sum(f"_all_{c}").over(before), F.lit(0)).alias(f"_off_{c}") for c in cols],
+                            *[F.sum(f"_all_{c}").over(whole).alias(f"total_{c}") for c in cols])
+    j = beside(cold.unionByName(hot), offsets, at)
+    return j.select(*keys, value_col, *cols, *[(F.col(f"_run_{c}") + F.col(f"_off_{c}")).alias(f"cum_{c}") for c in cols],
+                    *[f"total_{c}" for c in cols])
 
 
 def mann_whitney(long_df: DataFrame, a: str, b: str, keys=("feature",),
@@ -104,17 +129,16 @@ def mann_whitney(long_df: DataFrame, a: str, b: str, keys=("feature",),
     effect_size``. Samples are cleaned of null/NaN first.
     """
     keys = list(keys)
-    hist = _histogram(clean_values(long_df), keys, group_col, a, b)
-    hist = hist.withColumn("cb", F.col("t") - F.col("ca"))
-    ranked = cumulative(hist, keys, ["t", "ca", "cb"])
+    d = F.col(group_col)
+    rows = clean_values(long_df).where(d.isin(a, b)).select(*keys, (d == a).alias("_in_a"), "value")
+    ranked = cumulative(rows, keys, {"t": F.count(F.lit(1)), "ca": F.count_if("_in_a"), "cb": F.count_if(~F.col("_in_a"))})
     ranked = (ranked.withColumnsRenamed({"cum_t": "cum", "cum_ca": "cum_a", "cum_cb": "cum_b",
                                          "total_ca": "na_all", "total_cb": "nb_all"})
               .withColumn("midrank", F.col("cum") - (F.col("t") - 1) / 2.0))
     out = ranked.groupBy(*keys).agg(
         F.sum("ca").alias("n_a"), F.sum("cb").alias("n_b"),
         F.sum(F.col("ca") * F.col("midrank")).alias("r_a"),
-        # partition-independent sums: decimal value x count products are exact
-        exact_weighted_sum("value", "ca").alias("sum_a"), exact_weighted_sum("value", "cb").alias("sum_b"),
+        F.sum(F.col("value") * F.col("ca")).alias("sum_a"), F.sum(F.col("value") * F.col("cb")).alias("sum_b"),
         F.sum(F.col("t").cast("double") ** 3 - F.col("t")).alias("ties"),
         _median("cum_a", "ca", "na_all").alias("median_a"),
         _median("cum_b", "cb", "nb_all").alias("median_b"))
@@ -151,10 +175,17 @@ def _median(cum: str, cnt: str, n: str) -> Column:
 def exact_quantiles(long_df: DataFrame, keys, probs, value_col: str = "value") -> DataFrame:
     """Exact quantiles with linear interpolation (numpy / SQL ``percentile``) from a
     value histogram and cumulative counts: ``keys, q_<p>...`` (p in percent)."""
-    keys = list(keys)
-    hist = (clean_values(long_df, value_col).groupBy(*keys, value_col)
-            .agg(F.count(F.lit(1)).alias("t")))
-    h = cumulative(hist, keys, ["t"], value_col).withColumnsRenamed({"cum_t": "cum", "total_t": "n"})
+    return quantiles_of(value_ranks(long_df, keys, value_col), keys, probs, value_col)
+
+
+def value_ranks(long_df: DataFrame, keys, value_col: str = "value") -> DataFrame:
+    """``keys, value, t, cum, n``: count of each value, running count and the key's count."""
+    rows = clean_values(long_df, value_col).select(*keys, value_col)
+    return cumulative(rows, keys, {"t": F.count(F.lit(1))}, value_col).withColumnsRenamed({"cum_t": "cum", "total_t": "n"})
+
+
+def quantiles_of(ranks: DataFrame, keys, probs, value_col: str = "value") -> DataFrame:
+    """``keys, q_<p>...`` from ``value_ranks``."""
     aggs = []
     v = F.col(value_col)
     prev = F.col("cum") - F.col("t")
@@ -167,7 +198,7 @@ def exact_quantiles(long_df: DataFrame, keys, probs, value_col: str = "value") -
         v_hi = F.min(F.when((prev < hi) & (F.col("cum") >= hi), v))
         f = F.max(frac)
         aggs.append((v_lo + (v_hi - v_lo) * f).alias(f"q_{_pct(q)}"))
-    return h.groupBy(*keys).agg(*aggs)
+    return ranks.groupBy(*keys).agg(*aggs)
 
 
 def _pct(q: float) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from contrasta.operators.stats import clean_values, exact_quantiles
+from contrasta.operators.stats import beside, exact_quantiles, quantiles_of, value_ranks
 
 
 def value_counts(df: DataFrame, col: str, by=(), top: int | None = None) -> DataFrame:
@@ -52,15 +52,15 @@ def box_summary(long_df: DataFrame, keys) -> DataFrame:
     """Box-plot numbers per key: quartiles, whiskers at the furthest values within
     1.5 IQR of the box, and the count of points outside them."""
     keys = list(keys)
-    q = exact_quantiles(long_df, keys, [0.25, 0.5, 0.75])
-    j = clean_values(long_df).join(q, keys)
+    ranks = value_ranks(long_df, keys)
+    j = beside(ranks, quantiles_of(ranks, keys, [0.25, 0.5, 0.75]), keys)
     iqr = F.col("q_75") - F.col("q_25")
     lo, hi = F.col("q_25") - 1.5 * iqr, F.col("q_75") + 1.5 * iqr
     v = F.col("value")
     return j.groupBy(*keys).agg(
         F.first("q_25").alias("q1"), F.first("q_50").alias("median"), F.first("q_75").alias("q3"),
         F.min(F.when(v >= lo, v)).alias("whisker_low"), F.max(F.when(v <= hi, v)).alias("whisker_high"),
-        F.count_if((v < lo) | (v > hi)).alias("n_outliers"), F.count(F.lit(1)).alias("n"))
+        F.coalesce(F.sum(F.when((v < lo) | (v > hi), F.col("t"))), F.lit(0)).alias("n_outliers"), F.sum("t").alias("n"))
 
 
 def significance_label(p, ns_label: str = "ns") -> Column:

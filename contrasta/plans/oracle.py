@@ -26,8 +26,9 @@ D = 6  # rounding digits, as on the Spark side
 
 
 def xmean(x: str) -> str:
-    """Partition-independent mean: decimal sum with 12 fractional digits."""
-    return f"(sum(({x})::DECIMAL(24, 12))::DOUBLE / count({x}))"
+    return f"avg(({x})::DOUBLE)"
+
+
 A, B = "covid", "climate"
 
 

@@ -1,5 +1,7 @@
 """Plan-shape checks for the scale properties the operators rely on."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from contrasta.functions.text import RETWEET_RE
@@ -9,6 +11,7 @@ from contrasta.operators.emotion import emotion_scores
 from contrasta.operators.language import detect_language
 from contrasta.operators.rhetoric import rhetoric_scores
 from contrasta.operators.sentiment import sentiment_scores
+from contrasta.operators.summaries import box_summary
 from contrasta.plans.featurize import feature_table, with_lemmas
 from contrasta.plans.preprocess import prepare_corpus
 from contrasta.sources.driver import DRIVER_DOMAIN_RULES
@@ -25,24 +28,30 @@ def test_top_k_is_limited_before_the_shuffle(spark):
     assert "WindowGroupLimit" in p and "Partial" in p
 
 
-def test_u_test_is_range_partitioned(spark):
+def test_order_statistics_move_rows_once(spark):
+    """One exchange on (key, bucket) that all branches share; no range split and no checkpoint."""
     df = spark.range(200).select(F.lit("f").alias("feature"), F.when(F.col("id") % 2 == 0, "covid").otherwise("climate").alias("domain"),
                                  (F.col("id") % 37).cast("double").alias("value"))
-    p = _plan(st.mann_whitney(df, "covid", "climate"))
-    # the range-partitioned histogram is read as one checkpointed split by both branches
-    assert "_pid" in p and "ExistingRDD" in p
-
-
-def test_cumulative_over_many_range_partitions(spark):
-    vals = [(k, float(v), 1 + (v % 3)) for k in ("a", "b") for v in range(60)]
-    hist = spark.createDataFrame(vals, "k string, value double, t long")
-    got = {(r.k, r.value): (r.cum_t, r.total_t) for r in st.cumulative(hist, ["k"], ["t"], num_partitions=7).collect()}
-    for k in ("a", "b"):
-        run = 0
-        tot = sum(1 + (v % 3) for v in range(60))
-        for v in range(60):
-            run += 1 + (v % 3)
-            assert got[(k, float(v))] == (run, tot)
+    for made in (st.mann_whitney(df, "covid", "climate"), st.exact_quantiles(df, ["feature"], [0.5]), box_summary(df, ["feature"])):
+        p = _plan(made).split("== Initial Plan ==")[0]
+        assert p.count("REPARTITION_BY_COL") - p.count("ReusedExchange") <= 1 and "rangepartitioning" not in p
+        assert "ExistingRDD" not in p and "SortMergeJoin" not in p
+
+
+def test_cumulative_over_buckets(spark):
+    """Hot values, ties, bounds that are few, null keys: against plain Python."""
+    rng = random.Random(5)
+    rows = [(k, rng.choice([-0.0, 0.0, 1.5, rng.random(), float("inf"), 7.0, rng.randrange(50) * 1.0]), rng.random() < 0.3) for k in ("a", "b", None) for _ in range(400)]
+    rows += [("one", 3.0, True), ("hot", 2.0, False), *[("hot", 5.0, True)] * 500, *[("c", float(v), v % 3 == 0) for v in range(1000)]]
+    df = spark.createDataFrame(rows, "k string, value double, x boolean")
+    for buckets in (2, 40, 256):
+        got = {(r.k, r.value): (r.t, r.n, r.cum_t, r.cum_n, r.total_t, r.total_n)
+               for r in st.cumulative(df, ["k"], {"t": F.count(F.lit(1)), "n": F.count_if("x")}, buckets=buckets).collect()}
+        assert len(got) == len({(k, v) for k, v, _ in rows})
+        for (k, v), r in got.items():
+            own = [(x, y) for kk, x, y in rows if kk == k]
+            sums = [(len(z), sum(y for _, y in z)) for z in ([z for z in own if z[0] == v], [z for z in own if z[0] <= v], own)]
+            assert r == (*sums[0], *sums[1], *sums[2])
 
 
 def test_features_are_row_local(spark):
