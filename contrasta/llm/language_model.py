@@ -41,6 +41,8 @@ from ._util import materialize
 END = b""
 U = np.uint64
 MAX_LEVELS = 120
+#: Bits of a filter's block: all probes for an n-gram and level lie in one block.
+BLOCK = 512
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -93,28 +95,42 @@ class Shape:
     alpha: float = 0.5
     strength: float = 4.0
 
-    def positions(self, keys: np.ndarray, level: int, size: int, probe: int) -> np.ndarray:
-        x = mix(keys.astype(U) * U(0x9E3779B97F4A7C15) + U(level))
-        return (((x & U(0xFFFFFFFF)) + U(probe) * (x >> U(32) | U(1))) % U(size)).astype(np.int64)
+    def probed(self, keys: np.ndarray, level: int, blocks: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+        """Of each key with that level its block, and the hash that chooses bits of the block."""
+        x = mix(keys * U(0x9E3779B97F4A7C15) + U(level))
+        return (x >> U(32)) * np.asarray(blocks, dtype=U) >> U(32), mix(x)
+
+    @staticmethod
+    def bit(y: np.ndarray, probe: int) -> tuple[np.ndarray, np.ndarray]:
+        """The hash and its bit of the block for a probe; 7 probes use up a hash."""
+        y = mix(y) if probe and probe % 7 == 0 else y
+        return y, y >> U(9 * (probe % 7)) & U(BLOCK - 1)
 
     def filled(self, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """The filter of one bucket, as packed bits."""
         level = np.searchsorted(ladder(self.base), counts, side="right")
-        size = max(64, -(-int(self.bits * level.sum()) // 8) * 8)
-        grid = np.zeros(size, dtype=bool)
+        blocks = max(1, -(-int(self.bits * level.sum()) // BLOCK))
+        grid = np.zeros(blocks * BLOCK, dtype=bool)
         for j in range(1, int(level.max(initial=0)) + 1):
-            own = keys[level >= j]
+            block, y = self.probed(keys[level >= j].astype(U), j, blocks)
             for i in range(self.probes):
-                grid[self.positions(own, j, size, i)] = True
-        return np.packbits(grid)
-
-    def levels(self, keys: np.ndarray, packed: np.ndarray) -> np.ndarray:
-        """Levels found for keys of one bucket: probed upwards until a probe fails."""
-        found, alive, size = np.zeros(len(keys), np.uint8), np.arange(len(keys)), 8 * len(packed)
+                y, bit = self.bit(y, i)
+                grid[block * U(BLOCK) + bit] = True
+        return np.packbits(grid, bitorder="little")
+
+    def levels(self, keys: np.ndarray, packed: np.ndarray, blocks: np.ndarray | int, start: np.ndarray | int = 0) -> np.ndarray:
+        """Levels found for keys whose filter has that many blocks from block ``start`` of ``packed``: probed upwards until a probe fails."""
+        found, keys = np.zeros(len(keys), np.uint8), keys.astype(U)
+        blocks, start = (np.broadcast_to(np.asarray(x, dtype=U), keys.shape) for x in (blocks, start))
+        alive = np.flatnonzero(blocks)
         for j in range(1, MAX_LEVELS):
+            block, y = self.probed(keys[alive], j, blocks[alive])
+            base = (start[alive] + block) * U(BLOCK)
             for i in range(self.probes):
-                at = self.positions(keys[alive], j, size, i)
-                alive = alive[packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1 == 1]
+                y, bit = self.bit(y, i)
+                at = base + bit
+                ok = packed[at >> U(3)] >> (at & U(7)).astype(np.uint8) & 1 == 1
+                alive, base, y = alive[ok], base[ok], y[ok]
             if not len(alive):
                 return found
             found[alive] = j
@@ -128,17 +144,19 @@ class Shape:
 
 
 class Filter:
-    """All buckets of a filter, as sent to the workers."""
+    """All buckets of a filter one after the other, as sent to the workers."""
 
     def __init__(self, rows: list[tuple[int, bytes]], buckets: int) -> None:
-        self.buckets, self.parts = buckets, dict(rows)
+        self.buckets, self.packed = buckets, np.frombuffer(b"".join(x for _, x in rows), np.uint8)
+        self.blocks, self.start = np.zeros(buckets, U), np.zeros(buckets, U)
+        sizes = np.array([len(x) * 8 // BLOCK for _, x in rows], dtype=U)
+        at = [k for k, _ in rows]
+        self.blocks[at], self.start[at] = sizes, np.cumsum(sizes) - sizes
 
     def levels(self, grams: np.ndarray, shape: Shape) -> np.ndarray:
-        out = np.zeros(len(grams), np.uint8)
-        for bucket, at in by_bucket(grams, self.buckets):
-            if bucket in self.parts:
-                out[at] = shape.levels(grams[at].astype(np.uint32), np.frombuffer(self.parts[bucket], np.uint8))
-        return out
+        """Levels of n-grams in ascending order: buckets follow each other, so probes lie close together."""
+        of = bucket_of(grams, self.buckets)
+        return shape.levels(grams.astype(np.uint32), self.packed, self.blocks[of], self.start[of])
 
 
 class Bundle:
@@ -245,7 +263,7 @@ def word_counts(bundled: DataFrame, buckets: int) -> DataFrame:
     return materialize(asked.groupBy("bucket").applyInArrow(answer, "bundle long, kind int, bucket long, data binary, n long, distinct long"), "lm-words")
 
 
-def fit(bundled: DataFrame, shape: Shape, buckets: int, *, task_grams: int = 3_000_000) -> DataFrame:
+def fit(bundled: DataFrame, shape: Shape, buckets: int, *, task_grams: int = 1_500_000) -> DataFrame:
     """``bucket, filter, grams``: the filter of each bucket with n-grams."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -290,8 +308,8 @@ def probed(bundled: DataFrame, filters: DataFrame, shape: Shape, buckets: int) -
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], names=["bucket", "bundle", "keys"])
 
     def answer(asked: pa.Table, own: pa.Table) -> pa.Table:
-        packed = np.frombuffer(own["filter"][0].as_py(), np.uint8) if own.num_rows else np.zeros(8, np.uint8)
-        found = [shape.levels(np.frombuffer(k, np.uint32), packed).tobytes() for k in asked["keys"].to_pylist()]
+        packed = np.frombuffer(own["filter"][0].as_py() if own.num_rows else b"", np.uint8)
+        found = [shape.levels(np.frombuffer(k, np.uint32), packed, len(packed) * 8 // BLOCK).tobytes() for k in asked["keys"].to_pylist()]
         return pa.table({"bundle": asked["bundle"], "kind": pa.array([1] * len(found), pa.int32()), "bucket": asked["bucket"], "data": pa.array(found, pa.binary())})
 
     asked = bundled.mapInArrow(ask, "bucket long, bundle long, keys binary")
