@@ -5,35 +5,50 @@ then L2 normalisation per document; N counts every document of both domains.
 Vocabulary: terms with ``df >= min_df`` and ``df <= max_df * N`` (fractions) and the
 ``max_features`` terms with the largest corpus frequency among them.
 
-Plan shape: the stop-filtered token arrays are hash-partitioned by ``doc_id`` once;
-term counts, the per-document norm and the weights then run inside that
-partitioning. The
-document-frequency aggregate is combined map-side before its shuffle, the
-vocabulary is a bounded top-k (broadcast only when ``max_features`` bounds it),
-and per-domain means aggregate at most ``partitions x vocabulary`` rows.
+Plan shape, in two passes over the documents. Counting: a document's n-grams are sorted and counted
+within its row; only (term, df, tf) sums, combined map-side, are shuffled, and the best
+``max_features`` terms are kept. Weighting: that vocabulary, of bounded size, is broadcast as one
+hash table; each row looks its n-grams up, counts them and takes its norm itself, so no n-gram row
+is shuffled or stored. Without a bound on the vocabulary the weights come from a join and a window.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from contrasta.operators import tokens as tk
-from contrasta.operators._util import MAX_BROADCAST_ROWS, with_scalar
+from contrasta.operators._util import with_scalar
 
 SCORE_DIGITS = 12  # ranking ties are decided on rounded scores, then by term
+# Largest vocabulary that is looked up within the rows (every row carries its table), and terms per slot of the table.
+MAX_ROW_VOCABULARY, PER_SLOT = 20_000, 16
+
+
+def _grams(text_col: str, stop_words, ngram_range) -> Column:
+    words = tk.english_stop_words() if stop_words is None else list(stop_words)
+    found = tk.tfidf_tokens(text_col)
+    kept = F.filter(found, lambda t: ~t.isin(*words)) if words else found
+    return F.transform(F.array(kept), lambda x: tk.ngrams(x, *ngram_range))[0]  # binds the tokens
+
+
+def _counted(grams: Column) -> Column:
+    """Array of (term, tf) of an array of n-grams: sorted, then counted by the places where runs start."""
+    def runs(x: Column) -> Column:
+        def starts(i: Column) -> Column:
+            return (i == 0) | (F.get(x, i) != F.get(x, i - 1))
+        def each(at: Column) -> Column:
+            return F.transform(at, lambda a, k: F.struct(F.get(x, a).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(x)) - a).cast("long").alias("tf")))
+        at = F.when(F.size(x) > 0, F.filter(F.sequence(F.lit(0), F.size(x) - 1), starts))
+        return F.transform(F.array(at), each)[0]
+    return F.transform(F.array(F.sort_array(grams)), runs)[0]
 
 
 def term_frequencies(docs: DataFrame, text_col: str = "text_lemma", stop_words=None,
-                     ngram_range=(1, 2), num_partitions: int | None = None) -> DataFrame:
-    """``(doc_id, domain, term, tf)`` for every n-gram of every document."""
-    base = docs.select("doc_id", "domain", tk.tfidf_tokens(text_col).alias("_toks"))
-    kept = tk.remove_stop_words(base, "_toks", "_kept", stop_words).select("doc_id", "domain", "_kept")
-    # one shuffle of the compact token arrays by doc_id; counts and norms then stay local
-    kept = kept.repartition(num_partitions, "doc_id") if num_partitions else kept.repartition("doc_id")
-    grams = kept.select("doc_id", "domain",
-                        F.explode(tk.ngrams("_kept", ngram_range[0], ngram_range[1])).alias("term"))
-    return grams.groupBy("doc_id", "domain", "term").agg(F.count(F.lit(1)).alias("tf"))
+                     ngram_range=(1, 2)) -> DataFrame:
+    """``(doc_id, domain, term, tf)`` for every n-gram of every document; counted within the row."""
+    counted = tk.computed_once(docs.select("doc_id", "domain", text_col), _counted(_grams(text_col, stop_words, ngram_range)), "_terms")
+    return counted.select("doc_id", "domain", F.inline("_terms"))
 
 
 def domain_sizes(docs: DataFrame) -> DataFrame:
@@ -57,14 +72,41 @@ def vocabulary(tf: DataFrame, sizes: DataFrame, min_df=5, max_df=0.95,
     return kept.select("term", "df", idf.alias("idf"))
 
 
-def tfidf_weights(tf: DataFrame, vocab: DataFrame, bounded_vocab: bool = True) -> DataFrame:
-    """``(doc_id, domain, term, tf, score)``: L2-normalised sublinear TF-IDF."""
-    v = F.broadcast(vocab) if bounded_vocab else vocab
-    w = tf.join(v, "term").withColumn("w", (1.0 + F.log(F.col("tf"))) * F.col("idf"))
+def tfidf_weights(tf: DataFrame, vocab: DataFrame) -> DataFrame:
+    """``(doc_id, domain, term, tf, score)``: L2-normalised sublinear TF-IDF, for vocabularies of any size."""
+    w = tf.join(vocab, "term").withColumn("w", (1.0 + F.log(F.col("tf"))) * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc_id")))
     return w.select("doc_id", "domain", "term", "tf", (F.col("w") / norm).alias("score"))
 
 
+def _slots(vocab: DataFrame, slots: int) -> DataFrame:
+    """The vocabulary as one row: an array of small maps term -> idf, by hash."""
+    slot = F.pmod(F.xxhash64("term"), F.lit(slots)).alias("slot")
+    maps = vocab.groupBy(slot).agg(F.map_from_entries(F.collect_list(F.struct("term", "idf"))).alias("m"))
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>"))
+    every = vocab.sparkSession.range(slots).withColumnRenamed("id", "slot").join(F.broadcast(maps), "slot", "left")
+    return every.agg(F.collect_list(F.struct("slot", F.coalesce("m", none).alias("m"))).alias("a")).select(
+        F.transform(F.array_sort("a", lambda x, y: (x["slot"] - y["slot"]).cast("int")), lambda x: x["m"]).alias("_vocab"))
+
+
+def row_weights(docs: DataFrame, vocab: DataFrame, max_features: int, text_col: str = "text_lemma", stop_words=None,
+                ngram_range=(1, 2)) -> DataFrame:
+    """``tfidf_weights`` for a vocabulary of at most ``max_features`` terms: no shuffle of documents or n-grams."""
+    slots = max(1, max_features // PER_SLOT)
+
+    def idf(term: Column) -> Column:
+        return F.element_at(F.get(F.col("_vocab"), F.pmod(F.xxhash64(term), F.lit(slots)).cast("int")), term)
+
+    d = with_scalar(docs.select("doc_id", "domain", text_col), _slots(vocab, slots))
+    known = F.filter(_grams(text_col, stop_words, ngram_range), lambda g: idf(g).isNotNull())
+    weighted = F.transform(_counted(known), lambda x: F.struct(
+        x["term"].alias("term"), x["tf"].alias("tf"), ((1.0 + F.log(x["tf"])) * idf(x["term"])).alias("w")))
+    d = tk.computed_once(d, weighted, "_terms").select("doc_id", "domain", "_terms")
+    norm = F.sqrt(F.aggregate("_terms", F.lit(0.0), lambda a, x: a + x["w"] * x["w"]))
+    d = d.select("doc_id", "domain", "_terms", norm.alias("_norm")).select("doc_id", "domain", "_norm", F.inline("_terms"))
+    return d.select("doc_id", "domain", "term", "tf", (F.col("w") / F.col("_norm")).alias("score"))
+
+
 def mean_scores(weights: DataFrame, sizes: DataFrame) -> DataFrame:
     """``(domain, term, mean_tfidf)``: mean over all documents of the domain (zeros included)."""
     sums = weights.groupBy("domain", "term").agg(F.sum("score").alias("_sum"))
@@ -83,16 +125,15 @@ def fit(docs: DataFrame, text_col: str = "text_lemma", max_features: int | None
         ngram_range=(1, 2), min_df=5, max_df=0.95, stop_words=None, materialize=None):
     """Vectoriser fit over both domains: returns ``(tf, sizes, vocab, weights)``.
 
-    ``materialize`` (e.g. a checkpoint) is applied to the term-frequency table,
-    which both the vocabulary and the weights read."""
+    ``materialize`` (e.g. a checkpoint) is applied to a bounded vocabulary, which every reader of
+    the weights needs."""
     tf = term_frequencies(docs, text_col, stop_words, ngram_range)
-    if materialize is not None:
-        tf = materialize(tf)
     sizes = domain_sizes(docs)
     vocab = vocabulary(tf, sizes, min_df, max_df, max_features)
-    bounded = max_features is not None and max_features <= MAX_BROADCAST_ROWS
-    weights = tfidf_weights(tf, vocab, bounded)
-    return tf, sizes, vocab, weights
+    if max_features is None or max_features > MAX_ROW_VOCABULARY:
+        return tf, sizes, vocab, tfidf_weights(tf, vocab)
+    vocab = materialize(vocab) if materialize is not None else vocab
+    return tf, sizes, vocab, row_weights(docs, vocab, max_features, text_col, stop_words, ngram_range)
 
 
 def top_terms_per_domain(docs: DataFrame, top_n: int = 25, **kw) -> DataFrame:

@@ -66,12 +66,14 @@ def test_features_are_row_local(spark):
         assert p.count("regexp_extract_all(lower(") == 1
 
 
-def test_tfidf_vocabulary_is_bounded_broadcast(spark):
-    docs = spark.createDataFrame([(i, "a" if i % 2 else "b", f"word{i % 7} other{i % 3} common") for i in range(40)],
+def test_tfidf_shuffles_term_counts_only(spark):
+    """No n-gram row is shuffled by document, joined to others or stored; the vocabulary is a bounded broadcast."""
+    docs = spark.createDataFrame([(i, "a" if i % 2 else "b", f"{'xyz'[i % 3] * 3} {'pqrstuv'[i % 7] * 2} common") for i in range(40)],
                                  "doc_id long, domain string, text_lemma string")
     _, _, _, w = tfidf.fit(docs, min_df=1, max_features=10)
-    p = _plan(w)
-    assert "TakeOrderedAndProject" in p and "BroadcastHashJoin" in p
+    p = _plan(w).split("== Initial Plan ==")[0]
+    assert "TakeOrderedAndProject" in p and "BroadcastExchange" in p and "SortMergeJoin" not in p and "Window" not in p
+    assert "hashpartitioning(doc_id" not in p and p.count("hashpartitioning(term") == 1
 
 
 def test_corpus_is_cleaned_once_and_moved_once(spark):

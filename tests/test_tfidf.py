@@ -54,6 +54,16 @@ def test_weights_match_brute_force(spark):
     assert ("3", "cafe") not in got and (3, "cafe") in got and (3, "bar") in got
 
 
+def test_row_lookup_and_join_agree(spark):
+    """Weights within the row (bounded vocabulary) against the join, with long, empty, null and repeated texts."""
+    docs = [*DOCS, (7, "covid", None), (8, "covid", "vaccine " * 5000 + "claim"), (9, "climate", "zz yy zz yy zz"), (None, "covid", "covid hoax")]
+    df = spark.createDataFrame(docs, "doc_id long, domain string, text_lemma string")
+    for cap in (1, 4, 1000):
+        tf, _, vocab, w = tfidf.fit(df, min_df=1, max_df=1.0, max_features=cap)
+        one, other = ({(r.doc_id, r.term): (r.domain, r.tf, round(r.score, 12)) for r in x.collect()} for x in (w, tfidf.tfidf_weights(tf, vocab)))
+        assert one == other and len({t for _, t in one}) == vocab.count() == min(cap, vocab.count())
+
+
 def test_vocabulary_pruning_and_cap(spark):
     df = spark.createDataFrame(DOCS, "doc_id long, domain string, text_lemma string")
     _, _, vocab, w = tfidf.fit(df, min_df=2, max_df=0.5, max_features=3)
@@ -73,22 +83,21 @@ def test_top_terms_mean_includes_zero_docs(spark):
 
 def test_term_context_record(spark):
     feats = spark.createDataFrame([
-        (0, "covid", "covid claims spread online", "covid_a", "cdl", 0.2, 0.7, 0.1, -0.4, 0.3, 0.1, 0.2, 0.05, 0.2, 0.1, 0.05, "anger"),
-        (1, "covid", "another covid claim goes viral", "covid_b", "princeton", 0.1, 0.8, 0.1, -0.1, 0.2, 0.1, 0.3, 0.04, 0.25, 0.08, 0.03, "fear"),
+        (5, "covid", "a jab made my arm sore", "web_one", "blog", 0.4, 0.5, 0.1, -0.6, 0.1, 0.05, 0.35, 0.1, 0.2, 0.15, 0.05, "fear"),
+        (9, "covid", "the jab came too late", "web_two", "forum", 0.3, 0.6, 0.1, -0.3, 0.15, 0.05, 0.1, 0.2, 0.3, 0.15, 0.05, "neutral"),
     ], "doc_id long, domain string, text string, dataset string, source string, vader_neg double, vader_neu double, "
        "vader_pos double, vader_compound double, anger double, disgust double, fear double, joy double, neutral double, "
        "sadness double, surprise double, dominant_emotion string")
-    weights = spark.createDataFrame([(0, "covid", "covid", 1, 0.6), (1, "covid", "covid", 1, 0.5),
-                                     (0, "covid", "claim", 1, 0.2), (1, "covid", "claim", 1, 0.3)],
+    weights = spark.createDataFrame([(5, "covid", "jab", 1, 0.35), (9, "covid", "jab", 2, 0.8), (5, "covid", "arm", 1, 0.45)],
                                     "doc_id long, domain string, term string, tf long, score double")
-    top = spark.createDataFrame([("covid", 1, "covid", 0.55), ("covid", 2, "absent", 0.1)],
+    top = spark.createDataFrame([("covid", 1, "jab", 0.575), ("covid", 2, "absent", 0.2)],
                                 "domain string, rank long, term string, mean_tfidf double")
     rec, ex = an.term_context(weights, feats, top, examples_per_term=2)
-    r = rec.where("term = 'covid'").first()
+    r = rec.where("term = 'jab'").first()
     assert rec.count() == 1  # terms without a matching document are skipped
-    assert r.document_frequency == 2 and r.avg_vader_compound == pytest.approx(-0.25)
-    e = ex.where("term = 'covid'").orderBy("example_rank").collect()
-    assert len(e) == 2 and e[0].dataset == "covid_a"
+    assert r.document_frequency == 2 and r.avg_vader_compound == pytest.approx(-0.45)
+    e = ex.where("term = 'jab'").orderBy("example_rank").collect()
+    assert len(e) == 2 and e[0].dataset == "web_two"
     nested = an.term_context_nested(rec, ex).first()
-    assert nested.representative_examples[0].dataset == "covid_a"
-    assert nested.average_vader.vader_compound == pytest.approx(-0.25)
+    assert nested.representative_examples[0].dataset == "web_two"
+    assert nested.average_vader.vader_compound == pytest.approx(-0.45)
