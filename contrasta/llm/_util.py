@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,3 +26,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def text_or_empty(col):
     return F.coalesce(col.cast("string"), F.lit(""))
+
+
+def give_back() -> None:
+    """Return freed memory to the system at the end of a task: Python workers outlive tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)

@@ -10,7 +10,7 @@ compared: up to where both are known, they must not differ by more than linked s
 
 0. Shingles that are frequent in some batch are counted over all batches; the ``frequent`` most
    frequent go last. This only chooses the orders: results do not depend on it.
-1. Rows with equal sets collapse into a class named by its smallest id, so copies are never paired.
+1. Rows with equal sets collapse into a class named by one of its rows, so copies are never paired.
 2. Postings (token, class) of the A prefixes are counted. Tokens of at most ``cold_rows`` classes
    give all their pairs; those whose B prefixes meet too are verified.
 3. Tokens of more classes never emit all pairs. Their *pivot* is the class that has most such
@@ -27,15 +27,18 @@ compared: up to where both are known, they must not differ by more than linked s
    pivot, which is too large already).
 4. Links become components by repeated minimum propagation.
 
-Defined cases: null or blank texts have the empty set and are linked with nothing; a null id is
-allowed, its row then carries the component of its equals, or null; repeated rows are equals (all
-rows of one id must hold one text); an empty table gives no rows; other columns are ignored.
+Rows are told apart by a number of their own, so ids may be null or repeated, with equal or different texts.
+
+Defined cases: null or blank texts have the empty set and are linked with nothing; a row without id
+links as any other, and its component is the smallest id in it, or null; rows of one id with different
+texts each have their own class; repeated rows are equals; an empty table gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -46,15 +49,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._util import materialize
+from ._util import give_back, materialize
 
 #: The bytes of A-Z become those of a-z, and all that separates words becomes a space.
 _LOWER = bytes.maketrans(bytes(range(65, 91)) + b"\t\n\x0b\x0c\r", bytes(range(97, 123)) + b" " * 5)
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _LEN_BITS, _TOP = np.uint64(56), np.uint64(1 << 63)
-CACHE_WORDS = 100_000
+CACHE_WORDS = 50_000
 #: Rows whose texts and sets a task holds at once, within an Arrow batch.
-SLICE_ROWS = 1024
+SLICE_ROWS = 512
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -141,6 +144,7 @@ def frequent_shingles(docs: DataFrame, n: int, most: int, in_batch: int = 4) ->
                 token, count = np.unique(tokens, return_counts=True)
                 many = count >= in_batch
                 yield pa.RecordBatch.from_arrays([pa.array(token[many].view(np.int64)), pa.array(count[many].astype(np.int64))], names=["token", "m"])
+        give_back()
 
     counted = docs.select("text").mapInArrow(rows, "token long, m long").groupBy("token").agg(F.sum("m").alias("m"))
     found = counted.orderBy(F.desc("m"), "token").limit(most).select("token").toPandas()
@@ -148,31 +152,31 @@ def frequent_shingles(docs: DataFrame, n: int, most: int, in_batch: int = 4) ->
 
 
 def filters(docs: DataFrame, n: int, percent: int, last: Broadcast) -> DataFrame:
-    """Id, class signature and size of every row, its A prefix ``p`` and the upper halves ``q`` of its B prefix.
+    """Id, text hash, class signature and size of every row, its A prefix ``p`` and the upper halves ``q`` of its B prefix.
 
-    Rows of one slice with equal sets leave the prefixes to the one with the smallest id.
+    Rows of one slice with equal sets leave the prefixes to the first one.
     """
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(n, last.value)
         for batch in (part for whole in batches for part in _slices(whole)):
-            ids = batch.column(0).to_pylist()
             sets = [shingles(t) for t in batch.column(1).to_pylist()]
             sigs = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
             best: dict[bytes, int] = {}
-            for i, (k, sig) in enumerate(zip(ids, sigs, strict=True)):
-                if k is not None and len(sets[i]) and (sig not in best or k < ids[best[sig]]):
-                    best[sig] = i
-            first, second = [sets[0][:0]] * len(ids) if ids else [], [np.empty(0, np.int32)] * len(ids)
+            for i, sig in enumerate(sigs):
+                if len(sets[i]):
+                    best.setdefault(sig, i)
+            first, second = [np.empty(0, np.uint64)] * len(sets), [np.empty(0, np.int32)] * len(sets)
             for i in best.values():
                 k = prefix_length(len(sets[i]), percent)
                 first[i] = sets[i][:k]
                 second[i] = (np.unique(np.sort(reorder(sets[i]))[:k] >> np.uint64(32)).astype(np.uint32) ^ np.uint32(1 << 31)).view(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sigs, pa.binary()), pa.array([len(s) for s in sets], pa.int32()), _lists([_signed(x) for x in first]),
-                 _lists(second, np.int32)], names=["doc_id", "sig", "n", "p", "q"])
+                [batch.column(0), batch.column(2), pa.array(sigs, pa.binary()), pa.array([len(s) for s in sets], pa.int32()), _lists([_signed(x) for x in first]),
+                 _lists(second, np.int32)], names=["doc_id", "hash", "sig", "n", "p", "q"])
+        give_back()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(rows, f"doc_id {kind}, sig binary, n int, p array<long>, q array<int>")
+    return docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(rows, f"doc_id {kind}, hash long, sig binary, n int, p array<long>, q array<int>")
 
 
 def whole_sets(docs: DataFrame, n: int, last: Broadcast) -> DataFrame:
@@ -180,6 +184,7 @@ def whole_sets(docs: DataFrame, n: int, last: Broadcast) -> DataFrame:
         shingles = Shingler(n, last.value)
         for batch in (part for whole in batches for part in _slices(whole)):
             yield pa.RecordBatch.from_arrays([batch.column(0), _lists([_signed(shingles(t)) for t in batch.column(1).to_pylist()])], names=["rep", "tokens"])
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(rows, f"rep {docs.schema['doc_id'].dataType.simpleString()}, tokens array<long>")
 
@@ -323,12 +328,13 @@ def _ring_links(rings: DataFrame, percent: int, block_rows: int) -> DataFrame:
     return met.groupBy("pivot", "i", "j").applyInPandas(forest, f"a {kind}, b {kind}")
 
 
-def links(rows: DataFrame, names: DataFrame, docs: DataFrame, last: Broadcast, *, n: int = 3, percent: int = 90, cold_rows: int = 16,
-          block_rows: int = 1024) -> DataFrame:
+def links(rows: DataFrame, names: DataFrame, texts_of: Callable[[DataFrame], DataFrame], last: Broadcast, *, n: int = 5, percent: int = 80,
+          cold_rows: int = 16, block_rows: int = 1024) -> DataFrame:
     """Linked pairs ``a < b`` of classes, enough of them to connect all linked classes.
 
-    ``rows``: as made by ``filters``; ``names``: doc_id, rep for the rows that do not name their class
-    themselves; ``docs``: doc_id, text, from which the sets of classes that pass the filters are made.
+    ``rows``: as made by ``filters``, with the row's number as ``doc_id``; ``names``: doc_id, rep for the
+    rows that do not name their class themselves; ``texts_of``: doc_id, text for such numbers, from which
+    the sets of classes that pass the filters are made.
     """
     shared = _shared_postings(rows.select(F.explode("p").alias("key"), F.col("doc_id").alias("rep"), "n"))
     named = (shared.join(names.select(F.col("doc_id").alias("rep"), F.col("rep").alias("name")), "rep", "left")
@@ -352,8 +358,7 @@ def links(rows: DataFrame, names: DataFrame, docs: DataFrame, last: Broadcast, *
     if any_hot:
         wanted, compared = wanted.union(star.select("a")).union(star.select("b")), compared.union(star)
     wanted = materialize(wanted.distinct().withColumnRenamed("a", "doc_id"), "join-wanted")
-    texts = docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = materialize(whole_sets(texts, n, last), "join-sets")
+    sets = materialize(whole_sets(texts_of(wanted), n, last), "join-sets")
     apart_by = F.size("sa") + F.size("sb") - 2 * F.col("shared")
     ring = percent * apart_by <= (135 - percent) * F.col("n")  # .35 / t + (1 - t) / t: whatever is linked to one that does not stay
     known = materialize(_compared(compared, sets, percent).where("linked or n is not null").select(
@@ -390,7 +395,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def near_duplicate_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 3, percent: int = 90,
+def near_duplicate_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80,
                           cold_rows: int = 16, block_rows: int = 1024, frequent: int = 1 << 17) -> DataFrame:
     """``doc_id, n_shingles, class_id, component_id`` for every row.
 
@@ -399,12 +404,40 @@ def near_duplicate_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     last = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, n, frequent))  # 8 bytes each
-    rows = materialize(filters(docs, n, percent, last), "join-filters")
-    classes = materialize(rows.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep")), "join-classes")
-    names = rows.where(F.size("p") > 0).select("doc_id", "sig").join(classes, "sig").where("doc_id != rep").select("doc_id", "rep").distinct()
-    linked = components(links(rows, names, docs, last, n=n, percent=percent, cold_rows=cold_rows, block_rows=block_rows))
-    named = classes.join(linked, classes.rep == linked.node, "left").select("sig", "rep", F.coalesce("component", "rep").alias("component"))
+    rows = materialize(filters(docs, n, percent, last).withColumn("row", F.monotonically_increasing_id()), "join-filters")
+    holder = F.when(F.size("p") > 0, F.col("row"))
+    classes = materialize(rows.where("n > 0").groupBy("sig").agg(F.min(holder).alias("rep"), F.min("doc_id").alias("least")), "join-classes")
+    names = (rows.where(F.size("p") > 0).select(F.col("row").alias("doc_id"), "sig").join(classes.select("sig", "rep"), "sig")
+             .where("doc_id != rep").select("doc_id", "rep"))
+
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        """A row is found again by its id and the hash of its text; repeated rows hold one text."""
+        place = rows.select(F.col("row").alias("of_row"), F.col("doc_id").alias("of_id"), "hash").join(
+            wanted.withColumnRenamed("doc_id", "of_row"), "of_row")
+        found = docs.join(place, (F.xxhash64("text") == F.col("hash")) & F.col("doc_id").eqNullSafe(F.col("of_id")))
+        return found.select(F.col("of_row").alias("doc_id"), "text").dropDuplicates(["doc_id"])
+
+    linked = components(links(rows.select(F.col("row").alias("doc_id"), "n", "p", "q"), names, texts_of, last, n=n, percent=percent,
+                              cold_rows=cold_rows, block_rows=block_rows))
+    low = classes.join(linked, F.col("rep") == F.col("node")).groupBy("component").agg(F.min("least").alias("low"))
+    named = classes.join(linked.join(low, "component").select("node", "low"), F.col("rep") == F.col("node"), "left").select(
+        "sig", "least", F.when(F.col("node").isNull(), F.col("least")).otherwise(F.col("low")).alias("low"))
     out = rows.select("doc_id", "sig", "n").join(named, "sig", "left")
     alone = F.col("n") == 0
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("rep")).alias("class_id"),
-                      F.when(alone, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("least")).alias("class_id"),
+                      F.when(alone, F.col("doc_id")).otherwise(F.col("low")).alias("component_id"))
+
+
+def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
+    """Of each group of near duplicates the row with the smallest id, with all its columns.
+
+    Rows without id come last in their group. Blank texts are in no group: one row of each id and text stays.
+    """
+    rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "near-rows")
+    groups = near_duplicate_groups(rows, id_col="__row", text_col=text_col, n=n, percent=percent)
+    names = rows.select(F.col("__row"), F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("hash"))
+    blank = (F.col("n_shingles") == 0) & F.col("id").isNotNull()
+    group = [F.when(~blank, F.col("component_id")).alias("a"), F.when(blank, F.col("id")).alias("b"), F.when(blank, F.col("hash")).alias("c")]
+    firsts = (groups.withColumnRenamed("doc_id", "__row").join(names, "__row").groupBy(*group)
+              .agg(F.min(F.struct(F.col("id").isNull(), "id", "__row")).alias("first")))
+    return rows.join(firsts.select(F.col("first.__row").alias("__row")), "__row", "left_semi").select(docs.columns)

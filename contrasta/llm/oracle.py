@@ -27,4 +27,25 @@ ranked AS (
 SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50
 """
 
-ORACLE: dict[str, str] = {"op11_lexical_search": LEXICAL_SEARCH}
+#: All pairs that share a shingle are counted; components by recursion.
+NGRAM_JOIN = r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+    FROM documents),
+sets AS (
+    SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                        ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s
+    FROM words),
+shingles AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+links AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) = any_value(a.n) AND count(*) = any_value(b.n) AS same
+    FROM shingles a JOIN shingles b ON a.x = b.x AND a.doc_id <> b.doc_id
+    GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 90 * (any_value(a.n) + any_value(b.n) - count(*))),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+components AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a),
+classes AS (SELECT a AS doc_id, min(b) AS class_id FROM links WHERE same GROUP BY a)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, least(doc_id, coalesce(class_id, doc_id)) AS class_id
+FROM sets JOIN components USING (doc_id) LEFT JOIN classes USING (doc_id)
+"""
+
+ORACLE: dict[str, str] = {"op10_ngram_join": NGRAM_JOIN, "op11_lexical_search": LEXICAL_SEARCH}

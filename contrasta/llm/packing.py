@@ -28,11 +28,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._util import give_back
+
 SCHEMA = ("doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long, "
           "sequence_id long, offset long, sequence_length long")
 #: A space before white space or the end: there the words of ``str.split`` are not tokenizer words.
 _ODD_SPACE = re.compile(r" (?=\s|\Z)")
-CACHE_WORDS = 300_000
+#: Words with known ids that a task holds, and rows whose texts it holds at once within an Arrow batch.
+CACHE_WORDS, SLICE_ROWS = 50_000, 256
 #: The added tokens of ``byte_bpe_50k.json``, which the rank file lacks.
 SPECIAL = (("<|endoftext|>", 50256),)
 
@@ -88,7 +91,7 @@ class Encoder:
         self._words.clear()
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def encoder(ranks_path: str | None, special: tuple[tuple[str, int], ...] = ()) -> Encoder:
     import public_tokenizers
     return Encoder(ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, special)
@@ -141,30 +144,31 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", cap
         encode = encoder(ranks_path, special)
         base, group, held, used = TaskContext.get().partitionId() << 32, [], 0, 0
 
-        def flush() -> pa.RecordBatch:
+        def flush() -> Iterator[pa.RecordBatch]:
             ids = [np.frombuffer(x, dtype="<u2") for _, x in group]
-            pieces = assign([len(x) for x in ids], capacity, linear, quadratic)
-            d, start, length, seq, offset = (np.array(x, dtype=np.int64) for x in zip(*pieces, strict=True))
-            crc = [zlib.crc32(ids[i][a:a + n].astype("<u4").tobytes()) for i, a, n, _, _ in pieces]
-            keys = pa.array([k for k, _ in group], type=arrow_id).take(pa.array(d))
-            total = np.array([len(x) for x in ids], dtype=np.int64)[d]
-            return pa.RecordBatch.from_arrays(
-                [keys, *(pa.array(x) for x in (start, length, np.array(crc, dtype=np.int64), total, base + used + seq,
-                                               offset, np.bincount(seq, weights=length).astype(np.int64)[seq]))],
-                names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "sequence_length"])
-
-        for batch in batches:
-            arrow_id = batch.schema.field(0).type
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                group.append((key, encode(text or "") + end))
-                held += len(group[-1][1]) // 2
-                if held >= group_tokens:
-                    yield flush()
-                    used += len(capacities(held, capacity))
-                    group, held = [], 0
+            pieces = np.array(assign([len(x) for x in ids], capacity, linear, quadratic), dtype=np.int64)
+            keys, sizes = pa.array([k for k, _ in group], type=arrow_id), np.array([len(x) for x in ids], dtype=np.int64)
+            lengths = np.bincount(pieces[:, 3], weights=pieces[:, 2]).astype(np.int64)
+            for at in range(0, len(pieces), 4096):
+                d, start, length, seq, offset = pieces[at:at + 4096].T
+                crc = np.array([zlib.crc32(ids[i][a:a + n].astype("<u4").tobytes()) for i, a, n in zip(d, start, length, strict=True)], dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(d)), *(pa.array(x) for x in (start, length, crc, sizes[d], base + used + seq, offset, lengths[seq]))],
+                                                 names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "sequence_length"])
+
+        for whole in batches:
+            arrow_id = whole.schema.field(0).type
+            for batch in (whole.slice(i, SLICE_ROWS) for i in range(0, whole.num_rows, SLICE_ROWS)):
+                for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    group.append((key, encode(text or "") + end))
+                    held += len(group[-1][1]) // 2
+                    if held >= group_tokens:
+                        yield from flush()
+                        used += len(capacities(held, capacity))
+                        group, held = [], 0
         if group:
-            yield flush()
+            yield from flush()
         encode.forget()
+        give_back()
 
     return (docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
             .mapInArrow(packed, SCHEMA.format(id=id_type.simpleString())))

@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from ._util import give_back
+
 GOOD, BAD, NONE = 1, 0, 2
 DIMS = 2048
 
@@ -171,6 +173,7 @@ def _per_text(texts: pd.Series, what: Callable) -> Iterator:
         t = t or ""
         shape = shapes(t)
         yield what(signals(t, shape), shape)
+    give_back()
 
 
 def vote_pattern(text: Column) -> Column:
@@ -214,7 +217,8 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", samp
     label = dict(zip(codes.tolist(), post.tolist(), strict=True))
 
     part = min(1.0, 0.9 * sample_rows / counts.sum())
-    picked = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1 << 30)) < F.lit(int(part * (1 << 30)))
+    # with the text: ids may be null or repeated
+    picked = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), text), F.lit(1 << 30)) < F.lit(int(part * (1 << 30)))
 
     @pandas_udf("pattern int, idx array<int>, val array<float>")
     def hashed(texts: pd.Series) -> pd.DataFrame:

@@ -54,7 +54,7 @@ def corpus(seed, groups=6, per=25, words=90):
 def test_components_are_exact(spark, seed, cold, block):
     rows = corpus(seed)
     df = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, rep int, sig string")
-    got = ngram_join.near_duplicate_groups(df, cold_rows=cold, block_rows=block, frequent=200 if seed % 2 else 4).collect()
+    got = ngram_join.near_duplicate_groups(df, n=3, percent=90, cold_rows=cold, block_rows=block, frequent=200 if seed % 2 else 4).collect()
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute(rows)
 
 
@@ -68,7 +68,7 @@ def test_groups_that_share_a_passage(spark, seed):
         base = [f"g{g}w{i}" for i in range(90)]
         rows += [(len(rows) + i, " ".join([*passage, near_copies(rng, base, 20)])) for i in range(20)]
     rows += [(len(rows) + i, " ".join([*passage[:40], *(f"x{rng.randrange(9999)}" for _ in range(40))])) for i in range(30)]
-    got = ngram_join.near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string"), cold_rows=2, block_rows=9, frequent=8).collect()
+    got = ngram_join.near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string"), n=3, percent=90, cold_rows=2, block_rows=9, frequent=8).collect()
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute(rows)
 
 
@@ -83,6 +83,30 @@ def test_components_are_exact_at_five_words(spark, seed, cold, block):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute(rows, n=5, percent=80)
 
 
+def test_rows_without_id_link_others(spark):
+    """The row between two documents has no id; rows of one id with different texts are not mixed up."""
+    base = [f"w{i}" for i in range(400)]
+    rows = [(4, " ".join(base)), (None, " ".join(base[:365])), (9, " ".join(base[:335])), (None, " ".join(base[:365])),
+            (7, "one text of this id and its words"), (7, "quite another text that says different things"), (7, "quite another text that says different things"),
+            (8, "quite another text that says different things"), (2, "one text of this id and its words"), (None, "alone without id here"), (None, None), (1, " ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for n, percent in ((3, 90), (5, 80)):
+        want = brute(rows, n, percent)
+        got = ngram_join.near_duplicate_groups(df, n=n, percent=percent).collect()
+        assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == want
+    assert (9, 333, 4) in brute(rows) and {r.class_id for r in got if r.n_shingles == 333 and r.doc_id is None} <= {None}
+    assert sorted(r.class_id for r in got if r.doc_id == 7) == [2, 7, 7]
+
+
+def test_keep_first(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, base, "a"), (5, base, "b"), (3, base + " more", "c"), (8, "", "d"), (8, "", "e"), (8, None, "f"), (None, " ", "g"), (6, "short text", "h")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, doc_id2 string")
+    kept = ngram_join.keep_first(df)
+    assert kept.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(3, base + " more"), (8, ""), (8, None), (None, " "), (6, "short text")], key=str)
+
+
 def test_empty_and_hash_order(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert ngram_join.near_duplicate_groups(df).count() == 0
