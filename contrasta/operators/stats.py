@@ -329,13 +329,20 @@ def add_adjusted_p_values(results: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- bootstrap
 
-def poisson1_thresholds(max_k: int = 20) -> list[float]:
-    """Cumulative Poisson(1) probabilities P(K <= k), k = 0..max_k-1."""
-    out, p, acc = [], math.exp(-1.0), 0.0
-    for k in range(max_k):
+#: Samples of at most this size are resampled value by value.
+SMALL_SAMPLE = 100
+#: Poisson counts are drawn for the binary digits of a value's count; from this digit on by a normal variate.
+DIGITS = 10
+
+
+def poisson_thresholds(mean: float) -> list[float]:
+    """Cumulative Poisson probabilities P(K <= k), k = 0, 1, ... as far as doubles tell them from 1."""
+    out, p, acc, k = [], math.exp(-mean), 0.0, 0
+    while acc + p > acc or k < mean:
         acc += p
         out.append(acc)
-        p = p / (k + 1)
+        k += 1
+        p *= mean / k
     return out
 
 
@@ -356,86 +363,100 @@ def uniform_from(seed: Column, rep: Column, row_id: Column) -> Column:
     return x / 2147483648.0
 
 
-def poisson1_weight(u: Column) -> Column:
-    w = F.lit(len(poisson1_thresholds()))
-    for k, c in reversed(list(enumerate(poisson1_thresholds()))):
-        w = F.when(u < c, F.lit(k)).otherwise(w)
-    return w
-
-
 MIX_M = 0x7FFFFFFF
 MIX_A, MIX_B = 739982445, 695872825
 
 
-def _replicate_sums_fn(keys, id_col, value_col, seed_col, n_boot, thresholds, chunk=256):
-    """Per-partition replicate sums ``(keys, _b, _sx, _sw)`` with numpy: the same
-    integer mixer as ``uniform_from`` and the same Poisson(1) inverse CDF."""
+def _replicate_sums_fn(keys, n_boot, most_groups=500):
+    """Per-task replicate sums ``(keys, _b, _sx, _sw)`` of histogram rows with numpy (the integer
+    mixer of ``uniform_from``); a value's weight is a Poisson count with its number of rows as mean."""
     import numpy as np
     import pandas as pd
 
-    cuts = np.asarray(thresholds, dtype=np.float64)
-    reps = np.arange(1, n_boot + 1, dtype=np.int64)
+    cuts = [np.array(poisson_thresholds(float(1 << k))) for k in range(DIGITS)]
+    reps = np.arange(1, n_boot + 1, dtype=np.int64)[None, :]
+
+    def uniform(seed, row):
+        i = row[:, None]
+        h = ((seed * 7919 + reps) * 1000003 + (i & MIX_M)) & MIX_M
+        h ^= h >> 15
+        h = (h * MIX_A) & MIX_M
+        h ^= h >> 12
+        h = (h + ((i >> 31) & MIX_M) * 999979 + ((i >> 62) & MIX_M) * 15485863) & MIX_M
+        h = (h * MIX_B) & MIX_M
+        return (h ^ h >> 15) / 2147483648.0
+
+    def weights(seed, row, t):
+        w = np.zeros((len(row), n_boot))
+        for k in range(DIGITS):
+            at = np.flatnonzero(t >> k & 1)
+            if len(at):
+                w[at] += np.searchsorted(cuts[k], uniform(seed, row[at] * 64 + k), side="right")
+        if len(at := np.flatnonzero(t >> DIGITS)):
+            many = (t[at] >> DIGITS << DIGITS).astype(np.float64)[:, None]
+            z = np.sqrt(-2 * np.log(1 - uniform(seed, row[at] * 64 + DIGITS))) * np.cos(2 * np.pi * uniform(seed, row[at] * 64 + DIGITS + 1))
+            w[at] += np.maximum(0, np.round(many + np.sqrt(many) * z + (z * z - 1) / 6))
+        return w
 
     def run(batches):
+        held = {}
+
+        def rows():
+            for kv, (sx, sw) in held.items():
+                yield pd.DataFrame({**{k: [v] * n_boot for k, v in zip(keys, kv)}, "_b": reps[0], "_sx": sx, "_sw": sw})
+            held.clear()
+
         for pdf in batches:
-            if pdf.empty:
-                continue
-            for kv, g in pdf.groupby(keys, sort=False, dropna=False):
-                kv = kv if isinstance(kv, tuple) else (kv,)
-                sx = np.zeros(n_boot)
-                sw = np.zeros(n_boot, dtype=np.int64)
-                ids = g[id_col].to_numpy(np.int64)
-                xs = g[value_col].to_numpy(np.float64)
-                seeds = g[seed_col].to_numpy(np.int64)
-                for start in range(0, len(g), chunk):
-                    i, x, sd = ids[start:start + chunk, None], xs[start:start + chunk, None], seeds[start:start + chunk, None]
-                    h = ((sd * 7919 + reps[None, :]) * 1000003 + (i & MIX_M)) & MIX_M
-                    h ^= h >> 15
-                    h = (h * MIX_A) & MIX_M
-                    h ^= h >> 12
-                    h = (h + ((i >> 31) & MIX_M) * 999979 + ((i >> 62) & MIX_M) * 15485863) & MIX_M
-                    h = (h * MIX_B) & MIX_M
-                    h ^= h >> 15
-                    w = np.searchsorted(cuts, h / 2147483648.0, side="right")
+            for kv, g in pdf.groupby([*keys, "_seed"], sort=False, dropna=False):
+                sx, sw = held.setdefault(kv[:-1], (np.zeros(n_boot), np.zeros(n_boot)))
+                row, t, x = (g[c].to_numpy() for c in ("cum", "t", "value"))
+                for start in range(0, len(g), 256):
+                    part = slice(start, start + 256)
+                    w = weights(int(kv[-1]), row[part], t[part])
                     sw += w.sum(axis=0)
-                    sx += (w * x).sum(axis=0)
-                out = pd.DataFrame({"_b": reps, "_sx": sx, "_sw": sw})
-                for k, v in zip(keys, kv):
-                    out.insert(len(out.columns) - 3, k, v)
-                yield out[[*keys, "_b", "_sx", "_sw"]]
+                    sx += x[part] @ w
+            if len(held) > most_groups:
+                yield from rows()
+        yield from rows()
     return run
 
 
-def bootstrap_mean_ci(long_df: DataFrame, keys, id_col: str = "row_id", value_col: str = "value",
-                      n_boot: int = 2000, seed: int = 42, ci: float = 95.0,
-                      seed_col: str | None = None, method: str = "partition") -> DataFrame:
-    """Percentile interval of the mean by the Poisson(1) replicate-weight bootstrap
-    (Chamandy et al. 2012): each row gets a weight per replicate from a hash, so
-    replicate sums are combined map-side and only ``keys x n_boot`` rows shuffle.
-    Returns ``keys, ci_lower, ci_upper``; empty samples give nulls.
+def replicate_sums(ranks: DataFrame, keys, n_boot: int) -> DataFrame:
+    """``keys, _b, _sx, _sw``: each task's weighted sums of its values, once per task."""
+    src = ranks.select(*keys, "_seed", "value", "t", "cum")
+    types = [f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields if f.name in keys]
+    return src.mapInPandas(_replicate_sums_fn(list(keys), n_boot), ", ".join([*types, "_b long", "_sx double", "_sw double"]))
 
-    ``method="partition"`` (default) sums the replicate weights of each task's
-    rows with numpy inside ``mapInPandas`` and emits ``groups x n_boot`` partial
-    sums per task; ``method="explode"`` does the same with one generated row per
-    (row, replicate) in native expressions. Both use identical weights."""
+
+def _resampled(ranks: DataFrame, keys, n_boot: int) -> DataFrame:
+    """``keys, _b, value``: means of as many values drawn with replacement, for samples of bounded size."""
+    rows = F.array_sort(F.collect_list(F.struct("cum", "value", "t")))
+    small = ranks.groupBy(*keys, "_seed", "n").agg(F.flatten(F.transform(rows, lambda x: F.array_repeat(x["value"], x["t"].cast("int")))).alias("_all"))
+    small = small.select(*keys, "_seed", "n", "_all", F.explode(F.sequence(F.lit(1), F.lit(n_boot))).alias("_b"))
+    picked = F.transform(F.sequence(F.lit(1), F.col("n").cast("int")), lambda i: F.get(
+        F.col("_all"), F.floor(uniform_from(F.col("_seed"), F.col("_b"), i) * F.col("n")).cast("int")))
+    return small.select(*keys, "_b", (F.aggregate(picked, F.lit(0.0), lambda a, x: a + x) / F.col("n")).alias("value"))
+
+
+def bootstrap_mean_ci(long_df: DataFrame, keys, value_col: str = "value", n_boot: int = 2000, seed: int = 42, ci: float = 95.0,
+                      seed_col: str | None = None) -> DataFrame:
+    """``keys, ci_lower, ci_upper``: percentile interval of the mean from ``n_boot`` replicates.
+
+    Replicate weights are Poisson counts (Chamandy et al. 2012). They are drawn for each distinct
+    value of a key from a hash of (seed, replicate, place of the value), with the value's number of rows as mean, so
+    the work follows distinct values, and a task emits ``keys x n_boot`` sums. Samples of up to
+    ``SMALL_SAMPLE`` values are resampled value by value. ``seed_col`` is constant within a key;
+    a key without values has null bounds.
+    """
     keys = list(keys)
-    d = clean_values(long_df, value_col)
-    sd = F.col(seed_col) if seed_col else F.lit(seed)
-    if method == "partition":
-        src = d.select(*keys, F.col(id_col).cast("long").alias(id_col), F.col(value_col).cast("double").alias(value_col),
-                       sd.cast("long").alias("_seed"))
-        schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields if f.name in keys]
-                           + ["_b long", "_sx double", "_sw long"])
-        part = src.mapInPandas(_replicate_sums_fn(keys, id_col, value_col, "_seed", n_boot, poisson1_thresholds()), schema)
-        sums = part.groupBy(*keys, "_b").agg(F.sum("_sx").alias("_sx"), F.sum("_sw").alias("_sw"))
-    else:
-        reps = F.explode(F.sequence(F.lit(1), F.lit(n_boot))).alias("_b")
-        ex = d.select(*keys, id_col, value_col, sd.alias("_seed"), reps)
-        ex = ex.withColumn("_w", poisson1_weight(uniform_from(F.col("_seed"), F.col("_b"), F.col(id_col))))
-        sums = ex.groupBy(*keys, "_b").agg(F.sum(F.col("_w") * F.col(value_col)).alias("_sx"), F.sum("_w").alias("_sw"))
-    rep = (sums.where(F.col("_sw") > 0)
-           .select(*keys, "_b", (F.col("_sx") / F.col("_sw")).alias("value")))
+    d = long_df.select(*keys, (F.col(seed_col) if seed_col else F.lit(seed)).cast("long").alias("_seed"), F.col(value_col).alias("value"))
+    ranks = value_ranks(d, [*keys, "_seed"])
+    sums = replicate_sums(ranks.where(F.col("n") > SMALL_SAMPLE), keys, n_boot).groupBy(*keys, "_b").agg(F.sum("_sx").alias("_sx"), F.sum("_sw").alias("_sw"))
+    rep = sums.where(F.col("_sw") > 0).select(*keys, "_b", (F.col("_sx") / F.col("_sw")).alias("value"))
+    rep = rep.unionByName(_resampled(ranks.where(F.col("n") <= SMALL_SAMPLE), keys, n_boot))
     alpha = (100.0 - ci) / 2.0 / 100.0
-    q = exact_quantiles(rep, keys, [alpha, 1 - alpha])
-    cols = q.columns[len(keys):]
-    return q.select(*keys, F.col(cols[0]).alias("ci_lower"), F.col(cols[1]).alias("ci_upper"))
+    # a key has n_boot replicates: few enough for one exact percentile
+    q = rep.groupBy(*keys).agg(F.percentile("value", F.array(F.lit(alpha), F.lit(1 - alpha))).alias("q"))
+    present = long_df.select(*keys).distinct()
+    q = q.withColumnsRenamed({c: f"_k_{c}" for c in keys})
+    return present.join(q, _same(keys), "left").select(*keys, F.col("q")[0].alias("ci_lower"), F.col("q")[1].alias("ci_upper"))

@@ -105,7 +105,7 @@ def key_findings(features: DataFrame, a: str = "covid", b: str = "climate", n_bo
     long_df = long_df.withColumn("_i", F.element_at(idx, F.col("feature")))
     long_df = long_df.withColumn("_seed", F.when(F.col("domain") == a, seed + F.col("_i"))
                                  .otherwise(seed + k + F.col("_i")))
-    ci = st.bootstrap_mean_ci(long_df, ["feature", "domain"], id_col="doc_id", n_boot=n_boot, seed_col="_seed")
+    ci = st.bootstrap_mean_ci(long_df, ["feature", "domain"], n_boot=n_boot, seed_col="_seed")
     ci = ci.groupBy("feature").agg(
         F.first(F.when(F.col("domain") == a, F.col("ci_lower")), ignorenulls=True).alias(f"{a}_ci_lower"),
         F.first(F.when(F.col("domain") == a, F.col("ci_upper")), ignorenulls=True).alias(f"{a}_ci_upper"),

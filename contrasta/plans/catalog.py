@@ -262,12 +262,22 @@ def q_rhetoric_tests(spark, sf):
 
 
 def q_bootstrap_ci(spark, sf):
-    ev = table(spark, sf, "events").select(F.col("event_id").alias("row_id"), "event_type", "value")
-    ci = st.bootstrap_mean_ci(ev, ["event_type"], id_col="row_id", n_boot=2000, seed=42)
+    ev = table(spark, sf, "events").select("event_type", "value")
+    ci = st.bootstrap_mean_ci(ev, ["event_type"], n_boot=2000, seed=42)
     mean = ev.groupBy("event_type").agg(F.avg("value").alias("mean"), F.count(F.lit(1)).alias("n"))
     return finalize(mean.join(ci, "event_type"))
 
 
+def q_bootstrap_small(spark, sf):
+    """Samples of each size: users' values by type, from none that is a number to hundreds."""
+    ev = table(spark, sf, "events").select((F.col("user_id") % 97).alias("bin"), (F.col("user_id") % 5).alias("part"), "value")
+    ev = ev.withColumn("value", F.when(F.col("bin") % 10 == 0, F.when(F.col("part") == 0, F.round("value", 0)))
+                       .when(F.col("bin") % 10 == 1, F.lit(None).cast("double")).otherwise(F.round("value", 0)))
+    ci = st.bootstrap_mean_ci(ev, ["bin"], n_boot=500, seed=7)
+    n = ev.groupBy("bin").agg(F.count("value").alias("n"))
+    return finalize(n.join(ci, "bin"))
+
+
 def q_key_findings(spark, sf):
     return finalize(an.key_findings(features(spark, sf), A, B))
 
@@ -376,6 +386,7 @@ QUERIES = {
     "holm_adjust": q_holm_adjust,
     "rhetoric_tests": q_rhetoric_tests,
     "bootstrap_ci": q_bootstrap_ci,
+    "bootstrap_small": q_bootstrap_small,
     "key_findings": q_key_findings,
     "domain_summary": q_domain_summary,
     "source_counts": q_source_counts,

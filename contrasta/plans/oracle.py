@@ -18,7 +18,7 @@ from contrasta.operators.language import LANGUAGES
 from contrasta.operators.lemma import exceptions_map
 from contrasta.operators.rhetoric import STRATEGIES
 from contrasta.operators.sentiment import default_lexicon, default_modifiers
-from contrasta.operators.stats import poisson1_thresholds
+from contrasta.operators.stats import DIGITS, SMALL_SAMPLE, poisson_thresholds
 from contrasta.operators.tokens import TFIDF_TOKEN_RE, WORD_TOKEN_RE, english_stop_words
 from contrasta.sources.driver import DRIVER_DOMAIN_RULES
 
@@ -794,11 +794,6 @@ SELECT domain, position, term, document_frequency, {r('share_of_domain_docs')} A
 FROM pos LEFT JOIN ex USING (domain, term)"""
 
 
-def _poisson_case(u: str) -> str:
-    th = poisson1_thresholds()
-    return "CASE " + " ".join(f"WHEN {u} < {c!r}::DOUBLE THEN {k}" for k, c in enumerate(th)) + f" ELSE {len(th)} END"
-
-
 def uniform_sql(seed: str, b: str, row_id: str) -> str:
     m = "2147483647"
     x = f"((({seed})::BIGINT * 7919 + {b}) * 1000003 + ({row_id})::BIGINT) & {m}"
@@ -810,23 +805,46 @@ def uniform_sql(seed: str, b: str, row_id: str) -> str:
     return f"(({x}) / 2147483648.0)"
 
 
-def bootstrap_ctes(src: str, keys: list[str], id_col: str, seed_expr: str, n_boot: int = 2000, name: str = "boot") -> str:
+def bootstrap_ctes(src: str, keys: list[str], seed_expr: str, n_boot: int = 2000, name: str = "boot") -> str:
+    """Weights of the distinct values, drawn digit by digit of their counts; small samples value by value."""
     k = ", ".join(keys)
-    u = uniform_sql(seed_expr, "b", id_col)
-    return f"""{name}_x AS (SELECT {k}, b, value, {_poisson_case(u)} AS w
-      FROM (SELECT * FROM {src} WHERE value IS NOT NULL AND NOT isnan(value)) s, (SELECT unnest(range(1, {n_boot + 1})) AS b) r),
-{name}_rep AS (SELECT {k}, b, sum(w * value) / sum(w) AS m FROM {name}_x GROUP BY ALL HAVING sum(w) > 0),
-{name} AS (SELECT {k}, quantile_cont(m, 0.025) AS ci_lower, quantile_cont(m, 0.975) AS ci_upper FROM {name}_rep GROUP BY ALL)"""
+
+    def weight() -> str:
+        parts = [f"CASE WHEN (t >> {d}) & 1 = 1 THEN len(list_filter({poisson_thresholds(float(1 << d))}, lambda c: c <= {uniform_sql('seed', 'b', f'(cum * 64 + {d})')})) ELSE 0 END"
+                 for d in range(DIGITS)]
+        many = f"((t >> {DIGITS}) << {DIGITS})"
+        u, v = (uniform_sql("seed", "b", f"(cum * 64 + {DIGITS + i})") for i in (0, 1))
+        z = f"(sqrt(-2 * ln(1 - {u})) * cos(2 * pi() * {v}))"
+        return " + ".join(parts) + f" + CASE WHEN {many} > 0 THEN greatest(0, round({many} + sqrt({many}) * {z} + ({z} * {z} - 1) / 6)) ELSE 0 END"
+
+    return f"""{name}_h AS (SELECT {k}, ({seed_expr})::BIGINT AS seed, value, count(*)::BIGINT AS t FROM {src} WHERE value IS NOT NULL AND NOT isnan(value) GROUP BY ALL),
+{name}_r AS (SELECT *, (sum(t) OVER (PARTITION BY {k} ORDER BY value))::BIGINT AS cum, sum(t) OVER (PARTITION BY {k}) AS n FROM {name}_h),
+{name}_x AS (SELECT {k}, b, value, {weight()} AS w FROM (SELECT * FROM {name}_r WHERE n > {SMALL_SAMPLE}) s, (SELECT unnest(range(1, {n_boot + 1})) AS b) r),
+{name}_s AS (SELECT {k}, ({seed_expr})::BIGINT AS seed, list(value ORDER BY value) AS vs FROM {src} WHERE value IS NOT NULL AND NOT isnan(value)
+      GROUP BY ALL HAVING count(*) <= {SMALL_SAMPLE}),
+{name}_y AS (SELECT {k}, list_sum(list_transform(range(1, len(vs) + 1), lambda i: vs[1 + floor({uniform_sql('seed', 'b', 'i')} * len(vs))::BIGINT])) / len(vs) AS m
+      FROM {name}_s, (SELECT unnest(range(1, {n_boot + 1})) AS b) r),
+{name}_rep AS (SELECT {k}, sum(w * value) / sum(w) AS m FROM {name}_x GROUP BY {k}, b HAVING sum(w) > 0 UNION ALL SELECT {k}, m FROM {name}_y),
+{name}_q AS (SELECT {k}, quantile_cont(m, 0.025) AS ci_lower, quantile_cont(m, 0.975) AS ci_upper FROM {name}_rep GROUP BY {k}),
+{name} AS (SELECT * FROM (SELECT DISTINCT {k} FROM {src}) p LEFT JOIN {name}_q USING ({k}))"""
 
 
 def sql_bootstrap_ci() -> str:
     return f"""WITH ev AS (SELECT event_id, event_type, value FROM events),
-{bootstrap_ctes('ev', ['event_type'], 'event_id', '42')},
+{bootstrap_ctes('ev', ['event_type'], '42')},
 mean AS (SELECT event_type, avg(value) AS mean, count(*) AS n FROM ev GROUP BY event_type)
 SELECT m.event_type, {r('mean')} AS mean, n, {r('ci_lower')} AS ci_lower, {r('ci_upper')} AS ci_upper
 FROM mean m JOIN boot USING (event_type)"""
 
 
+def sql_bootstrap_small() -> str:
+    return f"""WITH ev AS (SELECT user_id % 97 AS bin, CASE WHEN user_id % 97 % 10 = 0 THEN CASE WHEN user_id % 5 = 0 THEN round(value, 0) END
+                               WHEN user_id % 97 % 10 = 1 THEN NULL ELSE round(value, 0) END AS value FROM events),
+{bootstrap_ctes('ev', ['bin'], '7', 500)},
+n AS (SELECT bin, count(value) AS n FROM ev GROUP BY bin)
+SELECT bin, n, {r('ci_lower')} AS ci_lower, {r('ci_upper')} AS ci_upper FROM n JOIN boot USING (bin)"""
+
+
 def sql_key_findings() -> str:
     specs = ["sadness", "vader_compound", "anger", "auth_score"]
     long_k = " UNION ALL ".join(
@@ -835,7 +853,7 @@ def sql_key_findings() -> str:
     seed = f"CASE WHEN domain = {q(A)} THEN 42 + ordinal ELSE 42 + {len(specs)} + ordinal END"
     return f"""WITH {feature_ctes()},
 kl AS ({long_k}),
-{bootstrap_ctes('kl', ['feature', 'domain'], 'doc_id', seed)},
+{bootstrap_ctes('kl', ['feature', 'domain'], seed)},
 {mwu_ctes('kl', ['feature'], A, B)},
 ci AS (SELECT feature, max(CASE WHEN domain = {q(A)} THEN ci_lower END) AS al, max(CASE WHEN domain = {q(A)} THEN ci_upper END) AS au,
               max(CASE WHEN domain = {q(B)} THEN ci_lower END) AS bl, max(CASE WHEN domain = {q(B)} THEN ci_upper END) AS bu
@@ -942,6 +960,7 @@ ORACLE = {
     "holm_adjust": sql_holm_adjust,
     "rhetoric_tests": sql_rhetoric_tests,
     "bootstrap_ci": sql_bootstrap_ci,
+    "bootstrap_small": sql_bootstrap_small,
     "key_findings": sql_key_findings,
     "domain_summary": sql_domain_summary,
     "source_counts": sql_source_counts,
