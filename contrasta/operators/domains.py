@@ -5,16 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from contrasta import lexicons
 from contrasta.operators._util import lookup_table
+from contrasta.operators.labels import TARGETS
 
-# Dataset names routed to each domain (later list wins on overlap).
-COVID_DATASETS = [
-    "coaid", "fibvid", "cmu_miscov19", "covid_19_rumor", "covidfact",
-    "fakecovid", "counter-covid-19-misinformation", "mm-covid", "antivax",
-    "nlp4if", "esoc", "checkcovid", "covid-19-disinformation",
-    "covid_vaccine_misinfo_mic",
-]
-CLIMATE_DATASETS = ["climate_fever", "climate_fever_direct", "quotaclimat", "climatecheck"]
+_ROUTED = lexicons.table("dataset_domains")
+COVID_DATASETS, CLIMATE_DATASETS = ([d for d, to in _ROUTED if to == domain] for domain in ("covid", "climate"))
 
 
 def domain_rules(covid=COVID_DATASETS, climate=CLIMATE_DATASETS, **others) -> dict[str, str]:
@@ -47,4 +43,4 @@ def route(df: DataFrame, domain: str) -> DataFrame:
 
 def drop_credible(df: DataFrame, label_col: str = "label") -> DataFrame:
     """Drop rows labelled ``credible``; null labels stay."""
-    return df.where(~F.col(label_col).eqNullSafe("credible"))
+    return df.where(~F.col(label_col).eqNullSafe(TARGETS[1]))

@@ -20,7 +20,7 @@ from contrasta.operators import tfidf
 from contrasta.operators.dedupe import dedupe_keep_first
 from contrasta.operators.domains import assign_domain, domain_rules, drop_credible
 from contrasta.operators.emotion import EMOTION_COLUMNS, dominant_emotion, emotion_scores
-from contrasta.operators.labels import harmonize_labels
+from contrasta.operators.labels import harmonize_by_source, harmonize_labels
 from contrasta.operators.language import language_of
 from contrasta.operators.lemma import lemmatize
 from contrasta.operators.rhetoric import rhetoric_scores
@@ -97,13 +97,7 @@ def q_normalize_sources(spark, sf):
 
 
 def q_harmonize_labels(spark, sf):
-    raw = nz.raw_label_sources(spark, sf)
-    parts = [harmonize_labels(raw.where(F.col("source") == s), s).select("source", "doc_id", "label")
-             for s in nz.LABEL_SOURCES]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return harmonize_by_source(nz.raw_label_sources(spark, sf), "source").select("source", "doc_id", "label")
 
 
 def q_domain_assign(spark, sf):
@@ -112,8 +106,8 @@ def q_domain_assign(spark, sf):
 
 
 def q_drop_credible(spark, sf):
-    raw = nz.raw_label_sources(spark, sf).where(F.col("source") == "cdl")
-    h = harmonize_labels(raw, "cdl")
+    raw = nz.raw_label_sources(spark, sf).where(F.col("source") == nz.SOURCE_GENERAL)
+    h = harmonize_labels(raw, nz.SOURCE_GENERAL)
     return drop_credible(h).select("doc_id", "label")
 
 

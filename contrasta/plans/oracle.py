@@ -22,6 +22,7 @@ from contrasta.operators.stats import DIGITS, SMALL_SAMPLE, poisson_thresholds
 from contrasta.operators.tokens import TFIDF_TOKEN_RE, WORD_TOKEN_RE, english_stop_words
 from contrasta.sources.driver import DRIVER_DOMAIN_RULES
 
+FALSE, TRUE = lb.TARGETS
 D = 6  # rounding digits, as on the Spark side
 
 
@@ -402,7 +403,7 @@ def source_ctes() -> str:
   FROM documents d LEFT JOIN labels l USING (doc_id)),
 cdl AS (SELECT doc_id, {_first(['tweet_text', 'claim', 'article_title'])} AS text, {_first(['binary_label', 'label_2'])} AS label,
         'cdl' AS source, dataset FROM cdl_raw),
-princeton AS (SELECT item_id AS doc_id, text, 'misinformation' AS label, 'princeton' AS source, 'jns-covid_misinfo' AS dataset FROM benchmark),
+princeton AS (SELECT item_id AS doc_id, text, {q(FALSE)} AS label, 'princeton' AS source, {q(lb.NAMES['dataset_headlines'])} AS dataset FROM benchmark),
 cf AS (SELECT conv_id * 1000 + turn AS doc_id, text, (['SUPPORTS', 'REFUTES', 'NOT_ENOUGH_INFO'])[turn % 3 + 1] AS label,
        'cdl' AS source, 'climate_fever' AS dataset FROM conversations WHERE role = 'user'),
 qc AS (SELECT doc_id, text, CASE WHEN doc_id % 10 = 9 THEN NULL ELSE ({slist(codes)})[doc_id % 9 + 1] END AS label,
@@ -426,14 +427,14 @@ def sql_corpus_from_sources() -> str:
     return f"""WITH {source_ctes()}, {lang_profile()},
 united AS (SELECT 0 AS i, *, NULL AS preset FROM cdl UNION ALL SELECT 1, *, 'covid' FROM princeton UNION ALL SELECT 2, *, NULL FROM cf
   UNION ALL SELECT 3, *, NULL FROM qc UNION ALL SELECT 4, *, NULL FROM cfd UNION ALL SELECT 5, *, NULL FROM cc),
-labelled AS (SELECT i * 1000000000000000 + doc_id AS doc_id, text, source, dataset,
+labelled AS (SELECT i * 288230376151711744 + doc_id AS doc_id, text, source, dataset,
   coalesce(preset, {domain_case('dataset', domain_rules() | DRIVER_DOMAIN_RULES)}) AS domain,
-  CASE WHEN i IN (0, 2) THEN {_map_sql(lb.CDL_MAP)}[lower(coalesce(label, 'nan'))]
-       WHEN i = 3 THEN coalesce({_map_sql(lb.QUOTE_MAP)}[label], label)
-       WHEN i = 4 THEN CASE TRY_CAST(label AS DOUBLE) WHEN 0 THEN 'credible' WHEN 1 THEN 'misinformation' END
-       WHEN i = 5 THEN CASE WHEN starts_with(coalesce(label, 'nan'), '0_') THEN 'credible' ELSE 'misinformation' END
+  CASE WHEN i IN (0, 2) THEN {_map_sql(_rules('cdl'))}[lower(coalesce(label, 'nan'))]
+       WHEN i = 3 THEN coalesce({_map_sql(_rules('quotaclimat'))}[label], label)
+       WHEN i = 4 THEN CASE TRY_CAST(label AS DOUBLE) WHEN 0 THEN {q(TRUE)} WHEN 1 THEN {q(FALSE)} END
+       WHEN i = 5 THEN CASE WHEN starts_with(coalesce(label, 'nan'), '0_') THEN {q(TRUE)} ELSE {q(FALSE)} END
        ELSE label END AS label FROM united),
-cleaned AS (SELECT doc_id, domain, source, dataset, label, {clean('text')} AS text FROM labelled WHERE label <> 'credible'),
+cleaned AS (SELECT doc_id, domain, source, dataset, label, {clean('text')} AS text FROM labelled WHERE label <> {q(TRUE)}),
 firsts AS (SELECT * FROM cleaned WHERE text <> '' QUALIFY row_number() OVER (PARTITION BY domain, text ORDER BY doc_id) = 1),
 tok AS (SELECT doc_id, unnest({word_tokens(decode('text'))}) AS word FROM firsts WHERE domain = 'covid'),
 hits AS (SELECT t.doc_id, p.lang, count(*) AS n FROM tok t JOIN lang_profile p USING (word) GROUP BY ALL),
@@ -453,31 +454,35 @@ def raw_labels_cte() -> str:
       WHEN 4 THEN 'TRUE'
       WHEN 5 THEN NULL
       ELSE 'unknown' END AS label FROM labels
-  UNION ALL SELECT 'princeton', item_id, 'misinformation' FROM benchmark
+  UNION ALL SELECT 'princeton', item_id, {q(FALSE)} FROM benchmark
   UNION ALL SELECT 'quotaclimat', doc_id, CASE WHEN doc_id % 10 = 9 THEN NULL ELSE ({slist(codes)})[doc_id % 9 + 1] END FROM documents
   UNION ALL SELECT 'climate_fever_direct', conv_id * 1000 + turn, (turn % 5)::VARCHAR FROM conversations WHERE role = 'assistant'
   UNION ALL SELECT 'climatecheck', d.doc_id, CASE WHEN l.quality = 0 THEN '0_not_relevant' WHEN l.toxic = 1 THEN '1_misleading' END
             FROM documents d JOIN labels l USING (doc_id))"""
 
 
+def _rules(source: str) -> dict:
+    return {raw: action for s, kind, raw, action, _ in lb.label_rules() if s == source and kind in ("folded", "exact")}
+
+
 def _map_sql(d: dict) -> str:
     return "MAP {" + ", ".join(f"{q(k)}: {q(v)}" for k, v in d.items()) + "}"
 
 
 def sql_harmonize_labels() -> str:
-    cdl = _map_sql(lb.CDL_MAP)
-    quote = _map_sql(lb.QUOTE_MAP)
+    cdl = _map_sql(_rules('cdl'))
+    quote = _map_sql(_rules('quotaclimat'))
     return f"""WITH {raw_labels_cte()},
 h AS (
   SELECT source, doc_id, {cdl}[lower(coalesce(label, 'nan'))] AS label FROM raw WHERE source = 'cdl'
   UNION ALL SELECT source, doc_id, label FROM raw WHERE source = 'princeton'
   UNION ALL SELECT source, doc_id, coalesce({quote}[label], label) FROM raw WHERE source = 'quotaclimat'
-  UNION ALL SELECT source, doc_id, CASE TRY_CAST(label AS DOUBLE) WHEN 0 THEN 'credible' WHEN 1 THEN 'misinformation' END
+  UNION ALL SELECT source, doc_id, CASE TRY_CAST(label AS DOUBLE) WHEN 0 THEN {q(TRUE)} WHEN 1 THEN {q(FALSE)} END
             FROM raw WHERE source = 'climate_fever_direct'
-  UNION ALL SELECT source, doc_id, CASE WHEN starts_with(coalesce(label, 'nan'), '0_') THEN 'credible' ELSE 'misinformation' END
+  UNION ALL SELECT source, doc_id, CASE WHEN starts_with(coalesce(label, 'nan'), '0_') THEN {q(TRUE)} ELSE {q(FALSE)} END
             FROM raw WHERE source = 'climatecheck')
 SELECT source, doc_id, label FROM h
-WHERE label IS NOT NULL AND (source <> 'cdl' OR label IN ('misinformation', 'credible'))"""
+WHERE label IS NOT NULL AND (source <> 'cdl' OR label IN ({q(FALSE)}, {q(TRUE)}))"""
 
 
 def sql_domain_assign() -> str:
@@ -485,10 +490,10 @@ def sql_domain_assign() -> str:
 
 
 def sql_drop_credible() -> str:
-    cdl = _map_sql(lb.CDL_MAP)
+    cdl = _map_sql(_rules('cdl'))
     return f"""WITH {raw_labels_cte()},
 h AS (SELECT doc_id, {cdl}[lower(coalesce(label, 'nan'))] AS label FROM raw WHERE source = 'cdl')
-SELECT doc_id, label FROM h WHERE label IN ('misinformation', 'credible') AND label IS DISTINCT FROM 'credible'"""
+SELECT doc_id, label FROM h WHERE label IN ({q(FALSE)}, {q(TRUE)}) AND label IS DISTINCT FROM {q(TRUE)}"""
 
 
 def sql_dedupe_keep_first() -> str:

@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 from contrasta.functions.text import clean_text
 from contrasta.operators.dedupe import keep_first_rows
 from contrasta.operators.domains import assign_domain, drop_credible
-from contrasta.operators.labels import harmonize_labels
+from contrasta.operators.labels import harmonize_by_source
 from contrasta.operators.language import language_of
 from contrasta.operators.tokens import computed_once
 
 UNIFIED = ["doc_id", "text", "label", "domain", "source", "dataset"]
-# ids of one source lie between its position times this and the next source's
-IDS_PER_SOURCE = 10 ** 15
+# ids of one source lie between its position times this and the next source's; generated ids of 2^25 tasks fit
+IDS_PER_SOURCE = 1 << 58
+MOST_SOURCES = 1 << 5
 
 
 def prepare_corpus(docs: DataFrame, rules: dict[str, str] | None = None,
@@ -44,17 +45,21 @@ def prepare_sources(sources: Iterable[tuple[DataFrame, str]], rules: dict[str, s
                     english_domain: str | None = "covid", materialize=None) -> DataFrame:
     """The corpus of several normalised sources, each with the name of its label rule.
 
-    Labels are harmonised, domains assigned (a source's own domain stays) and credible rows dropped
-    per source; then all are united and prepared as one. Ids become unique over the sources and keep
-    their order: position of the source, then the source's own id (0 up to ``IDS_PER_SOURCE``).
+    All are united first: one rule join harmonises the labels of every source, domains are assigned (a
+    source's own domain stays) and credible rows dropped. Ids become unique over the sources and keep
+    their order: position of the source, then the source's own id; an id outside 0 to
+    ``IDS_PER_SOURCE`` would run into another source's and stops the job.
     """
-    parts = []
+    docs, sources = None, list(sources)
+    if not 0 < len(sources) <= MOST_SOURCES:
+        raise ValueError("no sources given" if not sources else f"more than {MOST_SOURCES} sources")
     for i, (df, rule) in enumerate(sources):
-        d = drop_credible(assign_domain(harmonize_labels(df, rule), rules))
-        parts.append(d.withColumn("doc_id", F.col("doc_id") + F.lit(i * IDS_PER_SOURCE).cast("long")).select(UNIFIED))
-    if not parts:
-        raise ValueError("no sources given")
-    docs = parts[0]
-    for p in parts[1:]:
-        docs = docs.unionByName(p)
+        own = F.col("doc_id").cast("long")
+        fits = own.isNull() | own.between(0, IDS_PER_SOURCE - 1)
+        unique = F.when(fits, own + F.lit(i * IDS_PER_SOURCE).cast("long")).otherwise(
+            F.raise_error(F.concat(F.lit("id outside a source's range: "), own.cast("string"))).cast("long"))
+        domain = F.col("domain") if "domain" in df.columns else F.lit(None).cast("string")
+        part = df.select(unique.alias("doc_id"), "text", F.col("label").cast("string").alias("label"), domain.alias("domain"), "source", "dataset", F.lit(rule).alias("_rule"))
+        docs = part if docs is None else docs.unionByName(part)
+    docs = drop_credible(assign_domain(harmonize_by_source(docs, "_rule"), rules)).select(UNIFIED)
     return prepare_corpus(docs, english_domain=english_domain, assign=False, materialize=materialize)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from contrasta.functions.text import na_to_null
 from contrasta.operators.dedupe import dedupe_keep_first
+from contrasta.operators.labels import NAMES, TARGETS
 from contrasta.sources.driver import table
 
 # Candidate text and label columns of the general source, in priority order.
@@ -18,13 +19,13 @@ TEXT_CANDIDATES = ["tweet_text", "claim", "social_media_text", "article_headline
 LABEL_CANDIDATES = ["binary_label", "veracity", "tweet_label", "claim_label", "label", "label_2",
                     "three_label"]
 UNIFIED = ["doc_id", "text", "label", "source", "dataset"]
-# Source tags and default dataset names written by the adapters.
-SOURCE_GENERAL, DATASET_GENERAL = "cdl", "complexdatalab"
-SOURCE_HEADLINES, DATASET_HEADLINES = "princeton", "jns-covid_misinfo"
-DATASET_CLAIMS = "climate_fever"
-SOURCE_QUOTES = DATASET_QUOTES = "quotaclimat"
-SOURCE_DIRECT = DATASET_DIRECT = "climate_fever_direct"
-SOURCE_CHECK = DATASET_CHECK = "climatecheck"
+# Source tags and default dataset names written by the adapters.
+SOURCE_GENERAL, DATASET_GENERAL = NAMES["source_general"], NAMES["dataset_general"]
+SOURCE_HEADLINES, DATASET_HEADLINES = NAMES["source_headlines"], NAMES["dataset_headlines"]
+DATASET_CLAIMS = NAMES["dataset_claims"]
+SOURCE_QUOTES = DATASET_QUOTES = NAMES["source_quotes"]
+SOURCE_DIRECT = DATASET_DIRECT = NAMES["source_direct"]
+SOURCE_CHECK = DATASET_CHECK = NAMES["source_check"]
 LABEL_SOURCES = [SOURCE_GENERAL, SOURCE_HEADLINES, SOURCE_QUOTES, SOURCE_DIRECT, SOURCE_CHECK]
 
 
@@ -33,8 +34,15 @@ def _first_present(df: DataFrame, candidates):
     return F.coalesce(*cols) if cols else F.lit(None).cast("string")
 
 
-def _default(df: DataFrame, col: str, value: str):
-    return F.col(col) if col in df.columns else F.lit(value)
+def _default(df: DataFrame, col: str, value: str, overwrite: bool = False):
+    """A column the table has stays, unless it is to be overwritten."""
+    return F.col(col) if col in df.columns and not overwrite else F.lit(value)
+
+
+def tag_rows(df: DataFrame, source: str, dataset: str | None = None, overwrite: bool = False) -> DataFrame:
+    """Source tag and dataset name of every row; a dataset column that is there stays unless ``overwrite``."""
+    name = _default(df, "dataset", source if dataset is None else dataset, overwrite)
+    return df.withColumns({"source": F.lit(source), "dataset": name})
 
 
 def normalize_cdl(df: DataFrame, dataset: str = DATASET_GENERAL) -> DataFrame:
@@ -45,7 +53,7 @@ def normalize_cdl(df: DataFrame, dataset: str = DATASET_GENERAL) -> DataFrame:
 
 
 def normalize_princeton(df: DataFrame) -> DataFrame:
-    return df.select("doc_id", F.col("Title").alias("text"), F.lit("misinformation").alias("label"),
+    return df.select("doc_id", F.col("Title").alias("text"), F.lit(TARGETS[0]).alias("label"),
                      F.lit("covid").alias("domain"), F.lit(SOURCE_HEADLINES).alias("source"),
                      F.lit(DATASET_HEADLINES).alias("dataset"))
 
@@ -163,7 +171,7 @@ def raw_label_sources(spark, sf) -> DataFrame:
            .otherwise(F.lit("unknown")))
     parts = [lab.select(F.lit(SOURCE_GENERAL).alias("source"), "doc_id", cdl.alias("label"))]
     parts.append(princeton_raw(spark, sf).select(F.lit(SOURCE_HEADLINES).alias("source"), "doc_id",
-                                                 F.lit("misinformation").alias("label")))
+                                                 F.lit(TARGETS[0]).alias("label")))
     parts.append(quotaclimat_raw(spark, sf).select(F.lit(SOURCE_QUOTES).alias("source"), "doc_id", "label"))
     parts.append(climate_fever_direct_raw(spark, sf).select(
         F.lit(SOURCE_DIRECT).alias("source"), "doc_id", F.col("claim_label").cast("string").alias("label")))
