@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from contrasta.functions.parse import extract_scores
@@ -66,31 +66,32 @@ def model_scores(df: DataFrame, load: Callable[[], Callable[[list[str]], list[di
 
 def model_answers(df: DataFrame, load: Callable[[], Callable[[list[str]], list[str]]],
                   text_col: str = "text", id_col: str = "doc_id", batch_size: int = 32) -> DataFrame:
-    """``(doc_id, answer)``: free-text answers of a user model (e.g. an LLM asked
-    for a JSON object); failures give an empty answer, which parses to zeros."""
+    """``(doc_id, answer, defaulted)``: free-text answers of a user model (e.g. an LLM asked
+    for a JSON object); failures give an empty answer, which parses to zeros, and are flagged."""
     src = df.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
 
     def run(batches):
         ask = load()
+
+        def safe(texts):
+            try:
+                got = [None if a is None else str(a) for a in ask(texts)]
+                if len(got) != len(texts):
+                    raise ValueError("model returned a different number of answers")
+                return [("" if a is None else a, a is None) for a in got]
+            except Exception:
+                return [("", True)] if len(texts) == 1 else [x for t in texts for x in safe([t])]
+
         for pdf in batches:
-            answers = []
-            for start in range(0, len(pdf), batch_size):
-                texts = pdf["_text"].iloc[start:start + batch_size].tolist()
-                try:
-                    got = list(ask(texts))
-                    if len(got) != len(texts):
-                        raise ValueError
-                except Exception:
-                    got = []
-                    for t in texts:
-                        try:
-                            got.append(ask([t])[0])
-                        except Exception:
-                            got.append("")
-                answers.extend("" if a is None else str(a) for a in got)
-            yield pd.DataFrame({id_col: pdf["_id"].values, "answer": answers})
-
-    return src.mapInPandas(run, f"{id_col} long, answer string")
+            rows = [x for start in range(0, len(pdf), batch_size) for x in safe(pdf["_text"].iloc[start:start + batch_size].tolist())]
+            yield pd.DataFrame({id_col: pdf["_id"].values, "answer": [a for a, _ in rows], "defaulted": [d for _, d in rows]})
+
+    return src.mapInPandas(run, f"{id_col} {df.schema[id_col].dataType.simpleString()}, answer string, defaulted boolean")
+
+
+def observed(scores: DataFrame, observation: Observation) -> DataFrame:
+    """The same rows; once they have been computed, ``observation.get`` has ``rows`` and ``defaulted``."""
+    return scores.observe(observation, F.count(F.lit(1)).alias("rows"), F.count_if("defaulted").alias("defaulted"))
 
 
 def rhetoric_from_model(df: DataFrame, load, text_col: str = "text", id_col: str = "doc_id",

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from contrasta.operators import stats as st
 from contrasta.operators.emotion import EMOTION_COLUMNS
 from contrasta.operators.rhetoric import STRATEGIES
-from contrasta.operators.summaries import category_counts, shares
+from contrasta.operators._util import with_scalar
+from contrasta.operators.summaries import box_summary, category_counts, shares, significance_label
 from contrasta.functions.text import truncate_text
 from contrasta.plans.featurize import FEATURE_GROUPS
 
@@ -152,6 +153,21 @@ def term_context(weights: DataFrame, features: DataFrame, top: DataFrame,
     return rec, ex
 
 
+def term_context_payload(records: DataFrame, examples: DataFrame, docs: DataFrame, features: DataFrame, key: str = "doc_id") -> DataFrame:
+    """One row per domain: its document count and its nested terms in rank order (as many as were asked for).
+
+    The documents that were weighted and those that have features must be the same; the plan itself
+    counts keys that only one side has, and any stops the job.
+    """
+    sides = docs.select(key, F.lit(1).alias("d")).unionByName(features.select(key, F.lit(-1).alias("d")))
+    odd = sides.groupBy(key).agg(F.sum("d").alias("d")).where("d != 0").agg(F.count(F.lit(1)).alias("_odd"))
+    terms = term_context_nested(records, examples)
+    cols = [c for c in terms.columns if c not in ("domain", "document_count")]
+    out = terms.groupBy("domain", "document_count").agg(F.array_sort(F.collect_list(F.struct(*cols))).alias("terms"))
+    checked = F.when(F.col("_odd") > 0, F.raise_error(F.lit("TF-IDF rows do not match the documents of the domain tables."))).otherwise(F.col("document_count"))
+    return with_scalar(out, odd).select("domain", checked.alias("document_count"), "terms")
+
+
 def term_context_nested(records: DataFrame, examples: DataFrame) -> DataFrame:
     """One nested record per (domain, term) for JSON output, terms in rank order."""
     vader = ["vader_neg", "vader_neu", "vader_pos", "vader_compound"]
@@ -167,19 +183,38 @@ def term_context_nested(records: DataFrame, examples: DataFrame) -> DataFrame:
         F.transform(F.coalesce("ex", F.array()), lambda e: e.dropFields("example_rank")).alias("representative_examples"))
 
 
+def share_frame(features: DataFrame, stats: DataFrame, a: str = "covid", b: str = "climate") -> DataFrame:
+    """Shares of the dominant emotions with the test's adjusted p, stars and Cramer's V beside each."""
+    test = stats.where(F.col("feature") == "dominant_emotion").select("adjusted_p_value", F.col("effect_size").alias("cramers_v"))
+    out = with_scalar(dominant_emotion_counts(features, a, b).withColumn("percent", F.col("share") * 100.0), test)
+    return out.withColumn("stars", significance_label("adjusted_p_value"))
+
+
+def box_frame(features: DataFrame, stats: DataFrame, cols, a: str = "covid", b: str = "climate") -> DataFrame:
+    """Box-plot numbers of the given features by domain with their adjusted p and stars."""
+    long_df = st.to_long(features.where(F.col("domain").isin(a, b)), cols).select("domain", "feature", "value")
+    tests = stats.where(F.col("feature").isin(*cols)).select("feature", "adjusted_p_value")
+    out = box_summary(long_df, ["domain", "feature"]).join(F.broadcast(tests), "feature", "left")  # a row per given feature
+    return out.withColumn("stars", significance_label("adjusted_p_value"))
+
+
+def summary_counts(features: DataFrame) -> DataFrame:
+    """``domain, kind, value, count``: documents of each source and each dataset of a domain, as rows of any number."""
+    parts = [features.select("domain", F.lit(kind).alias("kind"), F.col(kind).cast("string").alias("value")) for kind in ("source", "dataset")]
+    return (parts[0].unionByName(parts[1]).where(F.col("value").isNotNull())
+            .groupBy("domain", "kind", "value").agg(F.count(F.lit(1)).alias("count")))
+
+
 def summary_payload(features: DataFrame, stats: DataFrame, a: str = "covid", b: str = "climate",
                     top: int = 10) -> DataFrame:
-    """One-row nested summary: test names, per-domain summaries with source and
-    dataset counts, dominant-emotion counts/percentages/expected counts, trust-cue
-    column availability and the first ``top`` findings."""
-    from contrasta.operators.summaries import domain_summary, value_counts
+    """One-row nested summary: test names, per-domain summaries, dominant-emotion
+    counts/percentages/expected counts, trust-cue column availability and the first ``top``
+    findings; sets of any size (sources, datasets) are the rows of ``summary_counts``."""
+    from contrasta.operators.summaries import domain_summary
     from contrasta.plans.featurize import TRUST_CUE_COLUMNS
     spark = features.sparkSession
     ds = domain_summary(features)
-    def counts(col):
-        c = value_counts(features, col, ["domain"])
-        return c.groupBy("domain").agg(F.map_from_entries(F.collect_list(F.struct(F.col(col).cast("string"), "count"))).alias(f"{col}_counts"))
-    doms = ds.join(counts("source"), "domain", "left").join(counts("dataset"), "domain", "left")
+    doms = ds.where(F.col("domain").isin(a, b))
     dom = doms.agg(F.map_from_entries(F.collect_list(F.struct("domain", F.struct(*[c for c in doms.columns if c != "domain"])))).alias("domains"))
     dc = dominant_emotion_counts(features, a, b)
     emo = dc.groupBy("domain").agg(F.map_from_entries(F.collect_list(F.struct("dominant_emotion", "count"))).alias("counts"),
@@ -194,7 +229,6 @@ def summary_payload(features: DataFrame, stats: DataFrame, a: str = "covid", b:
         F.lit("mann_whitney_u").alias("numeric_test"), F.lit("rank_biserial_correlation").alias("numeric_effect_size"),
         F.array(*[F.lit(c) for c in avail]).cast("array<string>").alias("available_trust_cue_columns"),
         F.array(*[F.lit(c) for c in TRUST_CUE_COLUMNS if c not in avail]).cast("array<string>").alias("missing_trust_cue_columns"))
-    from contrasta.operators._util import with_scalar
     out = head
     for part in (dom, emo, exp, findings):
         out = with_scalar(out, part)

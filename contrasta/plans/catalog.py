@@ -7,6 +7,8 @@ compare exactly against the SQL oracle.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
@@ -30,7 +32,9 @@ from contrasta.plans.featurize import feature_table, with_lemmas
 from contrasta.operators.tokens import computed_once
 from contrasta.plans.preprocess import prepare_corpus, prepare_sources
 from contrasta.session import ensure_checkpoint_dir
+from contrasta.streaming.incremental import incremental_scores
 from contrasta.sources import normalize as nz
+from contrasta.sources.io import read_processed, write_processed
 from contrasta.sources.driver import (DOMAIN_A, DOMAIN_B, DRIVER_DOMAIN_RULES, decorated_documents,
                                       documents_unified, table)
 
@@ -38,9 +42,14 @@ DIGITS = 6
 A, B = DOMAIN_A, DOMAIN_B
 
 
+def _rounded(c):
+    """``DIGITS`` decimals, by way of 10: sums taken in another order then round alike at a tie."""
+    return F.round(F.when(F.abs(c) < 1000, F.round(c, 10)).otherwise(c), DIGITS)
+
+
 def finalize(df: DataFrame) -> DataFrame:
     """Round every floating column to ``DIGITS`` decimals."""
-    cols = [F.round(F.col(f.name), DIGITS).alias(f.name) if isinstance(f.dataType, (DoubleType, FloatType))
+    cols = [_rounded(F.col(f.name)).alias(f.name) if isinstance(f.dataType, (DoubleType, FloatType))
             else F.col(f.name) for f in df.schema.fields]
     return df.select(*cols)
 
@@ -197,6 +206,41 @@ def q_term_examples(spark, sf):
     return finalize(ex.drop("rank"))
 
 
+def q_term_payload(spark, sf):
+    """The nested payload, flat again: a row per domain and term."""
+    docs, (tf, sizes, vocab, w) = tfidf_fit(spark, sf)
+    top = materialize(tfidf.top_n_per_domain(tfidf.mean_scores(w, sizes), 25))
+    f = materialize(feature_table(docs, lemmas=False))
+    p = an.term_context_payload(*an.term_context(w, f, top, 3), docs, f)
+    t = F.col("t")
+    return finalize(p.select("domain", "document_count", F.posexplode("terms").alias("i", "t")).select(
+        "domain", "document_count", (F.col("i") + 1).cast("long").alias("place"), t["term"].alias("term"), t["mean_tfidf_score"].alias("mean_tfidf"),
+        t["document_frequency"].alias("document_frequency"), t["average_vader"]["vader_compound"].alias("compound"),
+        F.size(t["representative_examples"]).cast("long").alias("examples")))
+
+
+# ---------------------------------------------------------------- reuse and storage
+
+def q_incremental_scores(spark, sf):
+    """Stored scores of two thirds of the documents, a fifth of them of an older text: what is reused, what is scored again."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+
+    def scorer(d):
+        return d.select("doc_id", F.length("text").cast("double").alias("score"))
+
+    old = docs.where("doc_id % 3 < 2").withColumn("text", F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit(" old"))).otherwise(F.col("text")))
+    stored = materialize(incremental_scores(old, None, scorer).withColumn("reused", F.lit(True)))
+    out = incremental_scores(docs, stored, lambda d: scorer(d).withColumn("reused", F.lit(False)))
+    return finalize(out.select("doc_id", "score", "reused"))
+
+
+def q_domain_store(spark, sf):
+    """The corpus written by domain and the documents of one domain read back: other domains' files are not opened."""
+    path = f"{ensure_checkpoint_dir(spark)}/store-{uuid.uuid4().hex}"
+    write_processed(prepare_corpus(documents_unified(spark, sf), DRIVER_DOMAIN_RULES), path)
+    return read_processed(spark, path, [B]).select("doc_id", "domain", "dataset")
+
+
 # ---------------------------------------------------------------- statistics
 
 def q_mwu_features(spark, sf):
@@ -230,6 +274,21 @@ def q_dominant_shares(spark, sf):
     return finalize(c.withColumn("percent", F.col("share") * 100.0))
 
 
+def q_share_frame(spark, sf):
+    f = features(spark, sf)
+    return finalize(an.share_frame(f, materialize(an.run_stats(f, A, B)), A, B))
+
+
+def q_box_frame(spark, sf):
+    f = features(spark, sf)
+    out = an.box_frame(f, materialize(an.run_stats(f, A, B)), ["sadness", "anger"], A, B)
+    return finalize(out.withColumn("n_outliers", F.col("n_outliers").cast("long")))
+
+
+def q_summary_counts(spark, sf):
+    return an.summary_counts(features(spark, sf))
+
+
 def q_run_stats(spark, sf):
     return finalize(an.run_stats(features(spark, sf), A, B))
 
@@ -380,6 +439,12 @@ QUERIES = {
     "holm_adjust": q_holm_adjust,
     "rhetoric_tests": q_rhetoric_tests,
     "bootstrap_ci": q_bootstrap_ci,
+    "share_frame": q_share_frame,
+    "box_frame": q_box_frame,
+    "summary_counts": q_summary_counts,
+    "term_payload": q_term_payload,
+    "incremental_scores": q_incremental_scores,
+    "domain_store": q_domain_store,
     "bootstrap_small": q_bootstrap_small,
     "key_findings": q_key_findings,
     "domain_summary": q_domain_summary,

@@ -42,17 +42,18 @@ def compare_corpora(raw_docs: DataFrame, rules: dict[str, str], a: str = "covid"
         "documents": corpus,
         "features": feats,
         "top_terms": top,
-        "term_context": an.term_context_nested(records, examples),
+        "term_context": an.term_context_payload(records, examples, docs, feats),
         "statistical_tests": stats,
         "rhetoric_tests": rhet,
         "rhetoric_frame": rp.rhetoric_frame(rhet, a, b),
         "sentiment_frame": rp.sentiment_frame(feats, stats, a, b),
         "key_findings": an.key_findings(feats, a, b, n_boot=n_boot),
         "summary": an.summary_payload(feats, stats, a, b),
+        "summary_counts": an.summary_counts(feats),
     }
     if out_dir:
         io.write_processed(corpus, f"{out_dir}/processed")
-        for name in ("features", "top_terms", "statistical_tests", "rhetoric_tests", "key_findings"):
+        for name in ("features", "top_terms", "statistical_tests", "rhetoric_tests", "key_findings", "summary_counts"):
             out[name].write.mode("overwrite").parquet(f"{out_dir}/analysis/{name}")
         io.write_json(out["term_context"], f"{out_dir}/analysis/term_context")
         io.write_json(out["summary"], f"{out_dir}/analysis/summary")

@@ -42,7 +42,8 @@ def slist(items) -> str:
 
 
 def r(expr: str) -> str:
-    return f"round(({expr})::DOUBLE, {D})"
+    x = f"({expr})::DOUBLE"
+    return f"round(CASE WHEN abs({x}) < 1000 THEN round({x}, 10) ELSE {x} END, {D})"
 
 
 # ------------------------------------------------------------------ text
@@ -686,6 +687,46 @@ sh AS (SELECT domain, dominant_emotion, ordinal, count,
 SELECT domain, dominant_emotion, ordinal::INTEGER AS ordinal, count, {r('share')} AS share, {r('share * 100.0')} AS percent FROM sh"""
 
 
+def _stars(p: str) -> str:
+    return f"CASE WHEN {p} IS NULL OR isnan({p}) THEN '' WHEN {p} < 0.001 THEN '***' WHEN {p} < 0.01 THEN '**' WHEN {p} < 0.05 THEN '*' ELSE 'ns' END"
+
+
+def sql_share_frame() -> str:
+    return f"""WITH {_run_stats_ctes()},
+t AS (SELECT adjusted_p_value, effect_size AS cramers_v FROM stats WHERE feature = 'dominant_emotion'),
+sh AS (SELECT domain, dominant_emotion, ordinal, count,
+       CASE WHEN sum(count) OVER (PARTITION BY domain) = 0 THEN 0.0 ELSE count / sum(count) OVER (PARTITION BY domain) END AS share FROM dcounts)
+SELECT domain, dominant_emotion, ordinal::INTEGER AS ordinal, count, {r('share')} AS share, {r('share * 100.0')} AS percent,
+       {r('adjusted_p_value')} AS adjusted_p_value, {r('cramers_v')} AS cramers_v, {_stars('adjusted_p_value')} AS stars FROM sh, t"""
+
+
+def sql_box_frame() -> str:
+    return f"""WITH {_run_stats_ctes()}, {_box_ctes()}, box AS ({_box_select()})
+SELECT box.*, {r('s.adjusted_p_value')} AS adjusted_p_value, {_stars('s.adjusted_p_value')} AS stars
+FROM box LEFT JOIN stats s USING (feature)"""
+
+
+def sql_summary_counts() -> str:
+    return f"""WITH {feature_ctes()}
+SELECT domain, 'source' AS kind, source AS value, count(*) AS count FROM features WHERE source IS NOT NULL GROUP BY ALL
+UNION ALL SELECT domain, 'dataset', dataset, count(*) FROM features WHERE dataset IS NOT NULL GROUP BY ALL"""
+
+
+def sql_term_payload() -> str:
+    return f"""{_context_prefix()}
+SELECT j.domain, first(s.document_count) AS document_count, row_number() OVER (PARTITION BY j.domain ORDER BY first(j.rank)) AS place, j.term,
+       {r('first(mean_tfidf)')} AS mean_tfidf, count(*) AS document_frequency, {r('avg(vader_compound)')} AS compound, least(3, count(*)) AS examples
+FROM j JOIN sizes s USING (domain) GROUP BY j.domain, j.term"""
+
+
+def sql_incremental_scores() -> str:
+    return "SELECT doc_id, length(text)::DOUBLE AS score, doc_id % 3 < 2 AND doc_id % 5 <> 0 AS reused FROM documents"
+
+
+def sql_domain_store() -> str:
+    return f"WITH {corpus_ctes()} SELECT doc_id, domain, dataset FROM corpus WHERE domain = {q(B)}"
+
+
 def sql_run_stats() -> str:
     extra = [f"{r('adjusted_p_value')} AS adjusted_p_value", "significant_0_05", "fdr_significant_0_05"]
     return f"WITH {_run_stats_ctes()} SELECT {_round_results(extra)} FROM stats"
@@ -885,17 +926,25 @@ def sql_source_counts() -> str:
     return f"WITH {feature_ctes()} SELECT domain, dataset, count(*) AS count FROM features WHERE dataset IS NOT NULL GROUP BY ALL"
 
 
-def sql_box_summary() -> str:
-    return f"""WITH {feature_ctes()},
-bl AS (SELECT domain, 'sadness' AS feature, sadness::DOUBLE AS value FROM features UNION ALL
+def _box_ctes() -> str:
+    return """bl AS (SELECT domain, 'sadness' AS feature, sadness::DOUBLE AS value FROM features UNION ALL
        SELECT domain, 'anger', anger::DOUBLE FROM features),
 qs AS (SELECT domain, feature, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS med, quantile_cont(value, 0.75) AS q3
        FROM bl WHERE value IS NOT NULL AND NOT isnan(value) GROUP BY ALL),
-j AS (SELECT b.*, q.q1, q.med, q.q3, q.q1 - 1.5 * (q.q3 - q.q1) AS lo, q.q3 + 1.5 * (q.q3 - q.q1) AS hi FROM bl b JOIN qs q USING (domain, feature))
-SELECT domain, feature, {r('first(q1)')} AS q1, {r('first(med)')} AS median, {r('first(q3)')} AS q3,
+bj AS (SELECT b.*, q.q1, q.med, q.q3, q.q1 - 1.5 * (q.q3 - q.q1) AS lo, q.q3 + 1.5 * (q.q3 - q.q1) AS hi FROM bl b JOIN qs q USING (domain, feature))"""
+
+
+def _box_select() -> str:
+    return f"""SELECT domain, feature, {r('first(q1)')} AS q1, {r('first(med)')} AS median, {r('first(q3)')} AS q3,
        {r('min(CASE WHEN value >= lo THEN value END)')} AS whisker_low, {r('max(CASE WHEN value <= hi THEN value END)')} AS whisker_high,
        count(*) FILTER (WHERE value < lo OR value > hi) AS n_outliers, count(*) AS n
-FROM j GROUP BY domain, feature"""
+FROM bj GROUP BY domain, feature"""
+
+
+def sql_box_summary() -> str:
+    return f"""WITH {feature_ctes()},
+{_box_ctes()}
+{_box_select()}"""
 
 
 def sql_sentiment_means() -> str:
@@ -965,6 +1014,12 @@ ORACLE = {
     "holm_adjust": sql_holm_adjust,
     "rhetoric_tests": sql_rhetoric_tests,
     "bootstrap_ci": sql_bootstrap_ci,
+    "share_frame": sql_share_frame,
+    "box_frame": sql_box_frame,
+    "summary_counts": sql_summary_counts,
+    "term_payload": sql_term_payload,
+    "incremental_scores": sql_incremental_scores,
+    "domain_store": sql_domain_store,
     "bootstrap_small": sql_bootstrap_small,
     "key_findings": sql_key_findings,
     "domain_summary": sql_domain_summary,

@@ -41,6 +41,19 @@ def write_processed(df: DataFrame, path: str, fmt: str = "parquet", partition_by
     w.save(path)
 
 
+def read_processed(spark: SparkSession, path: str, domains, partition_by: str = "domain", schema=None) -> DataFrame:
+    """Documents of the wanted domains from ``write_processed`` (Parquet); files of other domains are not opened.
+
+    ``domains`` is a list, or a DataFrame with that column: its distinct values are broadcast and
+    prune partitions while the job runs. With ``schema`` no file is opened to learn it.
+    """
+    stored = spark.read.parquet(path) if schema is None else spark.read.schema(schema).parquet(path)
+    if isinstance(domains, DataFrame):
+        wanted = domains.select(partition_by).distinct()  # names of domains: as few as there are folders
+        return stored.join(F.broadcast(wanted), partition_by, "left_semi").select(stored.columns)
+    return stored.where(F.col(partition_by).isin(*domains))
+
+
 def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Nested payload rows as JSON lines."""
     df.write.mode(mode).json(path)
