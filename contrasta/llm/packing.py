@@ -35,7 +35,7 @@ SCHEMA = ("doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long
 #: A space before white space or the end: there the words of ``str.split`` are not tokenizer words.
 _ODD_SPACE = re.compile(r" (?=\s|\Z)")
 #: Words with known ids that a task holds, and rows whose texts it holds at once within an Arrow batch.
-CACHE_WORDS, SLICE_ROWS = 50_000, 256
+CACHE_WORDS, SLICE_ROWS = 300_000, 256
 #: The added tokens of ``byte_bpe_50k.json``, which the rank file lacks.
 SPECIAL = (("<|endoftext|>", 50256),)
 
