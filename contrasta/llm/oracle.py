@@ -48,4 +48,42 @@ SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, least(doc_id,
 FROM sets JOIN components USING (doc_id) LEFT JOIN classes USING (doc_id)
 """
 
-ORACLE: dict[str, str] = {"op10_ngram_join": NGRAM_JOIN, "op11_lexical_search": LEXICAL_SEARCH}
+
+
+def vector_codes(rounds: int = 4) -> str:
+    """All distances of every part to every entry, round by round; doubles are exact for these integers."""
+    def nearest(k: int) -> str:
+        return f"""near{k} AS (
+    SELECT p, vec_id, min(struct_pack(d := list_inner_product(x, x) - 2 * list_inner_product(x, c) + list_inner_product(c, c), e := e)) AS best
+    FROM parts JOIN book{k} USING (p) GROUP BY p, vec_id)"""
+
+    def means(k: int) -> str:
+        return f"""sums{k} AS (
+    SELECT p, e, i, floor(sum(x[i]) / count(*)) AS m FROM (SELECT p, n.best.e AS e, x, unnest(range(1, 17)) AS i FROM near{k - 1} n JOIN parts USING (p, vec_id))
+    GROUP BY p, e, i),
+book{k} AS (
+    SELECT b.p, b.e, coalesce(s.c, b.c) AS c
+    FROM book{k - 1} b LEFT JOIN (SELECT p, e, list(m ORDER BY i) AS c FROM sums{k} GROUP BY p, e) s USING (p, e))"""
+
+    steps = ",\n".join([nearest(0), *(x for k in range(1, rounds + 1) for x in (means(k), nearest(k)))])
+    return f"""
+WITH kept AS (
+    SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v
+    FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS (SELECT vec_id, p, v[p * 16 + 1:p * 16 + 16] AS x FROM kept, (SELECT unnest(range(4)) AS p)),
+book0 AS (
+    SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x AS c
+    FROM parts JOIN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT 256) USING (vec_id)),
+{steps},
+digest AS (
+    SELECT sha256(string_agg(CAST(CAST(x AS BIGINT) AS VARCHAR), ',' ORDER BY p, e, i)) AS codebooks_sha256
+    FROM (SELECT p, e, unnest(c) AS x, unnest(range(1, 17)) AS i FROM book{rounds})),
+coded AS (
+    SELECT vec_id, string_agg(format('{{:02x}}', best.e), '' ORDER BY p) AS code, CAST(sum(best.d) AS BIGINT) AS error
+    FROM near{rounds} GROUP BY vec_id)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM coded JOIN kept USING (vec_id), digest
+"""
+
+
+ORACLE: dict[str, str] = {"op10_ngram_join": NGRAM_JOIN, "op11_lexical_search": LEXICAL_SEARCH, "op13_vector_codes": vector_codes()}
