@@ -149,7 +149,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
 
 def mixed_documents(docs: DataFrame, **params) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it; ids may be null or repeated."""
-    rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "mix-rows")
+    rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "mix-rows", "zstd")
     copies = mix(rows, **params, carry=("__row",)).select("__row", "copies").where("copies > 0")
     return (rows.join(copies, "__row").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
             .select(docs.columns))

@@ -433,7 +433,7 @@ def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 
     Rows without id come last in their group. Blank texts are in no group: one row of each id and text stays.
     """
-    rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "near-rows")
+    rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "near-rows", "zstd")
     groups = near_duplicate_groups(rows, id_col="__row", text_col=text_col, n=n, percent=percent)
     names = rows.select(F.col("__row"), F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("hash"))
     blank = (F.col("n_shingles") == 0) & F.col("id").isNotNull()
