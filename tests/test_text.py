@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from contrasta.functions import text as tx
 from contrasta.functions.text import clean_text, decode_unicode_escapes, truncate_text, word_count, char_count
 
 EDGE = [
@@ -51,3 +52,14 @@ def test_cleaning_plan_stays_in_jvm(spark):
     df = spark.createDataFrame([("x",)], "t string").select(clean_text("t"))
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
+
+
+def test_strip_and_emoji_only_where_found(spark):
+    """Texts that need no strip or emoji removal skip the patterns; the results are those of the patterns."""
+    ends = ["", " ", "\t\n", "\u00a0", "\u2003x\x1c", "\x0b", "\x85", "\u3000", "\u200b", "é", "\U0001F600", "\u2702", "a"]
+    texts = [None, *[a + mid + b for a in ends for mid in ("", "b", "b  c\n", "\U0001F5FF d") for b in ends]]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = tx._rx(tx._rx(F.col("t"), tx.EMOJI_RE, ""), tx.STRIP_RE, "")
+    emoji = tx._where(F.col("t"), lambda x: F.octet_length(x) > F.length(x), lambda x: tx._rx(x, tx.EMOJI_RE, ""))
+    assert df.where(~tx.strip_ws(emoji).eqNullSafe(plain)).count() == 0
+    assert df.where(~tx.strip_ws("t").eqNullSafe(tx._rx(F.col("t"), tx.STRIP_RE, ""))).count() == 0

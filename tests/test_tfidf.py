@@ -64,6 +64,34 @@ def test_row_lookup_and_join_agree(spark):
         assert one == other and len({t for _, t in one}) == vocab.count() == min(cap, vocab.count())
 
 
+def test_sums_within_tasks_match_rows(spark):
+    """Sums of any number of words at a time against the n-gram rows; texts of fewer words than n, empty, null and repeated."""
+    docs = [*DOCS, (7, "covid", None), (7, "covid", "zz"), (8, "covid", "zz zz zz zz"), (9, "climate", "the and"), (None, None, "yy Zz yy zz")]
+    df = spark.createDataFrame(docs, "doc_id long, domain string, text_lemma string")
+    for n in ((1, 2), (2, 3)):
+        want = sorted(map(tuple, tfidf.term_frequencies(df, ngram_range=n).groupBy("term").agg(F.count(F.lit(1)), F.sum("tf")).collect()))
+        for most in (1, 5, 10**6):
+            assert sorted(map(tuple, tfidf.term_sums(df.coalesce(2), ngram_range=n, most=most).collect())) == want
+    assert tfidf.term_sums(df.where("doc_id in (6, 9)")).count() == 0
+
+
+def test_readers_of_weights_share_the_counts(spark):
+    """Reused weights come from stored counts: no reader takes a text apart again, and an empty vocabulary has no weights."""
+    stored = []
+
+    def keep(x):
+        stored.append(x.columns)
+        return x.localCheckpoint(eager=True)
+
+    df = spark.createDataFrame(DOCS, "doc_id long, domain string, text_lemma string")
+    *_, once = tfidf.fit(df, min_df=1, max_df=1.0, materialize=keep)
+    *_, w = tfidf.fit(df, min_df=1, max_df=1.0, materialize=keep, reused=True)
+    assert stored == [["term", "df", "idf"]] * 2 + [["doc_id", "domain", "_ats", "_tfs"]]
+    assert "regexp" not in w._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, w.collect())) == sorted(map(tuple, once.collect()))
+    assert tfidf.fit(df, min_df=100)[-1].collect() == []
+
+
 def test_vocabulary_pruning_and_cap(spark):
     df = spark.createDataFrame(DOCS, "doc_id long, domain string, text_lemma string")
     _, _, vocab, w = tfidf.fit(df, min_df=2, max_df=0.5, max_features=3)
