@@ -129,3 +129,44 @@ def test_term_context_record(spark):
     nested = an.term_context_nested(rec, ex).first()
     assert nested.representative_examples[0].dataset == "web_two"
     assert nested.average_vader.vader_compound == pytest.approx(-0.45)
+
+
+def test_words_of_texts_match_the_pattern():
+    """Words found in the bytes against the pattern: other alphabets, digits, single letters, ends of texts, empty texts, slices."""
+    import pyarrow as pa
+    texts = ["", "ab", "cd the Ef", "a b cc", "cafébar naïve µm 水x水yy", "don't 3rd x1yy _zz", "", "", "zz", "t", "the", "\U0001F600ok\U0001F600no ", "end"]
+    found, stop = tfidf._words_fn(["the", "no"]), {"the", "no"}
+    for i, j in ((0, len(texts)), (2, 9), (6, 8), (9, 11), (12, 13), (3, 3)):
+        doc, numbers, names = found(pa.array(texts, pa.string()).slice(i, j - i))
+        names = names.to_pylist()
+        want = [(k, w) for k, t in enumerate(texts[i:j]) for w in re.findall("[a-zA-Z]{2,}", t) if w not in stop]
+        assert [(k, names[n]) for k, n in zip(doc.tolist(), numbers.tolist())] == want and sorted(names) == sorted({w for _, w in want})
+
+
+def test_texts_of_examples_are_not_shuffled(spark):
+    """Not even where no table is small enough to be broadcast by itself: only the few best rows go to the texts."""
+    feats = spark.createDataFrame([(i, "a", f"text {i}", "d", "s", *[0.1] * 11, "joy") for i in range(30)],
+                                  "doc_id long, domain string, text string, dataset string, source string, " + "".join(f"{c} double, " for c in (
+                                      "vader_neg", "vader_neu", "vader_pos", "vader_compound", *an.EMOTION_COLUMNS)) + "dominant_emotion string")
+    weights = spark.createDataFrame([(i, "a", "zz", 1, i / 30) for i in range(30)], "doc_id long, domain string, term string, tf long, score double")
+    top = spark.createDataFrame([("a", 1, "zz", 0.5)], "domain string, rank long, term string, mean_tfidf double")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        _, ex = an.term_context(weights, feats, top, 3)
+        assert [(r.doc_id, r.text) for r in ex.orderBy("example_rank").collect()] == [(29, "text 29"), (28, "text 28"), (27, "text 27")]
+        p = ex._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" not in p and "hashpartitioning(doc_id" not in p
+
+
+def test_stored_tables_are_read_by_column(spark):
+    """Each reader of a stored table takes the columns it needs; null, empty and repeated rows come back as they were."""
+    from contrasta.plans.catalog import materialize
+    rows = [(1, "x", 0.5, None), (1, "x", 0.5, None), (None, "", float("nan"), None), (3, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, score double, label string")
+    got = materialize(df)
+    assert got.dtypes == df.dtypes and sorted(map(str, got.collect())) == sorted(map(str, df.collect()))
+    assert materialize(df.where("doc_id > 5")).count() == 0
+    assert "ReadSchema: struct<doc_id:bigint>" in got.select("doc_id")._jdf.queryExecution().executedPlan().toString()
