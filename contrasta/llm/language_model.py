@@ -11,7 +11,8 @@ A text is its lower-cased words and one end; the end also stands before the firs
 
 The filter grows with the distinct n-grams, without a cutoff. It is made in buckets of about ``bucket_tokens``
 tokens, each by one task. Up to ``broadcast_bytes`` it is broadcast to the workers; beyond that each
-bucket goes to one task, to which the documents' distinct n-grams come to be probed. Both give the same scores.
+bucket goes to one task, to which the documents' distinct n-grams come to be probed, those of all bundles at
+once and each a single time. Both give the same scores.
 
 Tokens are read once: each task writes its documents in bundles of about ``bundle_tokens`` tokens, as numbers
 into the bundle's own list of words. All that is shuffled is combined by bundle first, so no word is
@@ -27,6 +28,7 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -309,8 +311,12 @@ def probed(bundled: DataFrame, filters: DataFrame, shape: Shape, buckets: int) -
 
     def answer(asked: pa.Table, own: pa.Table) -> pa.Table:
         packed = np.frombuffer(own["filter"][0].as_py() if own.num_rows else b"", np.uint8)
-        found = [shape.levels(np.frombuffer(k, np.uint32), packed, len(packed) * 8 // BLOCK).tobytes() for k in asked["keys"].to_pylist()]
-        return pa.table({"bundle": asked["bundle"], "kind": pa.array([1] * len(found), pa.int32()), "bucket": asked["bucket"], "data": pa.array(found, pa.binary())})
+        keys = asked["keys"].to_pylist()
+        distinct, at = np.unique(np.frombuffer(b"".join(keys), np.uint32), return_inverse=True)  # many bundles ask for the same
+        found = shape.levels(distinct, packed, len(packed) * 8 // BLOCK)[at]
+        ends = np.cumsum([0, *(len(k) // 4 for k in keys)]).tolist()
+        return pa.table({"bundle": asked["bundle"], "kind": pa.array([1] * len(keys), pa.int32()), "bucket": asked["bucket"],
+                         "data": pa.array([found[a:b].tobytes() for a, b in pairwise(ends)], pa.binary())})
 
     asked = bundled.mapInArrow(ask, "bucket long, bundle long, keys binary")
     return (asked.groupBy("bucket").cogroup(filters.select("bucket", "filter").groupBy("bucket"))

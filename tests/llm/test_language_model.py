@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import uuid
 import zlib
 from collections import Counter
 
@@ -104,6 +105,24 @@ def test_both_ways_to_probe_give_the_same_scores(spark):
     assert sum(abs(a[6] - b[6]) for a, b in zip(one, exact, strict=True)) < 0.005 * sum(abs(b[6]) for b in exact)
 
 
+def test_each_bucket_is_probed_once_for_all_bundles(spark, tmp_path):
+    """Bundles of the same words ask for the same n-grams: the probes don't grow with bundles times buckets."""
+    class Counted(lm.Shape):
+        def levels(self, keys, packed, blocks, start=0):
+            (tmp_path / uuid.uuid4().hex).write_text(str(len(keys)))
+            return super().levels(keys, packed, blocks, start)
+
+    words = [f"w{i}" for i in range(20)]
+    docs = [(i, " ".join(words), "x") for i in range(70)]
+    df = spark.createDataFrame(docs, SCHEMA).repartition(2)
+    small = dict(bundle_tokens=50, bucket_tokens=300)
+    got = rows_of(lm.language_model_scores(df, lm.held_out_seventh(), shape=Counted(), broadcast_bytes=0, **small))
+    probed = [int(x.read_text()) for x in tmp_path.iterdir()]
+    assert len(probed) <= -(-70 * 21 // 300)
+    assert sum(probed) == 21 + 21  # words and the end; bigrams
+    same(got, rows_of(lm.language_model_scores(df, lm.held_out_seventh(), broadcast_bytes=10**9, **small)))
+
+
 def test_filter_never_loses_and_seldom_invents():
     rng = np.random.default_rng(2)
     shape = lm.Shape()
